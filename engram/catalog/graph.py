@@ -27,14 +27,14 @@ def _busiest(spark, sf_dir):
         .orderBy(F.desc("count"), "o_custkey").limit(1)
     )
     return top.select(
-        F.lit("r1").alias("request_id"), key_id("customer-", "o_custkey").alias("entity_id"),
+        F.col("o_custkey").alias("request_id"), key_id("customer-", "o_custkey").alias("entity_id"),
         F.lit(None).cast("string").alias("viewer"),
     )
 
 
 _TWO_HOP_SQL = f"""
 WITH {SQL_PLACED}, {SQL_CONTAINS}, {SQL_NAMES},
-seed AS (SELECT {sql_key_id('customer-', 'o_custkey')} AS id FROM ({SEED_SQL})),
+seed AS (SELECT o_custkey, {sql_key_id('customer-', 'o_custkey')} AS id FROM ({SEED_SQL})),
 rels AS (SELECT id, source_id, target_id, rel_type FROM placed
          UNION ALL SELECT id, source_id, target_id, rel_type FROM contains_part),
 hop1 AS (SELECT * FROM rels WHERE source_id IN (SELECT id FROM seed) OR target_id IN (SELECT id FROM seed)),
@@ -46,7 +46,7 @@ shown AS (
     CASE WHEN source_id IN (SELECT id FROM seed) THEN 'user' ELSE coalesce(s.name, substr(source_id, 1, 8)) END AS source_name,
     CASE WHEN target_id IN (SELECT id FROM seed) THEN 'user' ELSE coalesce(t.name, substr(target_id, 1, 8)) END AS target_name
   FROM found LEFT JOIN names s ON s.entity_id = source_id LEFT JOIN names t ON t.entity_id = target_id)
-SELECT 'r1' AS request_id, source_name, rel_type, target_name, min(hop) AS hop,
+SELECT (SELECT o_custkey FROM seed) AS request_id, source_name, rel_type, target_name, min(hop) AS hop,
        'Graph Relation: ' || source_name || ' is linked to ' || target_name || ' via ' || rel_type AS statement
 FROM shown WHERE source_name <> target_name AND upper(rel_type) NOT IN ('HAS_NAME', 'NAME')
 GROUP BY source_name, rel_type, target_name
@@ -74,7 +74,7 @@ def graph_two_hop_both(spark, sf_dir):
     """Edges within two hops of a part, following both directions."""
     relations = placed(spark, sf_dir).unionByName(contains(spark, sf_dir))
     seed = table(spark, sf_dir, "part").agg(F.min("p_partkey").alias("k")).select(
-        F.lit("r1").alias("request_id"), key_id("part-", "k").alias("entity_id"),
+        F.col("k").alias("request_id"), key_id("part-", "k").alias("entity_id"),
         F.lit(None).cast("string").alias("viewer"),
     )
     found = G.expand_hops(relations, seed, 2, "both")

@@ -91,71 +91,65 @@ facts AS (
 
 # -- relations out of orders and line items -----------------------------------
 
-def _edges(rows: DataFrame, source: Column, target: Column, kind: str, since: Column) -> DataFrame:
+def _edges(rows: DataFrame, kind: str, source: Column, target: Column, keys: list[str]) -> DataFrame:
     return rows.select(
-        uuid3(F.concat(F.lit(f"{kind}:"), source, F.lit(":"), target)).alias("id"),
+        F.concat_ws(":", F.lit(kind), *[F.col(k).cast("string") for k in keys]).alias("id"),
         source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("rel_type"),
-        since.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"),
-        F.lit(1.0).alias("memory_strength"), F.lit(30.0).alias("stability"),
-        since.alias("last_accessed"), F.lit("").alias("agent_owner"),
+        F.col("since").cast("timestamp").alias("valid_from"),
+        F.lit(None).cast("timestamp").alias("valid_until"), F.lit("").alias("agent_owner"),
     )
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -PLACED-> order"""
-    orders = table(spark, sf_dir, "orders").select(
-        key_id("customer-", "o_custkey").alias("s"), key_id("order-", "o_orderkey").alias("t"),
-        F.col("o_orderdate").cast("timestamp").alias("since"),
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "since")
+    return _edges(
+        orders, "PLACED", key_id("customer-", "o_custkey"), key_id("order-", "o_orderkey"),
+        ["o_orderkey"],
     )
-    return _edges(orders, F.col("s"), F.col("t"), "PLACED", F.col("since"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.min("l_shipdate").alias("since"))
 
 
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order -CONTAINS-> part, one edge per pair"""
-    pairs = (
-        table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey")
-        .agg(F.min("l_shipdate").cast("timestamp").alias("since"))
+    return _edges(
+        _pairs(spark, sf_dir, "l_orderkey", "l_partkey"), "CONTAINS",
+        key_id("order-", "l_orderkey"), key_id("part-", "l_partkey"), ["l_orderkey", "l_partkey"],
     )
-    rows = pairs.select(
-        key_id("order-", "l_orderkey").alias("s"), key_id("part-", "l_partkey").alias("t"), "since"
-    )
-    return _edges(rows, F.col("s"), F.col("t"), "CONTAINS", F.col("since"))
 
 
 def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -SUPPLIES-> part, one edge per pair"""
-    pairs = (
-        table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey")
-        .agg(F.min("l_shipdate").cast("timestamp").alias("since"))
-    )
-    rows = pairs.select(
-        key_id("supplier-", "l_suppkey").alias("s"), key_id("part-", "l_partkey").alias("t"), "since"
+    return _edges(
+        _pairs(spark, sf_dir, "l_suppkey", "l_partkey"), "SUPPLIES",
+        key_id("supplier-", "l_suppkey"), key_id("part-", "l_partkey"), ["l_suppkey", "l_partkey"],
     )
-    return _edges(rows, F.col("s"), F.col("t"), "SUPPLIES", F.col("since"))
 
 
-def _sql_edges(name: str, kind: str, body: str) -> str:
-    edge_id = sql_uuid3(f"('{kind}:' || s || ':' || t)")
+def _sql_edges(name: str, kind: str, source: str, target: str, keys: list[str], rows: str) -> str:
+    edge_id = " || ':' || ".join([f"'{kind}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
     return f"""
 {name} AS (
-  SELECT {edge_id} AS id, s AS source_id, t AS target_id, '{kind}' AS rel_type, since AS valid_from
-  FROM ({body}))"""
+  SELECT {edge_id} AS id, {source} AS source_id, {target} AS target_id, '{kind}' AS rel_type, since AS valid_from
+  FROM ({rows}))"""
 
 
 SQL_PLACED = _sql_edges(
-    "placed", "PLACED",
-    f"SELECT {sql_key_id('customer-', 'o_custkey')} AS s, {sql_key_id('order-', 'o_orderkey')} AS t,"
-    " o_orderdate AS since FROM orders",
+    "placed", "PLACED", sql_key_id("customer-", "o_custkey"), sql_key_id("order-", "o_orderkey"),
+    ["o_orderkey"], "SELECT *, o_orderdate AS since FROM orders",
 )
 SQL_CONTAINS = _sql_edges(
-    "contains_part", "CONTAINS",
-    f"SELECT {sql_key_id('order-', 'l_orderkey')} AS s, {sql_key_id('part-', 'l_partkey')} AS t, since"
-    " FROM (SELECT l_orderkey, l_partkey, min(l_shipdate) AS since FROM lineitem GROUP BY ALL)",
+    "contains_part", "CONTAINS", sql_key_id("order-", "l_orderkey"), sql_key_id("part-", "l_partkey"),
+    ["l_orderkey", "l_partkey"],
+    "SELECT l_orderkey, l_partkey, min(l_shipdate) AS since FROM lineitem GROUP BY ALL",
 )
 SQL_SUPPLIES = _sql_edges(
-    "supplies", "SUPPLIES",
-    f"SELECT {sql_key_id('supplier-', 'l_suppkey')} AS s, {sql_key_id('part-', 'l_partkey')} AS t, since"
-    " FROM (SELECT l_suppkey, l_partkey, min(l_shipdate) AS since FROM lineitem GROUP BY ALL)",
+    "supplies", "SUPPLIES", sql_key_id("supplier-", "l_suppkey"), sql_key_id("part-", "l_partkey"),
+    ["l_suppkey", "l_partkey"],
+    "SELECT l_suppkey, l_partkey, min(l_shipdate) AS since FROM lineitem GROUP BY ALL",
 )
 
 

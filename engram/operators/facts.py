@@ -294,29 +294,30 @@ def match_conflicts(
     inside the other, value inside the verdict, attribute named by the verdict;
     then the smaller fact id. A blank verdict matches only through the reason.
     """
+    value = F.lower(trim_space(F.col("val")))
+    text = F.lower(trim_space(fact_text(F.col("attribute"), F.col("val"))))
     listed = (
         newest_per_entity(facts.filter(active()), n)
+        .select("entity_id", "id", text.alias("text"), value.alias("value"), F.lower("attribute").alias("name"))
         .groupBy("entity_id")
-        .agg(F.collect_list(F.struct("id", "attribute", "val")).alias("_facts"))
+        .agg(F.collect_list(F.struct("id", "text", "value", "name")).alias("_facts"))
     )
+    asked = verdicts.withColumn(
+        "_said", F.lower(trim_space(F.coalesce("conflicting_fact", F.lit(""))))
+    ).withColumn("_reason", F.lower(F.coalesce("reason", F.lit(""))))
     joined = join_back(
-        verdicts, listed, ["entity_id"], how="left", salt_on=["verdict_id"], hot_rows=hot_rows
+        asked, listed, ["entity_id"], how="left", salt_on=["verdict_id"], hot_rows=hot_rows
     )
-    said = F.lower(trim_space(F.coalesce("conflicting_fact", F.lit(""))))
-    reason = F.lower(F.coalesce("reason", F.lit("")))
+    said, reason = F.col("_said"), F.col("_reason")
 
     def scored(fact: Column) -> Column:
-        text = F.lower(trim_space(fact_text(fact["attribute"], fact["val"])))
-        value = F.lower(trim_space(fact["val"]))
-        name = F.lower(fact["attribute"])
-        level = F.when(
-            said != "",
-            F.when(text == said, 1)
-            .when(value == said, 2)
-            .when(text.contains(said) | said.contains(text), 3)
-            .when(said.contains(value), 4),
+        level = (
+            F.when((said != "") & (fact["text"] == said), 1)
+            .when((said != "") & (fact["value"] == said), 2)
+            .when((said != "") & (fact["text"].contains(said) | said.contains(fact["text"])), 3)
+            .when((said != "") & said.contains(fact["value"]), 4)
+            .when(said.contains(fact["name"]) | reason.contains(fact["name"]), 5)
         )
-        level = F.coalesce(level, F.when(said.contains(name) | reason.contains(name), 5))
         return F.struct(level.alias("level"), fact["id"].alias("id"))
 
     best = F.array_min(F.filter(F.transform("_facts", scored), lambda s: s["level"].isNotNull()))
