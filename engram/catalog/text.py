@@ -367,23 +367,24 @@ def quantise(spark, sf_dir):
 
 
 @query("semantic_cache", f"""
-WITH held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings WHERE vec_id % 2 = 0) WHERE rn <= 1000),
-pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS entry, q.label, {_SCORE} AS score
-          FROM embeddings q JOIN held e ON q.label = e.label WHERE q.vec_id % 2 = 1),
+WITH asked AS (SELECT vec_id, label, [CASE WHEN i = 1 THEN CAST(x AS DOUBLE) + 0.33 ELSE CAST(x AS DOUBLE) END FOR x, i IN embedding] AS embedding FROM embeddings),
+held AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 1000),
+pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS entry, q.label, {_SCORE} AS score FROM asked q JOIN held e ON q.label = e.label),
 best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry) = 1)
 SELECT query_id, CAST(label AS VARCHAR) AS owner, round(score, 6) AS score, entry AS entry_seq, 'answer ' || entry AS response
-FROM best WHERE score >= 0.3
+FROM best WHERE score >= 0.95
 """)
 def semantic_cache(spark, sf_dir):
-    """Cached answers for the odd vectors among the even ones of the same owner."""
+    """Cached answers for every vector, asked again slightly moved, within its owner."""
     rows = table(spark, sf_dir, "embeddings").withColumn("owner", F.col("label").cast("string"))
-    even = F.pmod("vec_id", F.lit(2)) == 0
-    cache = rows.filter(even).select(
+    cache = rows.select(
         "owner", F.col("vec_id").alias("seq"), F.concat(F.lit("answer "), "vec_id").alias("response"), "embedding"
     )
-    queries = rows.filter(~even).select(F.col("vec_id").alias("query_id"), "owner", "embedding")
-    hits = V.cache_lookup(cache, queries, threshold=0.3)
-    return hits.withColumn("score", F.round("score", 6))
+    moved = F.transform(
+        "embedding", lambda x, i: F.when(i == 0, x.cast("double") + 0.33).otherwise(x.cast("double"))
+    )
+    queries = rows.select(F.col("vec_id").alias("query_id"), "owner", moved.alias("embedding"))
+    return V.cache_lookup(cache, queries).withColumn("score", F.round("score", 6))
 
 
 @query("cache_newest", """

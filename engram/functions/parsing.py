@@ -91,7 +91,7 @@ def parse_bytes(kind: str, data: bytes) -> tuple[str | None, dict[str, str], str
             elif kind == "web_page":
                 text, metadata = page_content(plain)
             elif kind == "google_docs":
-                text, metadata = plain, {}
+                text, metadata = plain.strip(SPACE), {}
             else:
                 raise ValueError(f"unsupported source type {kind}")
     except Exception as error:  # a bad document fails alone

@@ -27,3 +27,42 @@ def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
         F.sequence(F.lit(0), F.lit(dimensions - 1)),
         lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("float"),
     )
+
+
+def extract_facts(text: Column) -> Column:
+    """Facts stated as "my X is Y", as a JSON array."""
+    pattern = r"(?i)\bmy ([a-z][a-z ]{0,30}?) (?:is|are) ([^\n.,;!?]{1,80})"
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(pattern), 1).alias("a"),
+        F.regexp_extract_all(text, F.lit(pattern), 2).alias("v"),
+    )
+    return F.to_json(F.transform(pairs, lambda p: F.struct(
+        F.regexp_replace(F.lower(F.trim(p["a"])), " +", "_").alias("attribute"),
+        F.trim(p["v"]).alias("value"), F.lit(0.9).alias("confidence_score"),
+    )))
+
+
+def extract_relations(text: Column) -> Column:
+    """Relations stated as "I know Anna" or "Anna works at Acme", as a JSON array."""
+    pattern = r"\b(I|[A-Z][a-z]+) (works? at|lives? in|knows?|likes?|owns?) ([A-Z][A-Za-z]+)"
+    found = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(pattern), 1).alias("s"),
+        F.regexp_extract_all(text, F.lit(pattern), 2).alias("r"),
+        F.regexp_extract_all(text, F.lit(pattern), 3).alias("t"),
+    )
+    return F.to_json(F.transform(found, lambda f: F.struct(
+        F.when(f["s"] == "I", "user").otherwise(f["s"]).alias("source_entity"),
+        f["t"].alias("target_entity"),
+        F.upper(F.regexp_replace(F.regexp_replace(f["r"], r"s?( |\z)", "$1"), " ", "_")).alias("relation_type"),
+        F.lit(0.9).alias("confidence"),
+    )))
+
+
+def validate_conflict(candidate: Column, existing: Column) -> Column:
+    """A candidate "X: not Y" contradicts an existing "X: Y"."""
+    against = F.regexp_replace(candidate, r": not ", ": ")
+    hit = (against != candidate) & F.array_contains(existing, against)
+    return F.to_json(F.struct(
+        hit.alias("has_conflict"), F.when(hit, against).otherwise("").alias("conflicting_fact"),
+        F.when(hit, "negation").otherwise("").alias("reason"),
+    ))

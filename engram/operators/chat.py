@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULTS
+from engram.operators.skew import joined_lines
 
 # The wording of a prompt around its facts and history.
 FACTS_HEAD = "Known facts about the user and the context:\n"
@@ -57,6 +58,21 @@ def transcript(messages: DataFrame, key: str = "session_id") -> DataFrame:
     return messages.groupBy(key).agg(_ordered(["seq"], line).alias("history"))
 
 
+def fact_line() -> Column:
+    return F.concat(
+        F.lit("- "), "attribute", F.lit(": "), "val",
+        F.format_string(" (Confidence: %.2f)\n", F.coalesce("confidence_score", F.lit(0.0))),
+    )
+
+
+def _prompt(facts: Column, history: Column, message: Column) -> Column:
+    return F.concat(
+        F.coalesce(F.concat(F.lit(FACTS_HEAD), facts, F.lit(FACTS_TAIL)), F.lit("")),
+        F.coalesce(F.concat(F.lit("Conversation History:\n"), history, F.lit("\n")), F.lit("")),
+        F.lit("User Message: "), message, F.lit("\nAnswer:"),
+    )
+
+
 def assemble_prompts(
     asked: DataFrame, facts: DataFrame, messages: DataFrame, history: int = DEFAULTS.chat_history
 ) -> DataFrame:
@@ -65,20 +81,32 @@ def assemble_prompts(
     ``asked``: request_id, session_id, message. ``facts``: request_id, part, ord,
     attribute, val, confidence_score, a bounded number per request.
     """
-    line = F.concat(
-        F.lit("- "), "attribute", F.lit(": "), "val",
-        F.format_string(" (Confidence: %.2f)\n", F.coalesce("confidence_score", F.lit(0.0))),
-    )
-    known = facts.groupBy("request_id").agg(_ordered(["part", "ord"], line).alias("_facts"))
+    known = facts.groupBy("request_id").agg(_ordered(["part", "ord"], fact_line()).alias("_facts"))
     talk = transcript(last_messages(messages, history))
-    prompt = F.concat(
-        F.coalesce(F.concat(F.lit(FACTS_HEAD), "_facts", F.lit(FACTS_TAIL)), F.lit("")),
-        F.coalesce(F.concat(F.lit("Conversation History:\n"), "history", F.lit("\n")), F.lit("")),
-        F.lit("User Message: "), "message", F.lit("\nAnswer:"),
-    )
+    prompt = _prompt(F.col("_facts"), F.col("history"), F.col("message"))
     return (
         asked.join(known, "request_id", "left")
         .join(talk, "session_id", "left")
         .withColumn("prompt", prompt)
         .drop("_facts", "history")
     )
+
+
+def parted_prompts(
+    asked: DataFrame, context: DataFrame, history: DataFrame, max_lines: int = 500
+) -> DataFrame:
+    """Prompts of requests whose context may be of any size: one row per part.
+
+    A context of up to ``max_lines`` facts makes the single part 0. The history
+    (already cut) and the message are repeated in every part.
+    """
+    lines = context.withColumn("line", fact_line()).withColumnRenamed("part", "kind")
+    known = joined_lines(lines, ["request_id"], ["kind", "rn", "line"], "line", "_facts", max_lines)
+    prompt = _prompt(F.col("_facts"), F.col("history"), F.col("message"))
+    return (
+        asked.join(known, "request_id", "left")
+        .join(transcript(history), "session_id", "left")
+        .withColumn("part", F.coalesce("part", F.lit(0)))
+        .withColumn("prompt", prompt)
+        .drop("_facts", "history")
+    )

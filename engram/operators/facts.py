@@ -89,37 +89,42 @@ def search_hybrid(
     return SearchResult(decayed.filter(~F.col("expired")).drop("expired"), access_effects(decayed, now))
 
 
+def nearest_facts(facts: DataFrame, requests: DataFrame, pool: int = DEFAULTS.ann_pool) -> DataFrame:
+    """The ``pool`` nearest facts of each request that has a vector: request_id, id, score."""
+    queries = requests.filter(F.col("embedding").isNotNull()).select(
+        F.col("request_id").alias("query_id"), "embedding"
+    )
+    found = top_k_per_query(facts, queries, pool)
+    return found.select(F.col("query_id").alias("request_id"), "id", "score")
+
+
 def search_hybrid_batch(
     facts: DataFrame,
     requests: DataFrame,
     now: Column,
     limit: int = 5,
-    pool: int = DEFAULTS.ann_pool,
+    nearest: DataFrame | None = None,
 ) -> SearchResult:
     """``search_hybrid`` for many requests.
 
-    ``requests``: request_id, entity_id, viewer, embedding (null without one).
-    The result carries request_id and a rank ``rn``.
+    ``requests``: request_id, entity_id, viewer, embedding (null without one);
+    ``nearest``: the pools of ``nearest_facts`` where already drawn. The result
+    carries request_id and a rank ``rn``.
     """
-    wanted = requests.select("request_id", F.col("entity_id").alias("_entity"), "viewer")
-    visible = active() & (
-        F.col("viewer").isNull() | owner_visible(F.col("agent_owner"), F.col("viewer"))
-    )
-
+    nearest = nearest_facts(facts, requests) if nearest is None else nearest
     plain = requests.filter(F.col("embedding").isNull())
     by_time = _newest_per_request(facts, plain, limit).withColumn(
         "_score", F.lit(None).cast("double")
     )
-    queries = requests.filter(F.col("embedding").isNotNull()).select(
-        F.col("request_id").alias("query_id"), "embedding"
-    )
-    nearest = top_k_per_query(facts, queries, pool).select(
-        F.col("query_id").alias("request_id"), F.col("id"), F.col("score").alias("_score")
+    wanted = requests.select("request_id", F.col("entity_id").alias("_entity"), "viewer")
+    visible = active() & (
+        F.col("viewer").isNull() | owner_visible(F.col("agent_owner"), F.col("viewer"))
     )
     by_vector = (
-        facts.join(nearest, "id")
+        facts.join(nearest.withColumnRenamed("score", "_score"), "id")
         .join(wanted, "request_id")
         .filter(visible & (F.col("entity_id") == F.col("_entity")))
+        .drop("_entity", "viewer")
     )
     order = W.partitionBy("request_id").orderBy(
         F.col("_score").desc_nulls_last(),
@@ -127,14 +132,13 @@ def search_hybrid_batch(
         F.col("id").asc(),
     )
     ranked = (
-        by_time.unionByName(by_vector.drop("_entity", "viewer"))
+        by_time.unionByName(by_vector)
         .withColumn("rn", F.row_number().over(order))
         .filter(F.col("rn") <= limit)
     )
     decayed = apply_decay(ranked, now)
     return SearchResult(
-        decayed.filter(~F.col("expired")).drop("expired", "_score"),
-        access_effects(decayed, now),
+        decayed.filter(~F.col("expired")).drop("expired", "_score"), access_effects(decayed, now)
     )
 
 
