@@ -14,6 +14,7 @@ from engram.models.offline import embed
 from engram.operators import communities as C
 from engram.operators import graph as G
 from engram.operators import resolution as R
+from engram.session import checkpoint
 
 SEED_SQL = (
     "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1"
@@ -120,13 +121,13 @@ def entity_nodes(spark, sf_dir):
     return G.entity_nodes(facts).select("entity_id", "name")
 
 
-@query("relation_dedup", f"""
+@query("relation_dedup", """
 WITH cand AS (
-  SELECT DISTINCT {sql_key_id('supplier-', 'l_suppkey')} AS source_id, {sql_key_id('part-', 'l_partkey')} AS target_id,
+  SELECT DISTINCT 'supplier-' || l_suppkey AS source_id, 'part-' || l_partkey AS target_id,
          upper(trim(CASE l_returnflag WHEN 'R' THEN ' returned ' WHEN 'A' THEN 'Returned' ELSE 'supplies' END)) AS rel_type
   FROM lineitem),
 known AS (
-  SELECT DISTINCT {sql_key_id('supplier-', 'l_suppkey')} AS source_id, {sql_key_id('part-', 'l_partkey')} AS target_id,
+  SELECT DISTINCT 'supplier-' || l_suppkey AS source_id, 'part-' || l_partkey AS target_id,
          'SUPPLIES' AS rel_type FROM lineitem WHERE l_linestatus = 'F')
 SELECT * FROM cand ANTI JOIN known USING (source_id, target_id, rel_type)
 """)
@@ -137,16 +138,14 @@ def relation_dedup(spark, sf_dir):
         F.when(F.col("l_returnflag") == "R", " returned ")
         .when(F.col("l_returnflag") == "A", "Returned").otherwise("supplies")
     )
-
-    def edges(rows, rel_type):
-        return rows.select("l_suppkey", "l_partkey", rel_type.alias("rel_type")).distinct().select(
-            key_id("supplier-", "l_suppkey").alias("source_id"),
-            key_id("part-", "l_partkey").alias("target_id"), "rel_type",
-            F.lit(None).cast("timestamp").alias("valid_until"),
-        )
-
-    known = edges(lines.filter(F.col("l_linestatus") == "F"), F.lit("supplies "))
-    return G.new_relations(edges(lines, kind), known).select("source_id", "target_id", "rel_type")
+    ends = [
+        F.concat(F.lit("supplier-"), "l_suppkey").alias("source_id"),
+        F.concat(F.lit("part-"), "l_partkey").alias("target_id"),
+    ]
+    known = lines.filter(F.col("l_linestatus") == "F").select(
+        *ends, F.lit("supplies ").alias("rel_type"), F.lit(None).cast("timestamp").alias("valid_until")
+    )
+    return G.new_relations(lines.select(*ends, kind.alias("rel_type")), known)
 
 
 _MERGE_SQL = f"""
@@ -294,7 +293,8 @@ def entity_resolution(spark, sf_dir):
         key_id("part-", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"),
         embed(F.concat(F.lit("name: "), F.col("p_name"))).alias("embedding"),
     )
-    return R.resolve_entities(nodes)
+    # model output is written once
+    return R.resolve_entities(checkpoint(nodes))
 
 
 @query("entity_resolution_vectors")

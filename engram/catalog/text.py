@@ -13,6 +13,7 @@ from engram.operators import graph as G
 from engram.operators import scope as S
 from engram.operators import search as V
 from engram.schemas import EXTRACTED_FACTS
+from engram.session import checkpoint
 
 _PHONE = r"\+?\d{1,4}?[-.\s]?\(?\d{1,3}?\)?[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"
 _EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
@@ -244,7 +245,7 @@ def chunk_documents(spark, sf_dir):
 @query("provenance_lineage")
 def provenance_lineage(spark, sf_dir):
     """Facts read off chunks, with the document and chunk they come from."""
-    chunks = _chunks(spark, sf_dir)
+    chunks = checkpoint(_chunks(spark, sf_dir).select("id", "document_id", "chunk_index"))
     facts = chunks.select(
         X.uuid3(F.concat(F.lit("fact-"), "id")).alias("id"), F.col("id").alias("chunk_id"), "document_id"
     )

@@ -39,12 +39,10 @@ _SPACE = r"[\x09-\x0D\x20\x85\xA0\p{Z}]"
 def uuid3(name: Column) -> Column:
     """Name-based UUID (version 3) in the DNS namespace."""
     digest = F.md5(F.concat(F.unhex(F.lit(DNS_NAMESPACE_HEX)), F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(
-        F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-3"),
-        F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3),
-        F.lit("-"), F.substring(digest, 21, 12),
-    )
+    dashed = F.regexp_replace(digest, "^(.{8})(.{4}).(.{7})", "$1-$2-3$3-")
+    dashed = F.overlay(dashed, F.lit("-"), F.lit(19), F.lit(0))
+    variant = F.translate(F.substring(dashed, 20, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.overlay(dashed, variant, F.lit(20))
 
 
 def is_uuid(col: Column) -> Column:

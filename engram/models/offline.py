@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 64
 
 
-def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Hashed bag of words and letter triples as a vector, built in the JVM."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    triples = F.flatten(
-        F.transform(
-            words,
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))),
-                lambda i: F.substring(w, i, F.lit(3)),
-            ),
-        )
-    )
-    slots = F.transform(
-        F.concat(words, triples), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int")
-    )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("float"),
-    )
+def embed_text(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Hashed counts of words and letter triples."""
+    words = re.findall(r"\w+", text.lower())
+    tokens = words + [w[i:i + 3] for w in words for i in range(max(len(w) - 2, 1))]
+    slots = [zlib.crc32(t.encode()) % dimensions for t in tokens]
+    return np.bincount(slots, minlength=dimensions).astype("float32")
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _embed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: embed_text(t) if t is not None else None)
+
+
+def embed(text: Column) -> Column:
+    """Hashed bag of words as a vector, over Arrow batches."""
+    return _embed(text)
 
 
 def extract_facts(text: Column) -> Column:

@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from engram.config import DEFAULTS
 from engram.functions.text import trim_space
 from engram.functions.vectors import cosine, norm
+from engram.operators.search import rows_by_size
 from engram.operators.skew import HOT_ROWS, join_back
 from engram.session import checkpoint
 
 CELL_FORMS = 2000
+HEAD = 16  # leading components kept as plain columns for the bound on the cosine
 MAX_PIVOTS = 4096
 _SLACK = 1e-6
 
@@ -95,8 +97,9 @@ def candidate_pairs(
     pivots, and copied to those cells whose separating plane is within the
     radius, so every such pair meets in exactly one cell (a partition-based
     metric similarity join, after Das Sarma et al., VLDB 2014). Cheap bounds
-    inside the cell come before the cosine; the string score before the result
-    runs on survivors only.
+    inside the cell (pivot distance, name length, and a Cauchy-Schwarz bound from
+    the leading components) come before the cosine; the string score runs on
+    survivors only.
     """
     least_cosine = (threshold - name_weight) / vector_weight
     if least_cosine <= 0:
@@ -108,12 +111,16 @@ def candidate_pairs(
     pivots: dict[int, list] = {}
     for row in usable.orderBy("form").select("embedding").limit(wanted).collect():
         pivots.setdefault(len(row[0]), []).append(row[0])
-    placed = usable.select("form", "embedding").mapInArrow(
+    rows = usable.select("form", "name", "length", "embedding").mapInArrow(
         _cells({d: np.asarray(v, dtype=np.float64) for d, v in pivots.items()}, radius),
-        "form string, dims int, cell int, home int, dist double",
-    )
-    rows = placed.join(usable, "form").withColumn("bytes", F.octet_length("name"))
+        "form string, name string, length double, embedding array<float>, dims int, cell int, "
+        "home int, dist double, rest double, "
+        + ", ".join(f"h{i} double" for i in range(HEAD)),
+    ).withColumn("bytes", F.octet_length("name"))
     a, b = rows.alias("a"), rows.alias("b")
+    most = sum(
+        (F.col(f"a.h{i}") * F.col(f"b.h{i}") for i in range(HEAD)), F.col("a.rest") * F.col("b.rest")
+    )
     home_first = (F.col("b.home") > F.col("b.cell")) | (
         (F.col("b.home") == F.col("b.cell")) & (F.col("a.form") < F.col("b.form"))
     )
@@ -121,8 +128,11 @@ def candidate_pairs(
     shorter = F.least("a.bytes", "b.bytes") / F.greatest("a.bytes", "b.bytes", F.lit(1))
     jaro_most = (F.lit(2.0) + shorter) / 3
     name_most = jaro_most + F.lit(0.4) * (1 - jaro_most)
-    close = cosine(
-        F.col("a.embedding"), F.col("b.embedding"), F.col("a.length"), F.col("b.length")
+    bound = (most >= least_cosine - _SLACK) & (name_most >= least_name - _SLACK) & near
+    # guarded, so that the cosine is computed for pairs within the bounds only
+    close = F.when(
+        bound,
+        cosine(F.col("a.embedding"), F.col("b.embedding"), F.col("a.length"), F.col("b.length")),
     )
     pairs = (
         a.filter(F.col("home") == F.col("cell"))
@@ -131,8 +141,7 @@ def candidate_pairs(
             (F.col("a.dims") == F.col("b.dims"))
             & (F.col("a.cell") == F.col("b.cell"))
             & home_first
-            & near
-            & (name_most >= least_name - _SLACK),
+            & bound,
         )
         .select(
             F.col("a.form").alias("form_a"), F.col("b.form").alias("form_b"),
@@ -149,41 +158,39 @@ def candidate_pairs(
     return scored.filter(F.col("score") >= threshold).select("form_a", "form_b", "score")
 
 
-def _cells(pivots: dict[int, np.ndarray], radius: float):
-    """Assign each vector its home cell and the lower cells it must be copied to."""
+def _cells(pivots: dict[int, np.ndarray], radius: float, step: int = 512):
+    """Copy each vector to its home cell and to the lower cells within reach.
+
+    Adds the distance to the cell's pivot, the leading components of the unit
+    vector and the length of the remaining ones.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = {d: v / np.linalg.norm(v, axis=1, keepdims=True) for d, v in pivots.items()}
-        gaps = {d: np.linalg.norm(u[:, None] - u[None, :], axis=2) for d, u in units.items() if len(u) <= 512}
         for batch in batches:
-            form, dims, cell, home, dist = [], [], [], [], []
-            for name, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                v /= np.linalg.norm(v)
-                size = len(v)
-                if size not in units:
-                    places, at, away = [0], 0, np.zeros(1)
-                else:
-                    u = units[size]
-                    away = np.linalg.norm(u - v, axis=1)
-                    at = int(np.argmin(away))
-                    gap = gaps[size][at] if size in gaps else np.linalg.norm(u - u[at], axis=1)
-                    near = away**2 - away[at] ** 2 <= 2 * radius * gap + _SLACK
-                    places = [int(c) for c in np.flatnonzero(near[:at])] + [at]
-                for c in places:
-                    form.append(name)
-                    dims.append(size)
-                    cell.append(c)
-                    home.append(at)
-                    dist.append(float(away[c]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(form, pa.string()), pa.array(dims, pa.int32()),
-                    pa.array(cell, pa.int32()), pa.array(home, pa.int32()),
-                    pa.array(dist, pa.float64()),
-                ],
-                ["form", "dims", "cell", "home", "dist"],
-            )
+            for size, (places, matrix) in rows_by_size(pa.chunked_array([batch.column(3)])).items():
+                u = units.get(size, np.eye(1, size))
+                matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+                for start in range(0, len(places), step):
+                    part = matrix[start:start + step]
+                    away = np.sqrt(np.maximum(2 - 2 * (part @ u.T), 0))
+                    home = np.argmin(away, axis=1)
+                    nearest = away[np.arange(len(part)), home]
+                    gaps = np.sqrt(np.maximum(2 - 2 * (u[home] @ u.T), 0))
+                    reached = away**2 - nearest[:, None] ** 2 <= 2 * radius * gaps + _SLACK
+                    lower = np.arange(len(u))[None, :] <= home[:, None]
+                    row, cell = np.nonzero(reached & lower)
+                    head = np.zeros((len(row), HEAD))
+                    head[:, : min(size, HEAD)] = part[row, :HEAD]
+                    rest = np.sqrt(np.maximum(1 - (head**2).sum(axis=1), 0))
+                    source = batch.take(pa.array(places[start + row]))
+                    columns = [
+                        *source.columns, pa.array(np.full(len(row), size, np.int32)),
+                        pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)),
+                        pa.array(away[row, cell]), pa.array(rest), *map(pa.array, head.T.copy()),
+                    ]
+                    names = [*source.schema.names, "dims", "cell", "home", "dist", "rest"]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, *(f"h{i}" for i in range(HEAD))])
 
     return place
 
