@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from engram.catalog.registry import query
 from engram.catalog.tables import (
-    SQL_CONTAINS, SQL_NAMES, SQL_PLACED, SQL_SUPPLIES, contains, key_id, name_facts, now, placed,
-    sql_key_id, sql_uuid3, supplies, table,
+    SQL_CONTAINS, SQL_NAMES, SQL_PLACED, SQL_SUPPLIES, contains, name_facts, node_id, now, placed,
+    sql_node_id, supplies, table,
 )
-from engram.functions.text import uuid3
 from engram.models.offline import embed
 from engram.operators import communities as C
 from engram.operators import graph as G
@@ -28,14 +27,14 @@ def _busiest(spark, sf_dir):
         .orderBy(F.desc("count"), "o_custkey").limit(1)
     )
     return top.select(
-        F.col("o_custkey").alias("request_id"), key_id("customer-", "o_custkey").alias("entity_id"),
+        F.col("o_custkey").alias("request_id"), node_id("customer", "o_custkey").alias("entity_id"),
         F.lit(None).cast("string").alias("viewer"),
     )
 
 
 _TWO_HOP_SQL = f"""
 WITH {SQL_PLACED}, {SQL_CONTAINS}, {SQL_NAMES},
-seed AS (SELECT o_custkey, {sql_key_id('customer-', 'o_custkey')} AS id FROM ({SEED_SQL})),
+seed AS (SELECT o_custkey, {sql_node_id('customer', 'o_custkey')} AS id FROM ({SEED_SQL})),
 rels AS (SELECT id, source_id, target_id, rel_type FROM placed
          UNION ALL SELECT id, source_id, target_id, rel_type FROM contains_part),
 hop1 AS (SELECT * FROM rels WHERE source_id IN (SELECT id FROM seed) OR target_id IN (SELECT id FROM seed)),
@@ -63,7 +62,7 @@ def graph_two_hop(spark, sf_dir):
 
 @query("graph_two_hop_both", f"""
 WITH {SQL_PLACED}, {SQL_CONTAINS},
-seed AS (SELECT {sql_key_id('part-', 'min(p_partkey)')} AS id FROM part),
+seed AS (SELECT {sql_node_id('part', 'min(p_partkey)')} AS id FROM part),
 rels AS (SELECT id, source_id, target_id FROM placed UNION ALL SELECT id, source_id, target_id FROM contains_part),
 hop1 AS (SELECT * FROM rels WHERE source_id IN (SELECT id FROM seed) OR target_id IN (SELECT id FROM seed)),
 frontier AS (SELECT source_id AS id FROM hop1 UNION SELECT target_id FROM hop1 EXCEPT SELECT id FROM seed),
@@ -75,7 +74,7 @@ def graph_two_hop_both(spark, sf_dir):
     """Edges within two hops of a part, following both directions."""
     relations = placed(spark, sf_dir).unionByName(contains(spark, sf_dir))
     seed = table(spark, sf_dir, "part").agg(F.min("p_partkey").alias("k")).select(
-        F.col("k").alias("request_id"), key_id("part-", "k").alias("entity_id"),
+        F.col("k").alias("request_id"), node_id("part", "k").alias("entity_id"),
         F.lit(None).cast("string").alias("viewer"),
     )
     found = G.expand_hops(relations, seed, 2, "both")
@@ -84,7 +83,7 @@ def graph_two_hop_both(spark, sf_dir):
 
 @query("incident_relations", f"""
 WITH {SQL_PLACED}, {SQL_CONTAINS},
-seed AS (SELECT {sql_key_id('order-', 'min(o_orderkey)')} AS id FROM orders),
+seed AS (SELECT {sql_node_id('order', 'min(o_orderkey)')} AS id FROM orders),
 rels AS (SELECT * FROM placed UNION ALL SELECT * FROM contains_part)
 SELECT id, source_id, target_id, rel_type FROM rels
 WHERE source_id IN (SELECT id FROM seed) OR target_id IN (SELECT id FROM seed)
@@ -93,7 +92,7 @@ def incident_relations(spark, sf_dir):
     """Active edges at one order, in either direction."""
     relations = placed(spark, sf_dir).unionByName(contains(spark, sf_dir))
     first = table(spark, sf_dir, "orders").agg(F.min("o_orderkey").alias("k"))
-    seed = first.select(key_id("order-", "k").alias("s")).first()[0]
+    seed = first.select(node_id("order", "k").alias("s")).first()[0]
     return G.incident(relations, seed).select("id", "source_id", "target_id", "rel_type")
 
 
@@ -150,25 +149,25 @@ def relation_dedup(spark, sf_dir):
 
 _MERGE_SQL = f"""
 merges AS (
-  SELECT {sql_key_id('supplier-', 's_suppkey')} AS duplicate_id, {sql_key_id('supplier-', 's_suppkey % 10')} AS canonical_id
+  SELECT {sql_node_id('supplier', 's_suppkey')} AS duplicate_id, {sql_node_id('supplier', 's_suppkey % 10')} AS canonical_id
   FROM supplier WHERE s_suppkey >= 10),
 old_names AS (
-  SELECT {sql_key_id('name-supplier-', 's_suppkey')} AS id, {sql_key_id('supplier-', 's_suppkey')} AS entity_id,
+  SELECT {sql_node_id('name-supplier', 's_suppkey')} AS id, {sql_node_id('supplier', 's_suppkey')} AS entity_id,
          s_name AS val, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 100 AS INTEGER)) AS valid_from FROM supplier)"""
 
 
 def _supplier_merges(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
     return suppliers.filter(F.col("s_suppkey") >= 10).select(
-        key_id("supplier-", "s_suppkey").alias("duplicate_id"),
-        uuid3(F.concat(F.lit("supplier-"), (F.col("s_suppkey") % 10).cast("string"))).alias("canonical_id"),
+        node_id("supplier", "s_suppkey").alias("duplicate_id"),
+        node_id("supplier", F.col("s_suppkey") % 10).alias("canonical_id"),
     )
 
 
 def _merged(spark, sf_dir):
     names = table(spark, sf_dir, "supplier").select(
-        key_id("name-supplier-", "s_suppkey").alias("id"),
-        key_id("supplier-", "s_suppkey").alias("entity_id"), F.lit("name").alias("attribute"),
+        node_id("name-supplier", "s_suppkey").alias("id"),
+        node_id("supplier", "s_suppkey").alias("entity_id"), F.lit("name").alias("attribute"),
         F.col("s_name").alias("val"),
         F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(s_suppkey % 100 as int))").alias("valid_from"),
         F.lit(None).cast("timestamp").alias("valid_until"),
@@ -217,16 +216,16 @@ v{i} AS (SELECT node, label, sum(weight) AS votes FROM weights JOIN l{i} ON id =
 l{i + 1} AS (SELECT node AS id, label FROM v{i}
              QUALIFY row_number() OVER (PARTITION BY node ORDER BY votes DESC, label) = 1)""")
     parts.append(f"""
-nodes AS (SELECT {sql_key_id('supplier-', 's_suppkey')} AS id FROM supplier
-          UNION ALL SELECT {sql_key_id('part-', 'p_partkey')} FROM part),
+nodes AS (SELECT {sql_node_id('supplier', 's_suppkey')} AS id FROM supplier
+          UNION ALL SELECT {sql_node_id('part', 'p_partkey')} FROM part),
 labels AS (SELECT * FROM l{sweeps} UNION ALL
            SELECT id, id FROM nodes WHERE id NOT IN (SELECT node FROM weights))""")
     return ",".join(parts)
 
 
 def _labels(spark, sf_dir):
-    nodes = table(spark, sf_dir, "supplier").select(key_id("supplier-", "s_suppkey").alias("id")).unionByName(
-        table(spark, sf_dir, "part").select(key_id("part-", "p_partkey").alias("id"))
+    nodes = table(spark, sf_dir, "supplier").select(node_id("supplier", "s_suppkey").alias("id")).unionByName(
+        table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id"))
     )
     return C.label_propagation_sync(nodes, supplies(spark, sf_dir))
 
@@ -280,8 +279,8 @@ def community_lines(spark, sf_dir):
 @query("lpa_exact")
 def lpa_exact(spark, sf_dir):
     """Sequential label propagation over customers and their orders."""
-    nodes = table(spark, sf_dir, "customer").select(key_id("customer-", "c_custkey").alias("id")).unionByName(
-        table(spark, sf_dir, "orders").select(key_id("order-", "o_orderkey").alias("id"))
+    nodes = table(spark, sf_dir, "customer").select(node_id("customer", "c_custkey").alias("id")).unionByName(
+        table(spark, sf_dir, "orders").select(node_id("order", "o_orderkey").alias("id"))
     )
     return C.label_propagation(nodes, placed(spark, sf_dir))
 
@@ -290,7 +289,7 @@ def lpa_exact(spark, sf_dir):
 def entity_resolution(spark, sf_dir):
     """Merges among parts whose names match, by the embedded name."""
     nodes = table(spark, sf_dir, "part").select(
-        key_id("part-", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"),
+        node_id("part", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"),
         embed(F.concat(F.lit("name: "), F.col("p_name"))).alias("embedding"),
     )
     # model output is written once
@@ -303,6 +302,6 @@ def entity_resolution_vectors(spark, sf_dir):
     nodes = table(spark, sf_dir, "part").join(
         table(spark, sf_dir, "embeddings"), F.col("p_partkey") == F.col("vec_id")
     ).select(
-        key_id("part-", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"), "embedding"
+        node_id("part", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"), "embedding"
     )
     return R.resolve_entities(nodes)

@@ -24,6 +24,16 @@ def key_id(prefix: str, key: str) -> Column:
     return uuid3(F.concat(F.lit(prefix), F.col(key).cast("string")))
 
 
+def node_id(kind: str, key: str | Column) -> Column:
+    """Id of a graph node: the key first, so that the short form tells nodes apart."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.concat(key.cast("string"), F.lit(f"-{kind}"))
+
+
+def sql_node_id(kind: str, key: str) -> str:
+    return f"(CAST({key} AS VARCHAR) || '-{kind}')"
+
+
 def sql_uuid3(text: str) -> str:
     digest = f"md5(from_hex('{DNS_NAMESPACE_HEX}') || encode({text}))"
     return (
@@ -104,7 +114,7 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -PLACED-> order"""
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "since")
     return _edges(
-        orders, "PLACED", key_id("customer-", "o_custkey"), key_id("order-", "o_orderkey"),
+        orders, "PLACED", node_id("customer", "o_custkey"), node_id("order", "o_orderkey"),
         ["o_orderkey"],
     )
 
@@ -117,7 +127,7 @@ def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order -CONTAINS-> part, one edge per pair"""
     return _edges(
         _pairs(spark, sf_dir, "l_orderkey", "l_partkey"), "CONTAINS",
-        key_id("order-", "l_orderkey"), key_id("part-", "l_partkey"), ["l_orderkey", "l_partkey"],
+        node_id("order", "l_orderkey"), node_id("part", "l_partkey"), ["l_orderkey", "l_partkey"],
     )
 
 
@@ -125,7 +135,7 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -SUPPLIES-> part, one edge per pair"""
     return _edges(
         _pairs(spark, sf_dir, "l_suppkey", "l_partkey"), "SUPPLIES",
-        key_id("supplier-", "l_suppkey"), key_id("part-", "l_partkey"), ["l_suppkey", "l_partkey"],
+        node_id("supplier", "l_suppkey"), node_id("part", "l_partkey"), ["l_suppkey", "l_partkey"],
     )
 
 
@@ -138,16 +148,16 @@ def _sql_edges(name: str, kind: str, source: str, target: str, keys: list[str],
 
 
 SQL_PLACED = _sql_edges(
-    "placed", "PLACED", sql_key_id("customer-", "o_custkey"), sql_key_id("order-", "o_orderkey"),
+    "placed", "PLACED", sql_node_id("customer", "o_custkey"), sql_node_id("order", "o_orderkey"),
     ["o_orderkey"], "SELECT *, o_orderdate AS since FROM orders",
 )
 SQL_CONTAINS = _sql_edges(
-    "contains_part", "CONTAINS", sql_key_id("order-", "l_orderkey"), sql_key_id("part-", "l_partkey"),
+    "contains_part", "CONTAINS", sql_node_id("order", "l_orderkey"), sql_node_id("part", "l_partkey"),
     ["l_orderkey", "l_partkey"],
     "SELECT l_orderkey, l_partkey, min(l_shipdate) AS since FROM lineitem GROUP BY ALL",
 )
 SQL_SUPPLIES = _sql_edges(
-    "supplies", "SUPPLIES", sql_key_id("supplier-", "l_suppkey"), sql_key_id("part-", "l_partkey"),
+    "supplies", "SUPPLIES", sql_node_id("supplier", "l_suppkey"), sql_node_id("part", "l_partkey"),
     ["l_suppkey", "l_partkey"],
     "SELECT l_suppkey, l_partkey, min(l_shipdate) AS since FROM lineitem GROUP BY ALL",
 )
@@ -164,7 +174,7 @@ def name_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("part", "p_partkey", "p_name"),
     ):
         rows = table(spark, sf_dir, name).select(
-            key_id(f"name-{name}-", key).alias("id"), key_id(f"{name}-", key).alias("entity_id"),
+            node_id(f"name-{name}", key).alias("id"), node_id(f"{name}", key).alias("entity_id"),
             F.lit("name").alias("attribute"), F.col(text).alias("val"),
             F.lit("2024-01-01 00:00:00").cast("timestamp").alias("valid_from"),
             F.lit(None).cast("timestamp").alias("valid_until"),
@@ -174,7 +184,7 @@ def name_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_NAMES = "names AS (" + " UNION ALL ".join(
-    f"SELECT {sql_key_id(f'{name}-', key)} AS entity_id, {text} AS name FROM {name}"
+    f"SELECT {sql_node_id(f'{name}', key)} AS entity_id, {text} AS name FROM {name}"
     for name, key, text in (
         ("customer", "c_custkey", "c_name"),
         ("supplier", "s_suppkey", "s_name"),

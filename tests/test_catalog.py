@@ -59,11 +59,11 @@ def test_sequential_labels(spark, sf_dir):
 
 
 def test_entity_resolution(spark, sf_dir):
-    from engram.catalog.tables import key_id
+    from engram.catalog.tables import node_id
     from engram.models.offline import embed
 
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        key_id("part-", "p_partkey"), "p_name", embed(F.concat(F.lit("name: "), "p_name"))
+        node_id("part", "p_partkey"), "p_name", embed(F.concat(F.lit("name: "), "p_name"))
     )
     nodes = sorted((tuple(r) for r in parts.collect()), key=lambda n: n[0])
     rows = entry.queries()["entity_resolution"](spark, sf_dir).collect()
