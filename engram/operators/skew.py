@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 1000
-TRACKED_KEYS = 65536
+TRACKED_KEYS = 16384
+SKETCH_GROUPS = 128
 MAX_WAYS = 1024
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hashes of the hot keys and the number of ways to split each."""
-    top = rows.select(F.xxhash64(*keys).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {TRACKED_KEYS})").alias("top")
+    hashed = rows.select(F.xxhash64(*keys).alias("h"), F.spark_partition_id().alias("p"))
+    # sketches are merged in two steps, so that no task receives one per map task
+    sketches = hashed.groupBy(F.pmod("p", F.lit(SKETCH_GROUPS)).alias("g")).agg(
+        F.expr(f"approx_top_k_accumulate(h, {TRACKED_KEYS})").alias("s")
     )
-    counted = top.select(F.inline("top").alias("_hot", "_rows"))
+    top = sketches.agg(F.expr(f"approx_top_k_combine(s, {TRACKED_KEYS})").alias("s"))
+    counted = top.select(F.inline(F.expr(f"approx_top_k_estimate(s, {MAX_HOT_KEYS})")).alias("_hot", "_rows"))
     ways = F.least(F.ceil(F.col("_rows") / F.lit(hot_rows)), F.lit(MAX_WAYS)).cast("int")
     return counted.filter(F.col("_rows") > hot_rows).select("_hot", ways.alias("_ways"))
 
