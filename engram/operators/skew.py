@@ -28,7 +28,8 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     sketches = hashed.groupBy(F.pmod("p", F.lit(SKETCH_GROUPS)).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(h, {TRACKED_KEYS})").alias("s")
     )
-    top = sketches.agg(F.expr(f"approx_top_k_combine(s, {TRACKED_KEYS})").alias("s"))
+    # grouped, so that no rows give no sketch
+    top = sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {TRACKED_KEYS})").alias("s"))
     counted = top.select(F.inline(F.expr(f"approx_top_k_estimate(s, {MAX_HOT_KEYS})")).alias("_hot", "_rows"))
     ways = F.least(F.ceil(F.col("_rows") / F.lit(hot_rows)), F.lit(MAX_WAYS)).cast("int")
     return counted.filter(F.col("_rows") > hot_rows).select("_hot", ways.alias("_ways"))

@@ -40,6 +40,7 @@ def test_hot_keys_and_join_back(spark):
     salted = join_back(rows, sums, ["k"], hot_rows=500)
     assert {(r.k, r.i, r.s) for r in salted.collect()} == plain
     assert salted.count() == rows.count()
+    assert join_back(rows.limit(0), sums, ["k"]).count() == 0
     some = sums.filter("k != 'hot' and k != 'k7'")
     left = join_back(rows, some, ["k"], "left", ["i"], 500)
     assert left.filter("s is null").count() == rows.filter("k in ('hot', 'k7')").count()
