@@ -204,7 +204,7 @@ def register_relations(store: MemoryStore, edges: DataFrame, now: Column, batch:
     stated = F.when(is_uuid(F.col("agent_owner")), F.col("agent_owner"))
     owned = edges.withColumn("agent_owner", F.coalesce(stated, "source_id")).withColumn("valid_from", now)
     store.insert_relations(owned, now, batch=batch)
-    store.cache_invalidate(owned.select(F.col("agent_owner").alias("owner")))
+    store.cache_invalidate(owned.select(F.col("agent_owner").alias("owner")), now, batch)
 
 
 def search_documents(

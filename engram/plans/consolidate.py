@@ -179,4 +179,4 @@ def commit(store: MemoryStore, result: Consolidation, now: Column, batch: str |
     store.insert_facts(result.facts, now, batch=batch)
     store.insert_relations(result.relations, now, batch=batch)
     store.apply(result.effects, batch)
-    store.cache_invalidate(result.owners)
+    store.cache_invalidate(result.owners, now, batch)

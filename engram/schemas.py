@@ -45,6 +45,7 @@ COMMUNITY_SUMMARIES = _struct("id:s name:s summary:s members:l created_at:t embe
 COMMUNITY_MEMBERS = _struct("community_id:s entity_id:s")
 CHAT_MESSAGES = _struct("session_id:s seq:l role:s content:s timestamp:t")
 SEMANTIC_CACHE = _struct("owner:s seq:l query:s response:s created_at:t embedding:v")
+CACHE_INVALIDATIONS = _struct("owner:s at:t")
 LINKS = _struct("kind:s src:s dst:s")
 # Append-only effects on facts: kind is 'deactivate' or 'reinforce'.
 FACT_EFFECTS = _struct("fact_id:s kind:s at:t")
@@ -61,6 +62,7 @@ TABLES = {
     "community_members": COMMUNITY_MEMBERS,
     "chat_messages": CHAT_MESSAGES,
     "semantic_cache": SEMANTIC_CACHE,
+    "cache_invalidations": CACHE_INVALIDATIONS,
     "links": LINKS,
 }
 

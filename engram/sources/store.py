@@ -1,8 +1,8 @@
 """Memory tables as parquet folders: append-only batches, views on top.
 
-Rows are never changed in place. Deactivation, reinforcement and document
-status are logs that views reduce; only merging and community snapshots write a
-table anew, as its next version.
+Rows are never changed in place. Deactivation, reinforcement, document status
+and cache invalidation are logs that views reduce; only merging, community
+snapshots and clearing a session write a table anew, as its next version.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ from engram.schemas import TABLES
 class MemoryStore:
     """The memory of all owners under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, without: str | None = None) -> None:
+        self.spark, self.root, self.without = spark, root.rstrip("/"), without
+
+    def before(self, batch: str) -> "MemoryStore":
+        """The memory as it was before a batch, whose earlier try may have been written."""
+        return MemoryStore(self.spark, self.root, batch)
 
     # -- tables --------------------------------------------------------------
 
@@ -51,13 +55,22 @@ class MemoryStore:
     def read(self, table: str) -> DataFrame:
         """All rows of a table as written."""
         schema = TABLES[table]
-        path = self._current(table)
-        fs, target = self._fs(path)
-        if not fs.exists(target):
+        fs, path = self._fs(self._current(table))
+        batches = fs.listStatus(path) if fs.exists(path) else []
+        paths = [s.getPath().toString() for s in batches if self._counts(s.getPath().getName())]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        rows = self.spark.read.schema(schema).parquet(*paths)
         return with_valid_ids(rows) if "id" in rows.columns else rows
 
+    def _counts(self, name: str) -> bool:
+        if not name.startswith("batch="):
+            return False
+        batch = name.removeprefix("batch=")
+        return self.without is None or not (
+            batch == self.without or batch.startswith(f"{self.without}-")
+        )
+
     def append(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
         """Add rows as one batch. Writing a batch of the same name again replaces it,
         so a repeated micro-batch leaves the table as it was."""
@@ -237,15 +250,19 @@ class MemoryStore:
         self.replace("chat_messages", self.read("chat_messages").filter(F.col("session_id") != session_id))
 
     def cache(self) -> DataFrame:
-        return search.newest_entries(self.read("semantic_cache"))
+        """Entries newer than their owner's last invalidation, the newest per owner."""
+        dropped = self.read("cache_invalidations").groupBy("owner").agg(F.max("at").alias("_at"))
+        rows = self.read("semantic_cache").join(dropped, "owner", "left")
+        live = rows.filter(F.col("_at").isNull() | (F.col("created_at") > F.col("_at"))).drop("_at")
+        return search.newest_entries(live)
 
     def cache_set(self, rows: DataFrame, batch: str | None = None) -> None:
         self.append("semantic_cache", rows, batch)
 
-    def cache_invalidate(self, owners: DataFrame) -> None:
-        """Drop the entries of the listed owners (column owner)."""
-        kept = self.read("semantic_cache").join(owners.select("owner").distinct(), "owner", "left_anti")
-        self.replace("semantic_cache", kept)
+    def cache_invalidate(self, owners: DataFrame, now: Column, batch: str | None = None) -> None:
+        """Drop the entries the listed owners (column owner) have by now."""
+        rows = owners.select("owner").distinct().withColumn("at", now)
+        self.append("cache_invalidations", rows, batch)
 
     # -- set-up --------------------------------------------------------------
 

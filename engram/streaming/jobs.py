@@ -1,4 +1,8 @@
-"""Streaming jobs that feed the memory; each micro-batch is written idempotently."""
+"""Streaming jobs that feed the memory.
+
+A micro-batch reads the memory as it was before its own first try and writes
+under its own name, so a repeated batch gives the same memory.
+"""
 
 from __future__ import annotations
 
@@ -37,8 +41,10 @@ def consolidate_interactions(
         if rows.isEmpty():
             return
         now = F.lit(rows.agg(F.max("timestamp")).first()[0])
-        result = consolidate_plan.consolidate(store, rows, provider, now, settings)
-        consolidate_plan.commit(store, result, now, f"consolidate-{batch_id}")
+        name = f"consolidate-{batch_id}"
+        memory = store.before(name)
+        result = consolidate_plan.consolidate(memory, rows, provider, now, settings)
+        consolidate_plan.commit(memory, result, now, name)
 
     return _start(interactions, run, "consolidate", checkpoint_dir, once, interval)
 
@@ -54,7 +60,8 @@ def ingest_landing(
         try:
             if not rows.isEmpty():
                 now = F.lit(rows.agg(F.max("created_at")).first()[0])
-                ingest(store, rows, provider, now, settings, f"ingest-{batch_id}")
+                name = f"ingest-{batch_id}"
+                ingest(store.before(name), rows, provider, now, settings, name)
         finally:
             rows.unpersist()
 
@@ -73,10 +80,12 @@ def answer_requests(
         if rows.isEmpty():
             return
         now = F.lit(rows.agg(F.max("timestamp")).first()[0])
-        outcome = chat_plan.chat(store, rows, provider, now, settings)
+        name = f"chat-{batch_id}"
+        memory = store.before(name)
+        outcome = chat_plan.chat(memory, rows, provider, now, settings)
         for table, part in (("replies", outcome.replies), ("interactions", outcome.interactions)):
             part.write.mode("overwrite").parquet(f"{replies_path}/{table}/batch={batch_id}")
-        chat_plan.commit(store, outcome, f"chat-{batch_id}")
+        chat_plan.commit(memory, outcome, name)
 
     return _start(requests, run, "chat", checkpoint_dir, once, interval)
 

@@ -96,6 +96,10 @@ def test_chat_miss_then_hit(spark, store):
     assert [(r.reply, r.from_cache) for r in hit.replies.collect()] == [(reply[0].reply, True)]
     assert hit.interactions.isEmpty() and hit.cache_entries.isEmpty()
 
+    owners = spark.createDataFrame([(ALICE,)], "owner string")
+    store.cache_invalidate(owners, at("2024-05-01 12:02:00"))
+    assert store.cache().isEmpty() and store.read("semantic_cache").count() == 1
+
 
 def test_chat_defaults(spark):
     requests = spark.createDataFrame(

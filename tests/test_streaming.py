@@ -51,6 +51,27 @@ def test_consolidation_stream(spark, tmp_path):
     assert [(r.attribute, r.val) for r in store.facts().collect()] == [("city", "Oslo")]
 
 
+def test_chat_stream_replayed(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "memory"))
+    schema = (
+        "request_id string, session_id string, entity_id string, agent_role string, message string, "
+        "include_facts boolean, timestamp timestamp"
+    )
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(
+        [("q1", "s", ALICE, "user", "hello", True)],
+        "request_id string, session_id string, entity_id string, agent_role string, message string, include_facts boolean",
+    ).withColumn("timestamp", F.lit("2024-05-01 00:00:00").cast("timestamp")).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    for check in ("one", "two"):
+        run(jobs.answer_requests(store, stream, OfflineProvider(), str(tmp_path / check), out, once=True))
+        replies = spark.read.parquet(f"{out}/replies").collect()
+        assert [(r.reply, r.from_cache) for r in replies] == [("Noted: hello", False)]
+    assert store.read("chat_messages").count() == 2 and store.read("semantic_cache").count() == 1
+    # the interaction stream feeds consolidation
+    assert spark.read.parquet(f"{out}/interactions").count() == 1
+
+
 def test_landing_folder(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
