@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram.catalog.registry import query
@@ -61,6 +60,24 @@ def search_by_time(spark, sf_dir):
     return found.select("id", "attribute", "val", F.round("memory_strength", 6).alias("memory_strength"))
 
 
+@query("search_batch", f"""
+WITH {SQL_FACTS},
+seen AS (SELECT * FROM facts WHERE coalesce(nullif(agent_owner, ''), entity_id) = entity_id),
+found AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, id) <= 5)
+SELECT entity_id AS request_id, id, round({RETENTION_SQL}, 6) AS memory_strength FROM found WHERE {RETENTION_SQL} >= 0.1
+""")
+def search_batch(spark, sf_dir):
+    """The five newest facts every entity sees of itself, decayed, in one plan."""
+    facts = event_facts(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    requests = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("request_id")).distinct()
+    requests = requests.select(
+        "request_id", F.col("request_id").alias("entity_id"), F.col("request_id").alias("viewer"),
+        F.lit(None).cast("array<float>").alias("embedding"),
+    )
+    found = O.search_hybrid_batch(facts, requests, now(), 5).facts
+    return found.select("request_id", "id", F.round("memory_strength", 6).alias("memory_strength"))
+
+
 @query("access_effects", f"""
 WITH {SQL_FACTS}
 SELECT id AS fact_id, CASE WHEN {RETENTION_SQL} < 0.1 THEN 'deactivate' ELSE 'reinforce' END AS kind FROM facts
@@ -344,6 +361,18 @@ def last_n_messages(spark, sf_dir):
     )
 
 
+@query("clear_sessions", """
+SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')
+""")
+def clear_sessions(spark, sf_dir):
+    """Messages left after clearing every session with a system message."""
+    from engram.operators.chat import clear_sessions as cleared
+
+    messages = _messages(spark, sf_dir)
+    left = cleared(messages, messages.filter(F.col("role") == "system"))
+    return left.select(F.col("session_id").alias("conv_id"), F.col("seq").alias("turn"))
+
+
 @query("history_cut", """
 WITH cur AS (SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY 1),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 10),

@@ -276,6 +276,37 @@ def community_lines(spark, sf_dir):
     )
 
 
+@query("community_contexts")
+def community_contexts(spark, sf_dir):
+    """Text of every community, large ones in parts."""
+    facts = name_facts(spark, sf_dir)
+    lines = C.community_lines(
+        _labels(spark, sf_dir), G.entity_names(facts), facts, supplies(spark, sf_dir)
+    )
+    return C.community_contexts(checkpoint(lines))
+
+
+@query("reflection_relations")
+def reflection_relations(spark, sf_dir):
+    """Relation lines each supplier reflects on, large ones in parts."""
+    from engram.operators.reflection import reflection_relations as lines_of
+    from engram.schemas import NIL_UUID
+
+    groups = table(spark, sf_dir, "supplier").select(
+        node_id("supplier", "s_suppkey").alias("entity_id"), F.lit(NIL_UUID).alias("owner")
+    )
+    return lines_of(groups, supplies(spark, sf_dir), G.entity_names(name_facts(spark, sf_dir)))
+
+
+@query("relation_entities", f"""
+WITH {SQL_SUPPLIES} SELECT source_id AS id FROM supplies UNION SELECT target_id FROM supplies
+""")
+def relation_entities(spark, sf_dir):
+    """Entities that storing relations brings into being, once each."""
+    edges = supplies(spark, sf_dir)
+    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+
+
 @query("lpa_exact")
 def lpa_exact(spark, sf_dir):
     """Sequential label propagation over customers and their orders."""

@@ -185,6 +185,16 @@ def file_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.file_type(name).alias("file_type"))
 
 
+@query("document_lookup", """
+SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)
+""")
+def document_lookup(spark, sf_dir):
+    """One document by its id."""
+    documents = table(spark, sf_dir, "documents")
+    wanted = documents.agg(F.max("doc_id")).first()[0]
+    return documents.filter(F.col("doc_id") == wanted).select("doc_id", "lang", "n_chars")
+
+
 @query("page_counts", """
 WITH t AS (SELECT doc_id, replace(text, '. ', chr(12)) AS t FROM documents)
 SELECT doc_id, CASE WHEN n = 0 AND t <> '' THEN 1 ELSE n END AS pages FROM (SELECT *, length(t) - length(replace(t, chr(12), '')) AS n FROM t)

@@ -154,10 +154,11 @@ def _newest_per_request(facts: DataFrame, requests: DataFrame, limit: int) -> Da
         "entity_id",
         F.explode(F.array_distinct(F.array(F.col("viewer"), F.lit(NIL_UUID)))).alias("_owner"),
     )
-    seen = newest_per_entity(owned, limit, "_owner").drop("rn").join(scoped, ["entity_id", "_owner"])
-    everything = newest_per_entity(owned, limit).drop("rn").join(
-        requests.filter(F.col("viewer").isNull()).select("request_id", "entity_id"), "entity_id"
-    )
+    own = newest_per_entity(owned, limit, "_owner").drop("rn")
+    seen = join_back(scoped, own, ["entity_id", "_owner"], salt_on=["request_id"])
+    unscoped = requests.filter(F.col("viewer").isNull()).select("request_id", "entity_id")
+    newest_any = newest_per_entity(owned, limit).drop("rn")
+    everything = join_back(unscoped, newest_any, ["entity_id"], salt_on=["request_id"])
     return seen.unionByName(everything).drop("_owner")
 
 
@@ -252,12 +253,16 @@ def oldest_active(facts: DataFrame) -> DataFrame:
     )
 
 
-def classify_candidates(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+def classify_candidates(
+    candidates: DataFrame, facts: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Mark each candidate skip, supersede, coexist or insert.
 
     ``candidates``: entity_id, attribute, val and whatever else they carry.
     """
-    joined = candidates.join(oldest_active(facts), ["entity_id", "attribute"], "left")
+    joined = join_back(
+        candidates, oldest_active(facts), ["entity_id", "attribute"], "left", hot_rows=hot_rows
+    )
     action = (
         F.when(F.col("old_id").isNull(), "insert")
         .when(F.col("old_val") == F.col("val"), "skip")
@@ -267,7 +272,7 @@ def classify_candidates(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.withColumn("action", action)
 
 
-def contradicted(facts: DataFrame, candidates: DataFrame) -> DataFrame:
+def contradicted(facts: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Active facts some candidate gives another value for (singular attributes).
 
     Per entity and attribute only the least and the greatest candidate value
@@ -280,8 +285,9 @@ def contradicted(facts: DataFrame, candidates: DataFrame) -> DataFrame:
         .agg(F.min("val").alias("_lo"), F.max("val").alias("_hi"))
     )
     return (
-        facts.filter(active())
-        .join(bounds, ["entity_id", "attribute"])
+        join_back(
+            facts.filter(active()), bounds, ["entity_id", "attribute"], salt_on=["id"], hot_rows=hot_rows
+        )
         .filter((F.col("val") != F.col("_lo")) | (F.col("val") != F.col("_hi")))
         .drop("_lo", "_hi")
     )

@@ -76,9 +76,9 @@ def reflection_relations(
         "entity_id", "owner",
         F.explode(F.array_distinct(F.array(F.col("owner"), F.lit(NIL_UUID)))).alias("_owner"),
     )
-    seen = shown.join(wanted, ["entity_id", "_owner"]).withColumn(
-        "shared", F.col("_owner") != F.col("owner")
-    )
+    seen = join_back(
+        shown, wanted, ["entity_id", "_owner"], salt_on=["id"], hot_rows=hot_rows
+    ).withColumn("shared", F.col("_owner") != F.col("owner"))
     return joined_lines(
         seen, ["entity_id", "owner"], ["shared", "id"], "line", "relation_lines", max_lines, hot_rows
     )

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from engram.config import DEFAULTS
 from engram.functions.text import trim_space
 from engram.functions.vectors import cosine, norm
 from engram.operators.search import rows_by_size
-from engram.operators.skew import HOT_ROWS, join_back
+from engram.operators.skew import HOT_ROWS, copied, hot_keys, salted
 from engram.session import checkpoint
 
 CELL_FORMS = 2000
@@ -209,6 +209,10 @@ def greedy_merges(membership: DataFrame, pairs: DataFrame, hot_rows: int = HOT_R
     )
     loops = membership.select(F.col("form").alias("form_a"), F.col("form").alias("form_b"))
     reach = checkpoint(both.unionAll(loops).distinct())
+    # who is hot does not change over the rounds
+    hot_reach = checkpoint(hot_keys(reach, ["form_b"], hot_rows))
+    hot_forms = checkpoint(hot_keys(membership, ["form"], hot_rows))
+    spread = salted(reach, hot_reach, ["form_b"], ["form_a"])
     state = checkpoint(membership.withColumn("status", F.lit("undecided")))
 
     def seen_by_form(rows: DataFrame) -> DataFrame:
@@ -217,14 +221,14 @@ def greedy_merges(membership: DataFrame, pairs: DataFrame, hot_rows: int = HOT_R
             F.min(F.when(F.col("status") == "undecided", F.col("entity_id"))).alias("open"),
         )
         return (
-            reach.join(lowest, "form_b")
+            spread.join(copied(lowest, hot_reach, ["form_b"]), ["form_b", "_salt"])
             .groupBy(F.col("form_a").alias("form"))
             .agg(F.min("settled").alias("settled"), F.min("open").alias("open"))
         )
 
     def seen_by_entity(rows: DataFrame) -> DataFrame:
-        around = join_back(
-            rows, seen_by_form(rows), ["form"], salt_on=["entity_id"], hot_rows=hot_rows
+        around = salted(rows, hot_forms, ["form"], ["entity_id"]).join(
+            copied(seen_by_form(rows), hot_forms, ["form"]), ["form", "_salt"]
         )
         return around.groupBy("entity_id").agg(
             F.first("status").alias("status"), F.min("settled").alias("settled"),
@@ -265,9 +269,3 @@ def resolve_entities(
     pairs = checkpoint(candidate_pairs(forms, threshold, **kw))
     return greedy_merges(membership, pairs, hot_rows)
 
-
-def hybrid_score(cos: Column, name_score: Column) -> Column:
-    return (
-        F.lit(DEFAULTS.resolution_vector_weight) * F.coalesce(cos, F.lit(0.0))
-        + F.lit(DEFAULTS.resolution_name_weight) * name_score
-    )

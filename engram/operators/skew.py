@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def salted(
 
 
 def copied(per_key: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copy the row of each hot key to every ``_salt`` its rows were spread over."""
+    """Copy the rows of each hot key to every ``_salt`` its rows were spread over."""
     return (
         per_key.withColumn("_hot", F.xxhash64(*keys))
         .join(F.broadcast(hot), "_hot", "left")
@@ -66,7 +66,7 @@ def join_back(
     salt_on: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join rows to a table with one row per key, salting the hot keys of rows."""
+    """Join rows to a table with few rows per key, salting the hot keys of rows."""
     keys = list(keys)
     hot = hot_keys(rows, keys, hot_rows)
     left, right = salted(rows, hot, keys, salt_on), copied(per_key, hot, keys)
