@@ -6,8 +6,9 @@ trigger make one phrase, so phrases overlap by ``length - 1`` bytes, no trigger
 another phrase's inside, and every string of ``length`` bytes lies in exactly one phrase.
 
 1. Triggers are counted. One that occurs once in the corpus has a phrase without repeats.
-2. The phrases of repeated triggers are parsed out with their bytes. Of equal phrases (the
-   dictionary) the first in corpus order stays and all others are repeats as a whole.
+2. The phrases of repeated triggers are parsed out with their bytes and dealt by trigger, once.
+   Of equal phrases (the dictionary) the first in corpus order stays and all others are repeats as
+   a whole; map tasks already fold equal phrases of a piece of text.
 3. Distinct phrases of one trigger may still share strings. The suffixes of at least ``length``
    bytes of such dictionary phrases are sorted by hash within their trigger; equal neighbours are
    repeats except the first in corpus order. That is the part of the corpus's suffix order in which
@@ -15,10 +16,10 @@ another phrase's inside, and every string of ``length`` bytes lies in exactly on
 4. Spans go back to their documents, which drop the bytes covered.
 
 A full suffix array of dictionary and parse would order all the unrepeated text as well, several
-times the input in shuffles; the result here is the same. Step 3 works on bounded groups of
-phrases; triggers with more distinct phrases go string by string through a combinable aggregate.
-Which triggers are worth parsing in step 2 is told by a bit filter of a bounded size; an exact
-semi-join follows, so a full filter costs time, not results.
+times the input in shuffles; the result here is the same. A trigger with more phrases than one
+task should sort goes phrase by phrase and string by string through combinable aggregates. Which
+triggers are worth parsing in step 2 is told by a bit filter of a bounded size; a full one lets
+unrepeated phrases through, which costs time and changes nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from engram.llm import kernels
@@ -35,9 +37,9 @@ from engram.session import checkpoint
 WINDOW = 28
 #: Bits of a sort key that hold the place, the same for every piece so that ties fall alike.
 PLACE_BITS = 31
-#: Bound of the bit filter of repeated triggers (16 MB).
-FILTER_BITS = 1 << 27
-#: Distinct phrases of one trigger that one task sorts.
+#: Bound of the bit filter of repeated triggers (32 MB).
+FILTER_BITS = 1 << 28
+#: Phrases of one trigger that one task sorts.
 GROUP = 50_000
 
 
@@ -95,11 +97,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]):
 
 
 def _count(length: int):
+    """Per piece of text, how often a trigger occurs (2 for more) and with how many phrases."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in _pieces(batches):
-            trigger, times = np.unique(parse(data, offsets, length)["trigger"], return_counts=True)
+            found = parse(data, offsets, length)
+            order = np.lexsort((found["phrase"], found["trigger"]))
+            t, p = found["trigger"][order], found["phrase"][order]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1])[: len(t)])
+            fresh = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))[: len(t)].astype(np.int64)
+            times = np.diff(np.append(first, len(t)))
+            phrases = np.add.reduceat(fresh, first) if len(t) else fresh
             yield pa.RecordBatch.from_arrays(
-                [pa.array(trigger.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], names=["trigger", "c"])
+                [pa.array(t[first].view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int64)), pa.array(phrases)],
+                names=["trigger", "times", "phrases"])
 
     return run
 
@@ -173,24 +184,35 @@ def _suffixes(trigger: np.ndarray, body: pa.Array, n: np.ndarray, length: int) -
 
 
 def _sorted(length: int):
-    """Of rows sorted by trigger, all strings that also occur in an earlier phrase of the trigger."""
+    """Of phrases sorted by trigger, the spans that also occur earlier; spans pass through."""
 
     def judge(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
+        given = table.filter(pc.is_null(table.column("trigger"))).select(["id", "lo", "hi"])
+        table = table.filter(pc.is_valid(table.column("trigger"))).combine_chunks()
         ids, lo, n = (table.column(c).to_numpy() for c in ("id", "lo", "n"))
-        trigger = table.column("trigger").to_numpy().view(np.uint64)
-        order = np.lexsort((lo, ids))
-        body = table.column("body").combine_chunks().take(pa.array(order))
-        ids, lo, n, trigger = ids[order], lo[order], n[order], trigger[order]
-        hashes, row, offset = _suffixes(trigger, body, n, length)
+        trigger, phrase = (table.column(c).to_numpy().view(np.uint64) for c in ("trigger", "phrase"))
+        order = np.lexsort((lo, ids, phrase, trigger))
+        t, p = trigger[order], phrase[order]
+        new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))[: len(order)]
+        whole = order[_later(new, ids[order], lo[order])]
+        first = order[new]
+        kinds = np.unique(trigger[first], return_inverse=True, return_counts=True)
+        first = first[kinds[2][kinds[1]] > 1] if len(first) else first
+        first = first[np.lexsort((lo[first], ids[first]))]
+        body = table.column("body").combine_chunks().take(pa.array(first))
+        hashes, row, offset = _suffixes(trigger[first], body, n[first], length)
         by = np.argsort(hashes, kind="stable")
         new = np.append(True, hashes[by[1:]] != hashes[by[:-1]])[: len(by)]
-        start = lo[row[by]] + offset[by]
-        later = _later(new, ids[row[by]], start)
-        rest, start = by[later], start[later]
-        out = merge_spans(ids[row[rest]], start, start + length)
+        who, start = ids[first][row[by]], lo[first][row[by]] + offset[by]
+        later = _later(new, who, start)
+        parts = [
+            (given.column("id").to_numpy(), given.column("lo").to_numpy(), given.column("hi").to_numpy()),
+            (ids[whole], lo[whole], lo[whole] + n[whole] + length - 1),
+            (who[later], start[later], start[later] + length),
+        ]
+        out = merge_spans(*(np.concatenate([np.asarray(x[i], np.int64) for x in parts]) for i in range(3)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(out[0].astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in out[1:])], names=["id", "lo", "hi"])
+            [pa.array(out[0]), *(pa.array(x.astype(np.int32)) for x in out[1:])], names=["id", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -199,8 +221,9 @@ def _sorted(length: int):
             if sum(b.num_rows for b in held) < GROUP:
                 continue
             table = pa.Table.from_batches(held)
-            trigger = table.column("trigger").to_numpy()
-            cut = int(np.flatnonzero(trigger == trigger[-1])[0])  # sorted: the last trigger may go on
+            last = pc.equal(table.column("trigger"), table.column("trigger")[-1]).to_numpy()
+            at = np.flatnonzero(np.equal(last, True))  # sorted: the last trigger may go on
+            cut = int(at[0]) if len(at) else table.num_rows
             if cut:
                 yield judge(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
@@ -228,39 +251,48 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).cast("long").alias("id"), F.encode(F.col(text), "UTF-8").alias("body")).where(F.length("body") >= length)
-    counted = rows.mapInArrow(_count(length), "trigger bigint, c int").groupBy("trigger").agg(F.sum("c").alias("c"))
-    repeated = checkpoint(counted.where("c > 1").select("trigger"))
+    counted = rows.mapInArrow(_count(length), "trigger bigint, times bigint, phrases bigint").groupBy("trigger").agg(
+        F.sum("times").alias("times"), F.sum("phrases").alias("phrases"))
+    repeated = checkpoint(counted.where("times > 1").select("trigger", "phrases"))
     size = 1 << 16
-    while size < FILTER_BITS and size < 16 * repeated.count():
+    while size < FILTER_BITS and size < 32 * repeated.count():
         size *= 2
     slot = F.col("trigger").bitwiseAND(F.lit(size - 1))
     words = repeated.groupBy(F.shiftrightunsigned(slot, 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(trigger & 63 as int))")).alias("b")).toArrow()  # size / 64 rows at most
     bits = np.zeros(size // 64, np.uint64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast((bits, size - 1))
-    parsed = checkpoint(rows.mapInArrow(_phrases(shared, length), PHRASES))
-    spans = [parsed.where("trigger IS NULL").select("id", "lo", "hi")]
-    places = parsed.where("trigger IS NOT NULL").select("trigger", "phrase", "id", "lo", "n")
-    first = places.groupBy("trigger", "phrase").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c"))
-    kinds = first.groupBy("trigger").agg(F.count("*").alias("kinds"), F.sum("c").alias("total")).where("total > 1").select("trigger", "kinds")
-    first = checkpoint(first.select("trigger", "phrase", F.col("first.id").alias("id"), F.col("first.lo").alias("lo"), "c").join(kinds, "trigger"))
-    later = places.join(first.where("c > 1").select("trigger", "phrase", F.col("id").alias("i"), F.col("lo").alias("l")), ["trigger", "phrase"])
-    spans.append(later.where("id != i OR lo != l").select("id", "lo", (F.col("lo") + F.col("n") + length - 1).cast("int").alias("hi")))
-    mixed = first.where("kinds > 1").select("trigger", "phrase", "id", "lo", "kinds")
-    bodies = parsed.where("trigger IS NOT NULL").join(mixed, ["trigger", "phrase", "id", "lo"]).select("trigger", "id", "lo", "n", "body", "kinds")
-    few = bodies.where(F.col("kinds") <= GROUP).drop("kinds").repartition("trigger").sortWithinPartitions("trigger")
-    spans.append(few.mapInArrow(_sorted(length), SPANS))
-    if not first.where(F.col("kinds") > GROUP).isEmpty():
-        many = bodies.where(F.col("kinds") > GROUP).drop("kinds")
-        strings = checkpoint(many.mapInArrow(_strings(length), "string bigint, id bigint, lo int"))
-        least = strings.groupBy("string").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        again = strings.join(least, "string").where("id != first.id OR lo != first.lo")
-        spans.append(again.select("id", "lo", (F.col("lo") + length).cast("int").alias("hi")))
+    parsed = rows.mapInArrow(_phrases(spark.sparkContext.broadcast((bits, size - 1)), length), PHRASES)
+    hot = repeated.where(F.col("phrases") > GROUP).select("trigger")
+    spans = []
+    if not hot.isEmpty():
+        parsed = checkpoint(parsed)
+        spans = _hot_spans(parsed.join(hot, "trigger", "left_semi").select(parsed.columns), length)
+        parsed = parsed.join(hot, "trigger", "left_anti").select(parsed.columns)
+    # spans found in a piece have no trigger and are dealt by place
+    dealt = parsed.repartition(F.coalesce("trigger", F.xxhash64("id", "lo"))).sortWithinPartitions("trigger")
+    spans.append(dealt.mapInArrow(_sorted(length), SPANS))
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
-    return out
+    return checkpoint(out)
+
+
+def _hot_spans(phrases: DataFrame, length: int) -> list[DataFrame]:
+    """The same for triggers with many phrases, by aggregates that combine before the shuffle."""
+    phrases = checkpoint(phrases)
+    places = phrases.select("trigger", "phrase", "id", "lo", "n")
+    first = checkpoint(places.groupBy("trigger", "phrase").agg(F.min(F.struct("id", "lo")).alias("first")).select(
+        "trigger", "phrase", F.col("first.id").alias("i"), F.col("first.lo").alias("l")))
+    later = places.join(first, ["trigger", "phrase"]).where("id != i OR lo != l").select(
+        "id", "lo", (F.col("lo") + F.col("n") + length - 1).cast("int").alias("hi"))
+    kinds = first.toDF("trigger", "phrase", "id", "lo")
+    bodies = phrases.join(kinds, ["trigger", "phrase", "id", "lo"], "left_semi").select("trigger", "id", "lo", "n", "body")
+    strings = checkpoint(bodies.mapInArrow(_strings(length), "string bigint, id bigint, lo int"))
+    least = strings.groupBy("string").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    again = strings.join(least, "string").where("id != first.id OR lo != first.lo").select(
+        "id", "lo", (F.col("lo") + length).cast("int").alias("hi"))
+    return [later, again]
 
 
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
