@@ -3,13 +3,15 @@
 Each text becomes the set of its distinct five-word shingles. 128 minima are taken; bands of five
 full minima name candidates, and of each minimum only four bits are kept, packed in eight longs.
 Candidates are first judged by the similarity that the packed bits suggest, corrected for chance
-collisions, with six standard deviations of slack, then by their whole sets.
+collisions, with five standard deviations of slack, then by their whole sets.
 
 * Equal sets are one class from the start, so copies cost one row each.
 * In a bucket everything is compared with one pivot; what lies in the pivot's component then needs
-  no further comparison. When what is left over is at most linear in the input, each remaining
-  member is compared with all of its bucket outside its own component, which makes the components
-  those of all candidate pairs. No bucket is gathered in a task and no bucket's pairs are listed.
+  no further comparison. Members too few of whose shingles occur in any other open member drop
+  out, exactly. When what is left over is at most linear in the input, each remaining member is
+  compared with all of its bucket outside its own component, which makes the components those of
+  all candidate pairs. No bucket is gathered in a task, and a pair is only listed where bounds on
+  the shared shingles and the packed bits allow a link.
 * Twenty-five bands of five miss a pair at similarity 0.85 once in two million, more alike ones
   less often.
 """
@@ -27,8 +29,11 @@ from engram.llm.components import components
 from engram.session import checkpoint
 
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 4
-#: Rows that the closing comparison may form, per class; more pivots are tried above it.
-LINEAR, ROUNDS = 20, 8
+#: Standard deviations of slack for the similarity that packed bits suggest.
+SLACK = 5
+#: Comparisons of packed bits that the closing comparison may make, per document; above it more
+#: pivots are tried first, as long as each halves what is left.
+LINEAR = 100
 
 _odd = kernels.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _salt = kernels.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
@@ -130,11 +135,11 @@ def similarity(a: Column, b: Column) -> Column:
 class _Links:
     """Judges pairs of classes and keeps the links found so far."""
 
-    def __init__(self, classes: DataFrame, sets: DataFrame, threshold: float):
-        self.sig = classes.select("id", "sig")
+    def __init__(self, sig: DataFrame, sets: DataFrame, threshold: float):
+        self.sig = sig
         self.sets, self.threshold, self.found = sets, threshold, []
         p = 2.0**-BITS + (1 - 2.0**-BITS) * threshold
-        self.floor = threshold - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
+        self.floor = threshold - SLACK * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
     def judge(self, pairs: DataFrame) -> None:
         """``pairs`` has a and b, in any order and repeated."""
@@ -156,6 +161,38 @@ class _Links:
         return components(links)
 
 
+def _able(sets: DataFrame, threshold: float) -> DataFrame:
+    """``id, n, s`` of the sets of which enough shingles (``s``) occur in another one too.
+
+    No two sets share more than the lesser ``s``, which bounds their similarity from above.
+    """
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+    s = each.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
+    n = sets.select("id", F.size("shingles").cast("long").alias("n"))
+    return n.join(s, "id").where(F.lit(100) * F.col("s") >= round(threshold * 100) * F.col("n"))
+
+
+_COMPARED = ("id", "component", "n", "s", "sig", "bands")
+
+
+def _across(minor: DataFrame, every: DataFrame, threshold: float, floor: float, last: bool) -> DataFrame:
+    """Pairs of a bucket's ``minor`` rows with its rows in other components that may reach the threshold."""
+    left = minor.select("key", *(F.col(c).alias(f"{c}_a") for c in _COMPARED))
+    right = every.select("key", "main", *(F.col(c).alias(f"{c}_b") for c in _COMPARED))
+    least = F.least("s_a", "s_b")
+    may = (
+        (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b"))
+        & (F.lit(100) * least >= round(threshold * 100) * (F.col("n_a") + F.col("n_b") - least))
+        & (similarity(F.col("sig_a"), F.col("sig_b")) >= floor)
+    )
+    # a pair that shares several bands is listed in one of them
+    may = may & (F.array_min(F.array_intersect("bands_a", "bands_b")) == left["key"])
+    if last:  # of two minor rows one order is enough
+        may = may & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b")))
+    return left.join(right, may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
@@ -177,32 +214,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = checkpoint(banded.join(shared, "key").select("key", "id", "pivot", "m"))
     wanted = members.select("id").distinct()
     sets = checkpoint(shingle_table(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", "text"))
-    links = _Links(classes.groupBy("id").agg(F.any_value("sig").alias("sig")), sets, threshold)
+    features_of = classes.groupBy("id").agg(F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+    sig = features_of.select("id", "sig")
+    links = _Links(sig, sets, threshold)
     links.judge(members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     found, n = links.components(), features.count()
-    for tried in range(ROUNDS + 1):
-        placed = members.join(found, "id", "left").select(
-            "key", "id", "m", F.coalesce("component", "id").alias("component")
-        )
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"), F.first("m").alias("m"))
-        split = sizes.groupBy("key", "m").agg(
-            F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main")
-        ).where("most < m")
-        open_ = checkpoint(placed.drop("m").join(split, "key"))
-        cost = open_.where("component != main").agg(F.sum("m")).first()[0]
+    able, tried, before = None, 0, None
+    while True:
+        placed = members.join(found, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
+        if able is not None:
+            placed = placed.drop("m").join(able, "id")
+        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
+        split = sizes.groupBy("key").agg(
+            F.max("k").alias("most"), F.sum("k").alias("all"), F.max_by("component", F.struct("k", "component")).alias("main")
+        ).where("most < all")
+        open_ = checkpoint(placed.join(split.select("key", "all", "main"), "key"))
+        cost = open_.where("component != main").agg(F.sum("all")).first()[0]
         if not cost:
             break
-        last = cost <= LINEAR * n or tried == ROUNDS
+        if able is None:  # now that few are left, drop what can't reach the threshold with any of them
+            own = sets.join(open_.select("id").distinct(), "id", "left_semi")
+            able = checkpoint(_able(own, threshold).join(features_of, "id"))
+            continue
+        last = cost <= LINEAR * n or before is not None and 2 * cost > before
+        before = cost
         minor = open_.where("component != main")
         if not last:
-            minor = open_.join(
-                minor.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(tried))).alias("pivot")), "key"
-            ).where("id = pivot").select(open_["*"])
-        left = minor.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), "main")
-        pairs = left.join(right, "key").where("ca != cb AND (NOT {} OR cb = main OR a < b)".format(str(last).lower()))
-        links.judge(pairs.select("a", "b"))
+            pivots = minor.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(tried))).alias("pivot"))
+            minor = open_.join(pivots, "key").where("id = pivot")
+        pairs = _across(minor, open_, threshold, links.floor, last)
+        links.judge(pairs)
         found = links.components()
+        tried += 1
         if last:
             break
     by_class = classes.join(found, "id", "left").select(
