@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``docs``. ``run`` writes each stage's rows to the shared folder and rereads them for the next.
-Rows of other columns pass through. A stage joins its decisions to the documents by ``doc_id``,
+Other columns pass through. A stage joins its decisions to the documents by ``doc_id``,
 so rows without an id pass the filters unchanged.
 """
 
@@ -21,6 +21,10 @@ SIMILARITY = 0.8
 SHARDS = 24
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.train(docs, tune(spark).read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,33 +36,20 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     tune(spark)
     groups = near_dedup.near_duplicates(docs, threshold=SIMILARITY)
     gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, gone)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     items = tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = decontam.contaminated(docs, items).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, gone)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     tune(spark)
-    plan = checkpoint(mixing.mixed(docs))
-    keys = {"_i": "id", "_s": "source", "_z": "size"}
-    rows = docs.withColumn("_z0", mixing.word_count("text"))
-    took = plan.select(*(F.col(v).alias(k) for k, v in keys.items()), "copies", "whole", "drawn")
-    same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z"))
-    joined = rows.join(took, same)
-    # rows that repeat an id are told apart by chance of place: which of them is drawn makes no difference
-    copy = F.lit(1)
-    if not plan.where("copies > 1").isEmpty():
-        from pyspark.sql import Window
-
-        copy = F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64("text")))
-    joined = joined.withColumn("_copy", copy).withColumn("_times", F.col("whole") + (F.col("_copy") <= F.col("drawn")).cast("long"))
-    return joined.where("_times > 0").withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(docs.columns)
+    return mixing.taken_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,3 +134,20 @@ def mixed(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "t
     same = F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
     return rows.join(drawn, same, "left").select(
         "id", "source", "size", "copies", "source_size", "target", "whole", F.coalesce("drawn", F.lit(0).cast("long")).alias("drawn"))
+
+
+def taken_rows(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, with their columns, each as often as the mix takes it."""
+    safe = [f"c{i}" for i in range(len(docs.columns))]
+    plan = checkpoint(mixed(docs, seed, doc_id, text, source)).select("id", "source", "size", "copies", "whole", "drawn")
+    rows = docs.select(
+        *(F.col(f"`{c}`").alias(s) for c, s in zip(docs.columns, safe)), F.col(doc_id).cast("long").alias("_id"),
+        F.col(source).cast("string").alias("_source"), word_count(text).alias("_size"), F.xxhash64(text).alias("_mark"))
+    same = F.col("_id").eqNullSafe(F.col("id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
+    found = rows.join(plan, same)
+    copy = F.lit(1)
+    if not plan.where("copies > 1").isEmpty():  # rows that repeat an id are numbered
+        copy = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_mark"))
+    times = F.col("whole") + (F.col("_copy") <= F.col("drawn")).cast("long")
+    return found.withColumn("_copy", copy).withColumn("_times", times).where("_times > 0").withColumn(
+        "_take", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*(F.col(s).alias(c) for c, s in zip(docs.columns, safe)))

@@ -7,7 +7,8 @@ per kind, calibrated for precision on rows the trees have not seen, decides. Bas
 stay; a chosen candidate is added where it overlaps none of them.
 
 The trees learn from a bounded sample of documents: base spans are positive examples, so are the
-same spans rewritten in looser forms, and candidates that are neither are negative ones.
+same spans rewritten in looser forms; candidates that are neither, and dates and other numbers put
+in a span's place, are negative ones.
 """
 
 from __future__ import annotations
@@ -187,6 +188,13 @@ def _looser(kind: str, body: str) -> list[str]:
     return []
 
 
+# numbers of everyday formats, which are no personal data wherever they stand
+_DECOYS = (
+    "2024-01-31", "31.12.2024", "12-31-1999", "31/12/2024", "1914-1918", "2001 - 2010", "978-3-16-148410-0", "10.1000.182.7", "1.20.300.4000",
+    "1234567", "100 000 000", "3.14159265", "12:30 2024-06-01", "20240131", "20240131123000", "0000000000000", "v 1.2.3-4567", "5 10 15 20 25",
+)
+
+
 def _examples(text: str) -> Iterator[tuple[list[float], float, str]]:
     base = base_spans(text)
     for span in candidates(text):
@@ -195,11 +203,15 @@ def _examples(text: str) -> Iterator[tuple[list[float], float, str]]:
         if hit or not near:
             yield features(text, span), float(hit), span[0]
     for kind, start, end in base:
+        head, tail = text[max(0, start - 60) : start], text[end : end + 60]
         for body in _looser(kind, text[start:end]):
-            head, tail = text[max(0, start - 60) : start], text[end : end + 60]
             for span in candidates(head + body + tail):
                 if span[0] == kind and abs(span[1] - len(head)) <= 1 and abs(span[2] - len(head) - len(body)) <= 1:
                     yield features(head + body + tail, span), 1.0, kind
+        for body in _DECOYS:
+            for span in candidates(head + body + tail):
+                if span[1] < len(head) + len(body) and span[2] > len(head):
+                    yield features(head + body + tail, span), 0.0, span[0]
 
 
 def train(docs: DataFrame, text: str = "text") -> Trees:
@@ -208,7 +220,8 @@ def train(docs: DataFrame, text: str = "text") -> Trees:
     # rows of features only, so that long texts don't crowd the driver
     examples = some.withColumn("mark", F.xxhash64("text")).mapInArrow(_rows, "mark bigint, row binary, label double, kind string")
     rows = examples.orderBy("mark", "row").limit(SAMPLE).toArrow()
-    x = np.array([np.frombuffer(r, np.float32) for r in rows.column("row").to_pylist()], np.float64).reshape(rows.num_rows, -1)
+    width = len(features("", ("email", 0, 0)))
+    x = np.array([np.frombuffer(r, np.float32) for r in rows.column("row").to_pylist()], np.float64).reshape(rows.num_rows, width)
     y, mark = rows.column("label").to_numpy(), rows.column("mark").to_numpy()
     kind = np.array(rows.column("kind").to_pylist(), object)
     apart = mark % 4 == 0

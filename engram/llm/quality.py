@@ -66,16 +66,20 @@ class Model:
     labels: np.ndarray
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        """Votes for label 1, between 0 and 1; without any similar neighbour, the sample's share."""
+        """Votes for label 1, between 0 and 1; 0.5 without any similar neighbour."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         cosine = _unit(rows @ self.projection) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0).astype(np.float64) ** SHARPNESS
+        # votes count as if the sample had as many rows of either label
+        share = self.labels.mean()
+        if 0 < share < 1:
+            weight = weight * np.where(self.labels[near] > 0.5, 0.5 / share, 0.5 / (1 - share))
         total = weight.sum(axis=1)
         votes = (weight * self.labels[near]).sum(axis=1)
-        return np.clip(np.where(total > 0, votes / np.where(total > 0, total, 1), self.labels.mean()), 0.0, 1.0)
+        return np.clip(np.where(total > 0, votes / np.where(total > 0, total, 1), 0.5 if 0 < share < 1 else share), 0.0, 1.0)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -125,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         if not seen or seen[-1] != i:  # of repeated ids one
             rows.append(np.frombuffer(packed, np.float16))
             seen.append(i)
-    return fit(np.array(rows, np.float32).reshape(len(rows), -1), [chosen[i] for i in seen])
+    return fit(np.array(rows, np.float32).reshape(len(rows), _TERMS), [chosen[i] for i in seen])
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +159,8 @@ def _append(shared):
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with its columns and ``score`` (0 to 1, higher for label 1), replacing one of that name.
 
-    Null and empty texts have no similar neighbour and score the sample's share of label 1.
+    Null and empty texts have no similar neighbour and score 0.5, as does every text without a
+    sample; a sample of one label gives that label.
     Repeated rows score alike; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,7 +16,7 @@ from engram.session import checkpoint
 
 #: Rows that one bucket, and so one window group, holds on average.
 BUCKET_ROWS = 4096
-_NAMES = ("_key", "_source", "_n", "_part", "_rank", "_at", "_slice", "_position", "_size", "_crc")
+_ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def _bytes(text: str) -> Column:
@@ -36,10 +36,10 @@ def interleaved(
     no bytes); equal rows share a place in an order that makes no difference. An empty table gives
     an empty result.
     """
-    clash = [c for c in docs.columns if c.lower() in ("size", "text_crc32", "shard", "slot", *_NAMES)]
-    columns = [c for c in (docs.columns if carry is None else carry) if c not in clash]
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in _ADDED]
+    safe = [f"c{i}" for i in range(len(names))]
     rows = docs.select(
-        *(F.col(f"`{c}`") for c in columns),
+        *(F.col(f"`{c}`").alias(s) for c, s in zip(names, safe)),
         (F.length(_bytes(text)) + 8).cast("long").alias("_size"),
         F.crc32(_bytes(text)).alias("_crc"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("_key"),
@@ -77,5 +77,5 @@ def interleaved(
         ranked.withColumn("_position", F.row_number().over(place) - 1)
         .join(running, "_slice").withColumn("_position", F.col("_position") + F.col("_before"))
         .withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_position") - first)
-        .select(*(F.col(f"`{c}`") for c in columns), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot")
+        .select(*(F.col(s).alias(c) for c, s in zip(names, safe)), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot")
     )

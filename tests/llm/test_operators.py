@@ -1,0 +1,472 @@
+"""The corpus operators against brute force, on awkward rows, and against their SQL."""
+
+import base64
+import gzip
+import hashlib
+import io
+import itertools
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from check import compare, oracle
+from engram.llm import decontam, kernels, lines, mixing, near_dedup, pii, quality, queries, repeats, shards, vectors, warc
+from engram.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: The columns of documents, and others named like what operators use inside.
+CLASHING = DOCS + ", id long, body string, key string, size long, shard int, slot int, component string, score string, c0 string"
+
+
+def docs_of(spark, rows, schema=DOCS):
+    width = len(schema.split(","))
+    return spark.createDataFrame([tuple(r) + (None,) * (width - len(r)) for r in rows], schema)
+
+
+def sentence(dice, n, words=400):
+    return " ".join(f"w{dice.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls everywhere, empty, blank, tiny, long, repeated and equal texts, and clashing columns."""
+    dice = random.Random(5)
+    long = sentence(dice, 200_000, 5000)
+    body = sentence(dice, 60)
+    rows = [
+        (1, body, "en", "a", 1), (2, body, None, None, None), (3, None, None, "a", None), (4, "", "en", "b", 0),
+        (5, " \n\t ", "en", "b", 3), (6, "one two", "en", "b", 7), (7, "ONE  two", "en", "a", 8), (8, long, "en", "c", 0),
+        (9, long + " tail", "de", "a", 0), (None, body, "en", "a", 1), (None, None, None, None, None),
+        (10, sentence(dice, 50), "en", "b", 1), (10, "other words here", "en", "b", 1), (11, "a b " * 300, "en", "a", 1),
+        (12, body + "\n" + body, "fr", "c", 2), (2, body, None, None, None), (13, "é ü ß " * 40, "de", "c", 2),
+    ]
+    return docs_of(spark, rows, CLASHING)
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    return oracle(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    assert compare(spark, duck, name, sf_dir).startswith("ok")
+
+
+def model_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def model_groups(nodes, linked):
+    label = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(sorted(nodes), 2):
+            if linked(a, b) and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def test_kernels_against_words():
+    texts = ["", None, "a", "A b\tc", "x " * 30, "é È\x0bz  ", "\n", "1 2 3 4 5", "1 2 3 4 5 6", "one two three four", "q" * 3000]
+    data, offsets = kernels.texts(pa.array(texts))
+    sets = kernels.shingle_sets(data, offsets)
+    assert [len(s) for s in sets] == [len(model_shingles(t)) for t in texts]
+    same = kernels.shingle_sets(*kernels.texts(pa.array(["ONE two\tthree  FOUR", "ö A"])))
+    assert (same[0] == sets[9]).all() and not np.isin(same[1], np.concatenate(sets)).any()
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (8, 9), (4, 4), (7, None)] + [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)]
+    rows = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert rows == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 540)}}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def near_rows(dice):
+    base = [f"w{dice.randrange(3000)}" for _ in range(400)]
+    rows, i = [], 0
+    for edits in [0, 0, *range(0, 14), *range(0, 14)]:
+        words = list(base)
+        for at in dice.sample(range(400), edits):
+            words[at] = f"x{dice.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+        i += 1
+    return rows + [(i + k, sentence(dice, 40, 5000), "en", "t", 0) for k in range(30)]
+
+
+def test_near_duplicates_brute_force(spark, monkeypatch):
+    rows = near_rows(random.Random(1))
+    sets = {r[0]: model_shingles(r[1]) for r in rows}
+    want = model_groups(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    assert 2 < len(set(want.values())) < len(rows) - 10
+    for linear in (100, 0):  # with and without the further rounds of pivots
+        monkeypatch.setattr(near_dedup, "LINEAR", linear)
+        got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+        assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets[r.doc_id]) for r in got)
+
+
+def test_near_duplicates_awkward(spark, awkward):
+    rows = near_dedup.near_duplicates(awkward).collect()
+    assert len(rows) == awkward.count()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id, r.kept))
+    assert got[1] == [(56, 1, True)] and got[2] == [(56, 1, False)] * 2 and got[7] == [(1, 6, False)] and got[9][0][1] == 8
+    assert got[3] == [(0, 3, True)] and got[5] == [(0, 5, True)]
+    assert sorted(got[None]) == [(0, None, True), (56, None, True)]
+    assert near_dedup.near_duplicates(awkward.limit(0)).collect() == []
+
+
+def test_decontamination(spark, awkward):
+    dice = random.Random(2)
+    items = [(k, sentence(dice, n, 2000)) for k, n in enumerate([3, 6, 20, 45, 60, 300])] + [(90, None), (91, ""), (None, "x y z"), (92, "one two")]
+    split = lambda k, cut: items[k][1].split()[:cut]
+    rows = [(100 + k, sentence(dice, 700) + " " + t.upper() + " " + sentence(dice, 500), "en", "s", 1) for k, (_, t) in enumerate(items[:6])]
+    rows += [(200, " ".join(split(3, 38)), "en", "s", 1), (201, " ".join(split(3, 30)), "en", "s", 1),
+             (202, " ".join([*split(4, 40), "break", *items[4][1].split()[40:]]), "en", "s", 1)]
+    docs = docs_of(spark, rows)
+    given = spark.createDataFrame([(*i, "extra") for i in items], "item_id long, text string, doc_id string")
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in decontam.contained_items(docs, given).collect()}
+    want = {}
+    for d, t, i, u in ((r[0], r[1], i, u) for r in rows for i, u in items if i is not None):
+        x, y = model_shingles(t), model_shingles(u)
+        if y and 100 * len(x & y) >= 80 * len(y):
+            want[d, i] = (len(y), len(x & y))
+    assert got == want and (200, 3) in got and (201, 3) not in got and (202, 4) in got
+    assert {(r.doc_id, r.item_id) for r in decontam.contained_items(awkward, given).collect()} == {(6, 92), (7, 92)}
+    assert decontam.contained_items(docs, given.limit(0)).collect() == decontam.contained_items(docs.limit(0), given).collect() == []
+
+
+def test_decontamination_in_blocks(spark, sf_dir, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontam.contained_items(docs, items).collect()))
+    monkeypatch.setattr(decontam, "BLOCK", 9)
+    assert whole and sorted(map(tuple, decontam.contained_items(docs, items).collect())) == whole
+
+
+def test_quality(spark, awkward):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in queries.QUERIES["op3_quality_neighbours"](spark, sf).collect()}
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows.values())
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows.values())
+    held = [(rows[r.doc_id].predicted, r.quality) for r in labels.collect() if rows[r.doc_id].held_out]
+    assert len(held) > 500
+    for label in (0, 1):
+        own = [p == q for p, q in held if q == label]
+        assert sum(own) / len(own) > 0.98
+    model = quality.train(docs, labels)
+    out = quality.scored(awkward, model)
+    assert sorted(out.columns) == sorted(awkward.columns) and out.count() == awkward.count()
+    assert {r.score for r in out.where("text IS NULL OR text = ''").collect()} == {0.5}
+    none = quality.train(docs, labels.limit(0))
+    assert {r.score for r in quality.scored(awkward, none).collect()} == {0.5}
+    assert quality.scored(awkward.limit(0), model).collect() == []
+    odd = spark.createDataFrame([(0, None), (1, 7), (None, 1)], "doc_id long, quality int")
+    assert not len(quality.train(docs, odd).labels)
+
+
+def test_vectors_brute_force(spark, monkeypatch):
+    dice = np.random.default_rng(3)
+    base = dice.standard_normal((40, 16))
+    rows = np.concatenate([base, base[:12] + 0.07 * dice.standard_normal((12, 16)), base[:6] + 0.07 * dice.standard_normal((6, 16)), base[:3], dice.standard_normal((150, 16))])
+    rows = rows * dice.uniform(0.1, 50, (len(rows), 1))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    table = [(i, v.tolist(), "x", 1) for i, v in enumerate(rows)]
+    table += [(900, None, "x", 1), (901, [0.0] * 16, "x", 1), (902, [float("nan")] * 16, "x", 1), (903, [1.0, None] + [0.0] * 14, "x", 1),
+              (904, [], "x", 1), (905, [float("inf")] + [1.0] * 15, "x", 1), (906, [1.0, 2.0], "x", 1), (907, [2.0, 4.0], "x", 1), (None, [1.0, 2.0], "x", 1)]
+    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>, cell string, copies int")
+    want = model_groups(range(len(rows)), lambda a, b: near[a, b])
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "GUESTS", 8)
+    got = {r.vec_id: r for r in vectors.near_vectors(frame).collect()}
+    assert len(got) == len(table)
+    for i in range(len(rows)):
+        assert (got[i].component_id, got[i].n_links, got[i].kept) == (want[i], near[i].sum() - 1, want[i] == i)
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(900, 906))
+    assert (got[906].n_links, got[907].component_id) == (1, 906) and (got[None].n_links, got[None].component_id) == (0, None)
+    assert vectors.near_vectors(frame.limit(0)).collect() == []
+
+
+def test_vectors_recall(spark):
+    dice = np.random.default_rng(4)
+    base = dice.standard_normal((900, 64))
+    rows = np.concatenate([base, base + 0.3 * dice.standard_normal(base.shape)])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    links = near.sum() - len(rows)
+    for exact in (False, True):
+        found = vectors.near_vectors(frame, exact=exact).agg(F.sum("n_links")).first()[0]
+        assert links > 500 and found <= links and found >= (links if exact else 0.99 * links)
+
+
+def test_shards(spark, awkward, monkeypatch):
+    dice = random.Random(6)
+    rows = [(i, sentence(dice, 5), "en", dice.choice("aaaab"), 0) for i in range(2000)] + [(5000, None, None, None, None)]
+    for bucket in (4096, 50):
+        monkeypatch.setattr(shards, "BUCKET_ROWS", bucket)
+        got = shards.interleaved(docs_of(spark, rows), 7).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.shard, []).append(r)
+        counts = [len(v) for v in by.values()]
+        assert len(got) == 2001 and len(by) == 7 and max(counts) - min(counts) <= 1
+        assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+        share = sum(r[3] == "a" for r in rows) / len(rows)
+        assert all(abs(sum(r.source == "a" for r in v) / len(v) - share) < 0.01 for v in by.values())
+        assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) and r["size"] == len((r.text or "").encode()) + 8 for r in got)
+        placed = sorted((r.doc_id, r.shard, r.slot) for r in got)
+        assert bucket == 4096 or placed == before
+        before = placed
+    out = shards.interleaved(awkward, 3)
+    assert out.count() == awkward.count() and sorted(out.columns) == sorted({*awkward.columns, "text_crc32"})
+    assert shards.interleaved(awkward.limit(0), 3).collect() == []
+
+
+def model_repeats(rows, length):
+    """Kept bytes, spans removed per document, string by string."""
+    seen, out = set(), {}
+    for d, body in sorted(rows):
+        covered = np.zeros(len(body), bool)
+        for s in range(len(body) - length + 1):
+            string = body[s : s + length]
+            if string in seen:
+                covered[s : s + length] = True
+            seen.add(string)
+        edges = np.diff(np.concatenate([[0], covered.astype(int), [0]]))
+        out[d] = (len(body), int(covered.sum()), int((edges == 1).sum()), bytes(b for b, c in zip(body, covered) if not c))
+    return out
+
+
+def test_repeats_brute_force(spark, awkward, monkeypatch):
+    dice = random.Random(7)
+    passage = sentence(dice, 60)
+    rows = [(i, " ".join([sentence(dice, dice.randrange(60)), passage[dice.randrange(40) :], sentence(dice, 30), passage[: dice.randrange(250)]])) for i in range(60)]
+    rows += [(100 + i, "ab " * dice.randrange(30, 200)) for i in range(6)] + [(200, rows[3][1]), (201, "x" * 99), (202, "x" * 100), (203, "x" * 101), (-5, "é" * 80)]
+    rows += [(300 + i, passage[:90] + "".join(dice.choice("abcd") for _ in range(200)) + passage[90:]) for i in range(20)]
+    want = model_repeats([(d, t.encode()) for d, t in rows], 100)
+    table = docs_of(spark, rows)
+    for group in (50_000, 3):  # a small bound sends triggers through the aggregates
+        monkeypatch.setattr(repeats, "GROUP", group)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(table).collect()}
+        assert got == want
+    monkeypatch.undo()
+    rows = repeats.without_repeats(awkward).collect()
+    assert len(rows) == awkward.count()
+    got = {r.doc_id: r for r in rows if r.doc_id not in (None, 2, 10)}
+    assert got[1].n_removed == 0 and got[3].n_bytes == 0 and got[9].n_removed > got[8].n_bytes - 200 and got[12].n_removed == got[12].n_bytes - 1 and got[12].n_spans == 2
+    assert all(r.n_removed == 0 for r in rows if r.doc_id is None) and {r.n_removed for r in rows if r.doc_id == 2} == {got[1].n_bytes}
+    assert repeats.without_repeats(awkward.limit(0)).collect() == []
+
+
+def test_mixing(spark, awkward, monkeypatch):
+    dice = random.Random(8)
+    rows = [(i, sentence(dice, dice.randrange(1, 80)), "en", s, 0) for i, s in enumerate("a" * 900 + "b" * 300 + "c" * 20 + "d" * 200)]
+    rows += [(5000 + i, sentence(dice, 30), "en", None, 0) for i in range(50)]
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 64)
+    table = docs_of(spark, rows)
+    plan = mixing.mixed(table).collect()
+    sizes, targets, took = {}, {}, {}
+    for r in plan:
+        assert r["size"] == len(dict((x[0], x[1]) for x in rows)[r.id].split()) and 0 <= r.whole * r.copies + r.drawn <= 3 * r.copies
+        sizes[r.source], targets[r.source] = r.source_size, r.target
+        took[r.source] = took.get(r.source, 0) + r["size"] * (r.whole * r.copies + r.drawn)
+    total, order = sum(sizes.values()), ["a", "b", "c", "d", None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    full = set()
+    while True:
+        level = (total - sum(3 * sizes[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+        more = {s for s in order if s not in full and level * weight[s] > 3 * sizes[s]}
+        if not more:
+            break
+        full |= more
+    want = {s: 3 * sizes[s] if s in full else level * weight[s] for s in order}
+    assert full and all(abs(targets[s] - want[s]) < 1e-6 and abs(took[s] - want[s]) <= 80 for s in order)
+    counts = {s: sum(r.whole * r.copies + r.drawn for r in plan if r.source == s) for s in order}
+    own = {s: sum(r.copies for r in plan if r.source == s) for s in order}
+    assert all(abs(counts[s] - own[s] * want[s] / sizes[s]) <= 3 for s in order)
+    assert sorted(map(tuple, mixing.mixed(table).collect()), key=str) == sorted(map(tuple, plan), key=str)
+    out = mixing.taken_rows(table).groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()
+    assert {r.source: r.n for r in out} == took
+    assert mixing.mixed(awkward).agg(F.sum("copies")).first()[0] == awkward.count()
+    assert mixing.taken_rows(awkward).columns == awkward.columns and mixing.taken_rows(awkward).count() > 0
+    assert mixing.mixed(awkward.limit(0)).collect() == mixing.taken_rows(awkward.limit(0)).collect() == []
+    blank = docs_of(spark, [(1, None, None, "a"), (2, "", None, "b")])
+    assert {(r.target, r.whole, r.drawn) for r in mixing.mixed(blank).collect()} == {(0.0, 0, 0)}
+
+
+def test_flight_balances():
+    dice = random.Random(9)
+    sizes = [dice.randrange(1, 100) for _ in range(500)]
+    mean = np.zeros(500)
+    for seed in range(200):
+        out = mixing.flight(sizes, [0.3] * 500, seed)
+        assert sum(0 < c < 1 for c in out) <= 2
+        assert abs(sum(out) - 150) < 1e-6 and abs(np.dot(out, sizes) - 0.3 * sum(sizes)) < 1e-4
+        mean += out
+    assert abs(mean / 200 - 0.3).max() < 0.2
+
+
+def test_lines(spark, awkward):
+    rows = []
+    for site in range(14):
+        own = ["everywhere", f"only {site}", *(f"on {k} sites" for k in range(6, 14) if site < k), " ", f"same {site % 2}"]
+        rows += [(100 * site + i, "\n".join([f"  {x}\t" if i else x for x in own]), "en", f"s{site}", 0) for i in range(3)]
+    got = {r.doc_id: r.clean for r in lines.without_boilerplate(docs_of(spark, rows), sites=10).collect()}
+    for d, text, _, site, _ in rows:
+        keep = [x for x in text.split("\n") if x.strip() != "everywhere" and not re.fullmatch(r"on (1\d) sites", x.strip())]
+        assert got[d] == "\n".join(keep)
+    out = lines.without_boilerplate(awkward, sites=2).collect()
+    assert len(out) == awkward.count() and {(r.n_lines, r.n_removed, r.clean) for r in out if r.doc_id == 3} == {(0, 0, None)}
+    assert {(r.n_lines, r.n_removed, r.clean) for r in out if r.doc_id == 4} == {(1, 0, "")}
+    assert lines.without_boilerplate(awkward.limit(0)).collect() == []
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def model_base(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            even = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            fine = {
+                "email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False,
+                "card": 14 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in even) % 10 == 0, "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if fine:
+                out.append((kind, m.start(), m.end()))
+    return sorted(out)
+
+
+def test_pii_base(spark, sf_dir):
+    dice = random.Random(10)
+    parts = ["a@b.c", "@", ".", "x", " ", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "é", "12", "-", "+", "(at)",
+             "user.n@mail.example.com", "0001.2.3.4", "79927398713", "ab@c", "a.b", "@d.e", "00 44 20 7946 0958"]
+    for _ in range(3000):
+        text = "".join(dice.choice(parts) for _ in range(dice.randrange(1, 12)))
+        assert sorted(pii.base_spans(text)) == model_base(text), text
+    assert pii.base_spans("9" * 5000 + "." + "1" * 5000 + ".2.3") == []
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.QUERIES["op9_personal_data"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(texts)
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    for r in rows:
+        base = sorted(model_base(texts[r.doc_id] or ""), key=lambda s: (s[1], order[s[0]]))
+        line = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(line).encode()).hexdigest() and set(line) <= set(filter(None, r.spans.split(",")))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+
+
+def test_pii_trees(spark, awkward):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert model.trees and all(model.thresholds[k] <= 1 for k in ("email", "card", "phone"))
+    loose = "please write to jo.77 (at) mail3.example.com soon"
+    assert [(k, loose[a:b], base) for k, a, b, base in pii.find(loose, model)] == [("email", "jo.77 (at) mail3.example.com", False)]
+    for clean in ("the year 1984 and 2024-01-01", "page 12 of 300", "it is 3.14159 or 2.71828", "plain words", "see (at) noon"):
+        assert pii.find(clean, model) == []
+    out = pii.personal_data(awkward, model).collect()
+    assert len(out) == awkward.count() and all(r.spans == [] for r in out)
+    assert pii.personal_data(awkward.limit(0)).collect() == []
+    assert pii.redacted("a x@y.z b", [("email", 2, 7), ("email", 4, 7)]) == "a [EMAIL] b"
+
+
+def test_boosted_trees_learn():
+    dice = np.random.default_rng(11)
+    x = dice.uniform(size=(2000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
+    model = pii.boost(x[:1500], y[:1500])
+    assert ((model.scores(x[1500:]) > 0.5) == y[1500:]).mean() > 0.97
+    assert not pii.boost(x[:0], y[:0]).trees
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "http://a/", "<p>x</p>", "q"), (2, "http://b/", "<p>x</p>", "q"), (3, None, None, "q"), (4, "u\r\nv", "", "q"),
+            (None, "http://n/", "<p>x</p>", "q"), (5, "http://l/", "é" * 400_000, None), (6, "http://c/", "a\r\n\r\nb", "q"), (7, "http://r/", "seven", "q"), (7, "http://r/", "seven", "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, kept string")
+    folder = f"file://{tmp_path}"
+    files = warc.write_archives(pages, folder)
+    got = warc.read_archives(files, folder).collect()
+    assert sorted((r.page is None, r.page or 0, r.kind, r.refers) for r in got) == sorted([
+        (False, 1, "revisit", 2), (False, 2, "response", None), (False, 3, "revisit", 4), (False, 4, "response", None), (True, 0, "revisit", 2),
+        (False, 5, "response", None), (False, 6, "response", None), (False, 7, "response", None), (False, 7, "response", None)])
+    bodies = {r[0]: (r[2] or "").encode() for r in rows}
+    for r in got:
+        assert r.error is None and r.mark == base64.b32encode(hashlib.sha1(bodies[r.page]).digest()).decode()
+        assert r.kind == "revisit" or (bytes(r.payload) == bodies[r.page] and r["size"] == len(bodies[r.page]))
+    out = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.archived_pages(pages, folder).collect()}
+    assert out[1] == (8, "revisit") and out[3] == (0, "revisit") and out[5] == (800_000, "response")
+    assert warc.archived_pages(pages.limit(0), folder).collect() == []
+
+
+def test_warc_reader_faults():
+    good = [warc.record(i, "http://a/", b"body %d" % i, warc.digest(b"body %d" % i), None) for i in range(5)]
+    whole = b"".join(good)
+    assert [warc.parse_record(m)["page"] for m in warc.members(io.BytesIO(whole))] == list(range(5))
+    assert gzip.decompress(whole).count(b"WARC/1.1") == 5
+    with pytest.raises(warc.Bad):
+        list(warc.members(io.BytesIO(whole[:-9])))
+    with pytest.raises(warc.Bad):
+        list(warc.members(io.BytesIO(b"no gzip")))
+    inside = gzip.decompress(good[0])
+    for bad in (inside.replace(b"body 0", b"body X"), inside[:-4], inside.replace(b"WARC/1.1", b"HTTP/1.1"), inside.replace(b"body 0", b"body")):
+        with pytest.raises(warc.Bad):
+            warc.parse_record(bad)
+
+
+def test_pipeline(spark, sf_dir, awkward):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and {r.doc_id for r in rows} <= set(kept)
+        if name == "quality":
+            bad = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality == 0}
+            good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality == 1}
+            # eleven bad examples to learn from at this scale
+            assert len({r.doc_id for r in rows} & bad) <= 0.5 * len(bad) and good <= {r.doc_id for r in rows}
+        if name == "near_dedup":
+            sets = {d: model_shingles(t) for d, t in kept.items()}
+            groups = model_groups(sets, lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+            assert {r.doc_id for r in rows} == set(groups.values())
+        if name == "decontamination":
+            items = [model_shingles(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            hit = lambda t: any(100 * len(i & model_shingles(t)) >= 80 * len(i) for i in items if i)
+            assert {r.doc_id for r in rows} == {d for d, t in kept.items() if not hit(t)}
+        docs = spark.createDataFrame(rows, out.schema) if name != "mixing" else out
+        kept = {r.doc_id: r.text for r in rows}
+    out = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir)
+    assert set(docs.columns) < set(out.columns) and out.count() == docs.count()
+    assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, awkward, sf_dir).count() >= 0
+        assert stage(spark, awkward.limit(0), sf_dir).count() == 0
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert set(queries.SQL) <= set(entry.oracle_sql()) and os.path.isdir(os.path.dirname(queries.__file__))
