@@ -18,6 +18,10 @@ RETENTION_SQL = (
     f"exp(-(epoch_us({NOW_SQL}) - epoch_us(last_accessed)) / 3.6e9 / (24.0 * stability)) END"
 )
 
+# what an entity still remembers, and may see itself
+REMEMBERED_SQL = f"{RETENTION_SQL} >= 0.1"
+VISIBLE_SQL = f"coalesce(nullif(agent_owner, ''), '{S.NIL_UUID}') IN (entity_id, '{S.NIL_UUID}')"
+
 
 def _ntz(*columns):
     return [F.col(c).cast("timestamp_ntz").alias(c) for c in columns]
@@ -238,7 +242,7 @@ def fact_scd2(spark, sf_dir):
 @query("supersede_join", f"""
 WITH {SQL_FACTS},
 old AS (SELECT entity_id, attribute, arg_min(id, (valid_from, id)) AS old_id, arg_min(val, (valid_from, id)) AS old_val
-        FROM facts WHERE attribute <> 'view' GROUP BY ALL),
+        FROM facts WHERE {REMEMBERED_SQL} AND {VISIBLE_SQL} GROUP BY ALL),
 cand AS (SELECT event_id, CAST(user_id AS VARCHAR) AS entity_id, event_type AS attribute,
                 CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS val FROM events)
 SELECT event_id, old_id, CASE WHEN old_id IS NULL THEN 'insert' WHEN old_val = val THEN 'skip'
@@ -247,33 +251,34 @@ FROM cand LEFT JOIN old USING (entity_id, attribute)
 """)
 def supersede_join(spark, sf_dir):
     """What happens to each candidate fact given the stored ones."""
-    facts = event_facts(spark, sf_dir).filter(F.col("attribute") != "view")
+    facts = event_facts(spark, sf_dir)
     candidates = table(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").cast("string").alias("entity_id"),
         F.col("event_type").alias("attribute"), F.floor(F.col("value") / 100).cast("string").alias("val"),
     )
-    return O.classify_candidates(candidates, facts).select("event_id", "old_id", "action")
+    return O.classify_candidates(candidates, facts, now=now()).select("event_id", "old_id", "action")
 
 
 @query("contradicted_facts", f"""
 WITH {SQL_FACTS},
 cand AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity_id, event_type AS attribute,
-                CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS val FROM events WHERE value < 250)
-SELECT id FROM facts f WHERE {SINGULAR_SQL.format('f.attribute')} AND EXISTS (
+                CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS val FROM events)
+SELECT id FROM facts f WHERE {SINGULAR_SQL.format('f.attribute')} AND {REMEMBERED_SQL} AND EXISTS (
   SELECT 1 FROM cand c WHERE c.entity_id = f.entity_id AND c.attribute = f.attribute AND c.val <> f.val)
 """)
 def contradicted_facts(spark, sf_dir):
     """Stored facts that some document fact gives another value for."""
-    candidates = table(spark, sf_dir, "events").filter(F.col("value") < 250).select(
+    candidates = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("entity_id"), F.col("event_type").alias("attribute"),
         F.floor(F.col("value") / 100).cast("string").alias("val"),
     )
-    return O.contradicted(event_facts(spark, sf_dir), candidates).select("id")
+    return O.contradicted(event_facts(spark, sf_dir), candidates, now=now()).select("id")
 
 
 @query("conflict_match", f"""
 WITH {SQL_FACTS},
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, id) AS rn FROM facts) WHERE rn <= 100),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, id) AS rn FROM facts WHERE {VISIBLE_SQL})
+         WHERE rn <= 100 AND {REMEMBERED_SQL}),
 verdicts AS (SELECT event_id AS verdict_id, CAST(user_id AS VARCHAR) AS entity_id,
     CASE event_id % 4 WHEN 0 THEN upper(event_type) || ': ' || CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR)
       WHEN 1 THEN ' ' || CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) || ' '
@@ -303,14 +308,14 @@ def conflict_match(spark, sf_dir):
         F.when(F.pmod(F.col("event_id"), F.lit(8)) == 2, F.concat(F.lit("about "), "event_type"))
         .otherwise("").alias("reason"),
     )
-    matched = O.match_conflicts(verdicts, event_facts(spark, sf_dir))
+    matched = O.match_conflicts(verdicts, event_facts(spark, sf_dir), now=now())
     return matched.select("verdict_id", "matched_id", "matched_level")
 
 
 @query("reflection_groups", f"""
 WITH {SQL_FACTS},
 near AS (SELECT *, coalesce(nullif(agent_owner, ''), '{S.NIL_UUID}') AS owner FROM (
-  SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, id) AS rn FROM facts) WHERE rn <= 100),
+  SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, id) AS rn FROM facts) WHERE rn <= 100 AND {REMEMBERED_SQL}),
 enough AS (SELECT entity_id FROM near GROUP BY 1 HAVING count(*) >= 2),
 owners AS (SELECT DISTINCT entity_id, owner FROM near JOIN enough USING (entity_id)),
 lines AS (SELECT o.entity_id, o.owner, n.rn, n.owner <> o.owner AS shared, '- Attribute ''' || attribute || ''': ' || val || chr(10) AS line
@@ -320,7 +325,7 @@ FROM lines GROUP BY ALL HAVING count(*) >= 2
 """)
 def reflection_groups(spark, sf_dir):
     """Facts each owner may reflect on, per entity: its own, then the shared ones."""
-    return X.reflection_facts(event_facts(spark, sf_dir)).drop("facts")
+    return X.reflection_facts(event_facts(spark, sf_dir), now=now()).drop("facts")
 
 
 @query("insight_filter", """
@@ -408,8 +413,8 @@ hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER
 talk AS (SELECT conv_id, string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) AS lines FROM hist GROUP BY 1)
 SELECT a.conv_id, CASE WHEN k.lines IS NOT NULL THEN 'Known facts about the user and the context:' || chr(10) || k.lines || chr(10)
          || 'Use these facts where they help; do not list them unless asked.' || chr(10) || chr(10) ELSE '' END
-       || CASE WHEN t.lines IS NOT NULL THEN 'Conversation History:' || chr(10) || t.lines || chr(10) ELSE '' END
-       || 'User Message: ' || message || chr(10) || 'Answer:' AS prompt
+       || CASE WHEN t.lines IS NOT NULL THEN 'Earlier messages:' || chr(10) || t.lines || chr(10) ELSE '' END
+       || 'New message: ' || message || chr(10) || 'Answer:' AS prompt
 FROM asked a LEFT JOIN known k USING (conv_id) LEFT JOIN talk t USING (conv_id)
 """)
 def prompt_assembly(spark, sf_dir):

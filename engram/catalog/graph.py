@@ -13,6 +13,8 @@ from engram.models.offline import embed
 from engram.operators import communities as C
 from engram.operators import graph as G
 from engram.operators import resolution as R
+from engram.operators.scope import owner_key
+from engram.schemas import NIL_UUID
 from engram.session import checkpoint
 
 SEED_SQL = (
@@ -120,31 +122,33 @@ def entity_nodes(spark, sf_dir):
     return G.entity_nodes(facts).select("entity_id", "name")
 
 
-@query("relation_dedup", """
-WITH cand AS (
-  SELECT DISTINCT 'supplier-' || l_suppkey AS source_id, 'part-' || l_partkey AS target_id,
-         upper(trim(CASE l_returnflag WHEN 'R' THEN ' returned ' WHEN 'A' THEN 'Returned' ELSE 'supplies' END)) AS rel_type
+@query("relation_dedup", f"""
+WITH lines AS (
+  SELECT 'supplier-' || l_suppkey AS source_id, 'part-' || l_partkey AS target_id, l_linestatus,
+         upper(trim(CASE l_returnflag WHEN 'R' THEN ' returned ' WHEN 'A' THEN 'Returned' ELSE 'supplies' END)) AS rel_type,
+         CASE l_linenumber % 3 WHEN 0 THEN '{NIL_UUID}' WHEN 1 THEN 'owner-a' ELSE 'owner-b' END AS owner
   FROM lineitem),
-known AS (
-  SELECT DISTINCT 'supplier-' || l_suppkey AS source_id, 'part-' || l_partkey AS target_id,
-         'SUPPLIES' AS rel_type FROM lineitem WHERE l_linestatus = 'F')
-SELECT * FROM cand ANTI JOIN known USING (source_id, target_id, rel_type)
+cand AS (SELECT DISTINCT source_id, target_id, rel_type, owner FROM lines),
+known AS (SELECT DISTINCT source_id, target_id, rel_type, owner FROM lines WHERE l_linestatus = 'F' AND rel_type = 'SUPPLIES')
+SELECT * FROM cand c WHERE NOT EXISTS (
+  SELECT 1 FROM known k WHERE k.source_id = c.source_id AND k.target_id = c.target_id AND k.rel_type = c.rel_type
+    AND k.owner IN (c.owner, '{NIL_UUID}'))
 """)
 def relation_dedup(spark, sf_dir):
-    """Extracted relations that are not stored yet."""
-    lines = table(spark, sf_dir, "lineitem")
+    """Extracted relations that their owner doesn't know yet."""
     kind = (
         F.when(F.col("l_returnflag") == "R", " returned ")
-        .when(F.col("l_returnflag") == "A", "Returned").otherwise("supplies")
+        .when(F.col("l_returnflag") == "A", "Returned").otherwise("supplies ")
     )
-    ends = [
-        F.concat(F.lit("supplier-"), "l_suppkey").alias("source_id"),
-        F.concat(F.lit("part-"), "l_partkey").alias("target_id"),
-    ]
-    known = lines.filter(F.col("l_linestatus") == "F").select(
-        *ends, F.lit("supplies ").alias("rel_type"), F.lit(None).cast("timestamp").alias("valid_until")
+    third = F.pmod(F.col("l_linenumber"), F.lit(3))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("supplier-"), "l_suppkey").alias("source_id"), F.concat(F.lit("part-"), "l_partkey").alias("target_id"),
+        kind.alias("rel_type"), F.when(third == 0, "").when(third == 1, "owner-a").otherwise("owner-b").alias("agent_owner"),
+        "l_linestatus", F.lit(None).cast("timestamp").alias("valid_until"),
     )
-    return G.new_relations(lines.select(*ends, kind.alias("rel_type")), known)
+    known = lines.filter((F.col("l_linestatus") == "F") & (F.col("rel_type") == "supplies "))
+    fresh = G.new_relations(lines.drop("l_linestatus", "valid_until"), known)
+    return fresh.select("source_id", "target_id", "rel_type", owner_key(F.col("agent_owner")).alias("owner"))
 
 
 _MERGE_SQL = f"""
@@ -227,7 +231,7 @@ def _labels(spark, sf_dir):
     nodes = table(spark, sf_dir, "supplier").select(node_id("supplier", "s_suppkey").alias("id")).unionByName(
         table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id"))
     )
-    return C.label_propagation_sync(nodes, supplies(spark, sf_dir))
+    return checkpoint(C.label_propagation_sync(nodes, supplies(spark, sf_dir)))
 
 
 @query("lpa_sync", f"WITH {_lpa_sql()} SELECT id, label FROM labels")
@@ -253,7 +257,7 @@ def communities(spark, sf_dir):
     return C.community_sizes(labels).join(C.community_names(labels, names), "community_id")
 
 
-@query("community_lines", f"""
+_LINES_SQL = f"""
 WITH {_lpa_sql()}, {SQL_NAMES},
 big AS (SELECT label FROM labels GROUP BY label HAVING count(*) >= 2),
 members AS (SELECT label, id, name FROM labels LEFT JOIN names ON entity_id = id WHERE label IN (SELECT label FROM big)),
@@ -267,7 +271,10 @@ SELECT label, 3, target_id, id, '- ' || coalesce(sn, '') || ' -> ' || coalesce(t
 UNION ALL
 SELECT label, 3, source_id, id, '- ' || coalesce(sn, '') || ' -> ' || coalesce(tn, '') || ' (' || rel_type || ')' FROM ends
 WHERE sl = label AND source_id <> target_id
-""")
+"""
+
+
+@query("community_lines", _LINES_SQL)
 def community_lines(spark, sf_dir):
     """Members, facts and inner relations of every community, line by line."""
     facts = name_facts(spark, sf_dir)
@@ -276,9 +283,16 @@ def community_lines(spark, sf_dir):
     )
 
 
-@query("community_contexts")
+_JOINED_SQL = "coalesce(string_agg(line, {0} ORDER BY k1, k2, line) FILTER (section = {1}), '')"
+
+
+@query("community_contexts", f"""
+SELECT community_id, 'Members: ' || {_JOINED_SQL.format("', '", 1)} || chr(10) || chr(10) || 'Facts:' || chr(10)
+  || {_JOINED_SQL.format("chr(10)", 2)} || chr(10) || chr(10) || 'Relations:' || chr(10) || {_JOINED_SQL.format("chr(10)", 3)} AS context
+FROM ({_LINES_SQL}) GROUP BY community_id
+""")
 def community_contexts(spark, sf_dir):
-    """Text of every community, large ones in parts."""
+    """Text of every community."""
     facts = name_facts(spark, sf_dir)
     lines = C.community_lines(
         _labels(spark, sf_dir), G.entity_names(facts), facts, supplies(spark, sf_dir)
@@ -286,9 +300,15 @@ def community_contexts(spark, sf_dir):
     return C.community_contexts(checkpoint(lines))
 
 
-@query("reflection_relations")
+@query("reflection_relations", f"""
+WITH {SQL_SUPPLIES}, {SQL_NAMES}
+SELECT source_id AS entity_id, '00000000-0000-0000-0000-000000000000' AS owner,
+  string_agg('- ' || coalesce(s.name, source_id) || ' -> ' || coalesce(t.name, target_id) || ' (' || rel_type || ')' || chr(10), '' ORDER BY e.id) AS relation_lines
+FROM supplies e LEFT JOIN names s ON s.entity_id = source_id LEFT JOIN names t ON t.entity_id = target_id
+WHERE source_id IN (SELECT {sql_node_id('supplier', 's_suppkey')} FROM supplier) GROUP BY source_id
+""")
 def reflection_relations(spark, sf_dir):
-    """Relation lines each supplier reflects on, large ones in parts."""
+    """Relation lines each supplier reflects on."""
     from engram.operators.reflection import reflection_relations as lines_of
     from engram.schemas import NIL_UUID
 

@@ -19,6 +19,8 @@ def _work_dir(spark) -> str:
     """A fresh folder all executors share, under the session's checkpoint folder."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         return tempfile.mkdtemp(prefix="engram-stream-")
     return f"{base.rstrip('/')}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
 

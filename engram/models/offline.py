@@ -34,7 +34,7 @@ def embed(text: Column) -> Column:
 
 def extract_facts(text: Column) -> Column:
     """Facts stated as "my X is Y", as a JSON array."""
-    pattern = r"(?i)\bmy ([a-z][a-z ]{0,30}?) (?:is|are) ([^\n.,;!?]{1,80})"
+    pattern = r"(?i)\bmy ([a-z][a-z ]*?) (?:is|are) ([^\n.,;!?]+)"
     pairs = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), 1).alias("a"),
         F.regexp_extract_all(text, F.lit(pattern), 2).alias("v"),

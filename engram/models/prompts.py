@@ -1,7 +1,7 @@
 """Instructions given to a hosted model, in this project's own words."""
 
 FACTS_PROMPT = """Read the text below and list the lasting facts it states.
-A "Conversation Context" only helps to resolve pronouns; take facts from the message itself.
+A "Earlier turns" only helps to resolve pronouns; take facts from the message itself.
 Prefix attributes of past states with "former_" or "past_" so that they do not replace current ones.
 Reply with a raw JSON array of objects {"attribute": snake_case string, "value": string,
 "confidence_score": number from 0 to 1}, or [] if there is none.

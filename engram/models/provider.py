@@ -39,7 +39,7 @@ class OfflineProvider:
         return offline.embed(text)
 
     def answer(self, prompt: Column) -> Column:
-        asked = F.regexp_extract(prompt, r"User Message: ([^\n]*)\nAnswer:\z", 1)
+        asked = F.regexp_extract(prompt, r"New message: ([^\n]*)\nAnswer:\z", 1)
         return F.when(asked != "", F.concat(F.lit("Noted: "), asked)).otherwise(
             F.concat(F.lit("Summary "), F.md5(prompt))
         )
@@ -94,11 +94,11 @@ class HttpProvider:
         if self.kind == "openai":
             body = {"model": self.generation, "messages": [{"role": "user", "content": prompt}]}
             choices = self._post("chat/completions", body).get("choices") or []
-            return choices[0]["message"]["content"] if choices else "No response generated."
+            return choices[0]["message"]["content"] if choices else "The model gave no answer."
         body = {"contents": [{"parts": [{"text": prompt}]}]}
         found = self._post(f"models/{self.generation}:generateContent", body).get("candidates") or []
         parts = found[0].get("content", {}).get("parts", []) if found else []
-        return "".join(p.get("text", "") for p in parts) if parts else "No response generated."
+        return "".join(p.get("text", "") for p in parts) if parts else "The model gave no answer."
 
     def embed(self, text: Column) -> Column:
         call, size = self._vectors, self.batch

@@ -68,8 +68,8 @@ def fact_line() -> Column:
 def _prompt(facts: Column, history: Column, message: Column) -> Column:
     return F.concat(
         F.coalesce(F.concat(F.lit(FACTS_HEAD), facts, F.lit(FACTS_TAIL)), F.lit("")),
-        F.coalesce(F.concat(F.lit("Conversation History:\n"), history, F.lit("\n")), F.lit("")),
-        F.lit("User Message: "), message, F.lit("\nAnswer:"),
+        F.coalesce(F.concat(F.lit("Earlier messages:\n"), history, F.lit("\n")), F.lit("")),
+        F.lit("New message: "), message, F.lit("\nAnswer:"),
     )
 
 
@@ -92,21 +92,14 @@ def assemble_prompts(
     )
 
 
-def parted_prompts(
-    asked: DataFrame, context: DataFrame, history: DataFrame, max_lines: int = 500
-) -> DataFrame:
-    """Prompts of requests whose context may be of any size: one row per part.
-
-    A context of up to ``max_lines`` facts makes the single part 0. The history
-    (already cut) and the message are repeated in every part.
-    """
+def context_prompts(asked: DataFrame, context: DataFrame, history: DataFrame) -> DataFrame:
+    """Prompt of each request out of retrieved context, (already cut) history and message."""
     lines = context.withColumn("line", fact_line()).withColumnRenamed("part", "kind")
-    known = joined_lines(lines, ["request_id"], ["kind", "rn", "line"], "line", "_facts", max_lines)
+    known = joined_lines(lines, ["request_id"], ["kind", "rn", "line"], "line", "_facts")
     prompt = _prompt(F.col("_facts"), F.col("history"), F.col("message"))
     return (
         asked.join(known, "request_id", "left")
         .join(transcript(history), "session_id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("prompt", prompt)
         .drop("_facts", "history")
     )

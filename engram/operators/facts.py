@@ -47,6 +47,18 @@ def apply_decay(facts: DataFrame, now: Column, cutoff: float = DEFAULTS.retentio
     ).withColumn("expired", F.col("memory_strength") < cutoff)
 
 
+def remembered(facts: DataFrame, now: Column | None) -> DataFrame:
+    """Facts not forgotten by ``now``; all of them without a time."""
+    if now is None:
+        return facts
+    return apply_decay(facts, now).filter(~F.col("expired")).drop("expired")
+
+
+def own_and_shared(facts: DataFrame) -> DataFrame:
+    """Facts of an entity that it may see itself: its own and the shared ones."""
+    return facts.filter(owner_visible(F.col("agent_owner"), F.col("entity_id")))
+
+
 @dataclass(frozen=True)
 class SearchResult:
     """Facts found, and the effects that reading them has."""
@@ -242,11 +254,15 @@ def version_history(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return kept.withColumn("valid_until", closes).drop("_before", "_after", "_slice")
 
 
-def oldest_active(facts: DataFrame) -> DataFrame:
-    """The active value a new candidate is compared with: the oldest one."""
+def oldest_active(facts: DataFrame, now: Column | None = None) -> DataFrame:
+    """The active value a new candidate is compared with: the oldest one not forgotten.
+
+    With ``now``, only facts count that the entity may see itself.
+    """
     position = F.struct("valid_from", "id")
+    facts = facts if now is None else own_and_shared(facts)
     return (
-        facts.filter(active())
+        remembered(facts.filter(active()), now)
         .groupBy("entity_id", "attribute")
         .agg(F.min_by(F.struct("id", "val"), position).alias("_old"))
         .select("entity_id", "attribute", F.col("_old.id").alias("old_id"), F.col("_old.val").alias("old_val"))
@@ -254,14 +270,14 @@ def oldest_active(facts: DataFrame) -> DataFrame:
 
 
 def classify_candidates(
-    candidates: DataFrame, facts: DataFrame, hot_rows: int = HOT_ROWS
+    candidates: DataFrame, facts: DataFrame, hot_rows: int = HOT_ROWS, now: Column | None = None
 ) -> DataFrame:
     """Mark each candidate skip, supersede, coexist or insert.
 
     ``candidates``: entity_id, attribute, val and whatever else they carry.
     """
     joined = join_back(
-        candidates, oldest_active(facts), ["entity_id", "attribute"], "left", hot_rows=hot_rows
+        candidates, oldest_active(facts, now), ["entity_id", "attribute"], "left", hot_rows=hot_rows
     )
     action = (
         F.when(F.col("old_id").isNull(), "insert")
@@ -272,9 +288,13 @@ def classify_candidates(
     return joined.withColumn("action", action)
 
 
-def contradicted(facts: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def contradicted(
+    facts: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS, now: Column | None = None
+) -> DataFrame:
     """Active facts some candidate gives another value for (singular attributes).
 
+    Facts forgotten by ``now`` are left as they are.
+
     Per entity and attribute only the least and the greatest candidate value
     are needed: a fact differs from some candidate iff it differs from one of
     these two. No fact-candidate pairs are formed.
@@ -286,7 +306,7 @@ def contradicted(facts: DataFrame, candidates: DataFrame, hot_rows: int = HOT_RO
     )
     return (
         join_back(
-            facts.filter(active()), bounds, ["entity_id", "attribute"], salt_on=["id"], hot_rows=hot_rows
+            remembered(facts.filter(active()), now), bounds, ["entity_id", "attribute"], salt_on=["id"], hot_rows=hot_rows
         )
         .filter((F.col("val") != F.col("_lo")) | (F.col("val") != F.col("_hi")))
         .drop("_lo", "_hi")
@@ -294,10 +314,14 @@ def contradicted(facts: DataFrame, candidates: DataFrame, hot_rows: int = HOT_RO
 
 
 def match_conflicts(
-    verdicts: DataFrame, facts: DataFrame, n: int = DEFAULTS.active_facts, hot_rows: int = HOT_ROWS
+    verdicts: DataFrame, facts: DataFrame, n: int = DEFAULTS.active_facts, hot_rows: int = HOT_ROWS,
+    now: Column | None = None,
 ) -> DataFrame:
     """Find the active fact a conflict verdict speaks of.
 
+    With ``now``, facts the entity may not see itself are left out before the
+    limit, and forgotten ones after it.
+
     ``verdicts``: verdict_id, entity_id, conflicting_fact, reason. The facts of
     an entity are its ``n`` newest, held in one bounded array; the best match is
     taken inside the row. Order of preference: same text, same value, one text
@@ -307,7 +331,7 @@ def match_conflicts(
     value = F.lower(trim_space(F.col("val")))
     text = F.lower(trim_space(fact_text(F.col("attribute"), F.col("val"))))
     listed = (
-        newest_per_entity(facts.filter(active()), n)
+        remembered(newest_per_entity((facts if now is None else own_and_shared(facts)).filter(active()), n), now)
         .select("entity_id", "id", text.alias("text"), value.alias("value"), F.lower("attribute").alias("name"))
         .groupBy("entity_id")
         .agg(F.collect_list(F.struct("id", "text", "value", "name")).alias("_facts"))

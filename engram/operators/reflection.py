@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULTS
-from engram.operators.facts import newest_per_entity
+from engram.operators.facts import newest_per_entity, remembered
 from engram.operators.scope import active, owner_key
 from engram.operators.skew import HOT_ROWS, join_back, joined_lines
 from engram.schemas import NIL_UUID
 
 
-def reflection_facts(facts: DataFrame, n: int = DEFAULTS.active_facts) -> DataFrame:
+def reflection_facts(facts: DataFrame, n: int = DEFAULTS.active_facts, now: Column | None = None) -> DataFrame:
     """Facts per entity and owner: the owner's own, then the shared ones.
 
     Of each entity the n newest facts are held in one bounded array; owners are
-    unfolded from it, so shared facts reach every owner without a join. Entities
-    and groups with fewer than two facts are left out.
+    unfolded from it, so shared facts reach every owner without a join. Facts
+    forgotten by ``now`` drop out after the limit. Entities and groups with
+    fewer than two facts are left out.
     """
-    near = newest_per_entity(facts.filter(active()), n).withColumn(
+    near = remembered(newest_per_entity(facts.filter(active()), n), now).withColumn(
         "_owner", owner_key(F.col("agent_owner"))
     )
     packed = near.groupBy("entity_id").agg(
@@ -49,10 +50,9 @@ def reflection_facts(facts: DataFrame, n: int = DEFAULTS.active_facts) -> DataFr
 
 
 def reflection_relations(
-    groups: DataFrame, relations: DataFrame, names: DataFrame, max_lines: int = 500,
-    hot_rows: int = HOT_ROWS,
+    groups: DataFrame, relations: DataFrame, names: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Relation lines per entity and owner, in parts of about ``max_lines``.
+    """Relation lines per entity and owner, in order, as one text.
 
     ``groups``: entity_id, owner. Names missing from ``names`` show as ids.
     """
@@ -79,6 +79,4 @@ def reflection_relations(
     seen = join_back(
         shown, wanted, ["entity_id", "_owner"], salt_on=["id"], hot_rows=hot_rows
     ).withColumn("shared", F.col("_owner") != F.col("owner"))
-    return joined_lines(
-        seen, ["entity_id", "owner"], ["shared", "id"], "line", "relation_lines", max_lines, hot_rows
-    )
+    return joined_lines(seen, ["entity_id", "owner"], ["shared", "id"], "line", "relation_lines")

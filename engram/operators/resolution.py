@@ -126,6 +126,8 @@ def candidate_pairs(
     )
     near = F.abs(F.col("a.dist") - F.col("b.dist")) <= radius
     shorter = F.least("a.bytes", "b.bytes") / F.greatest("a.bytes", "b.bytes", F.lit(1))
+    # equal names, blank ones too, score 1
+    shorter = F.when(F.col("a.name") == F.col("b.name"), 1.0).otherwise(shorter)
     jaro_most = (F.lit(2.0) + shorter) / 3
     name_most = jaro_most + F.lit(0.4) * (1 - jaro_most)
     bound = (most >= least_cosine - _SLACK) & (name_most >= least_name - _SLACK) & near

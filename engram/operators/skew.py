@@ -129,28 +129,11 @@ def ordered_shift(
     )
 
 
-def joined_lines(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    line: str,
-    out: str,
-    max_lines: int = 500,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Concatenate lines per key in order, in parts of about ``max_lines``.
+def joined_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, out: str) -> DataFrame:
+    """The lines of each key in order as one text.
 
-    A key with up to ``max_lines`` rows yields the single part 0. A larger one
-    yields several parts, its lines dealt out by a hash of their order columns,
-    so that no task ever holds the text of an unbounded group.
+    By the same rule at every size; what such a text is made for (a prompt, a
+    summary) needs it whole. Operators keep lines as rows until here.
     """
-    keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = join_back(rows, counts, keys, salt_on=list(order), hot_rows=hot_rows).withColumn(
-        "part",
-        F.pmod(F.xxhash64(*order), F.ceil(F.col("_n") / F.lit(max_lines))).cast("int"),
-    )
     packed = F.sort_array(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
-    return dealt.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(packed, lambda s: s["_line"]), "").alias(out)
-    )
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(packed, lambda s: s["_line"]), "").alias(out))

@@ -5,26 +5,31 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULTS, Settings
 from engram.functions.text import chunk_text, is_uuid, scrub, summary_text
 from engram.models.provider import Provider
-from engram.operators.chat import last_messages, parted_prompts
+from engram.operators.chat import context_prompts, last_messages
 from engram.operators.facts import nearest_facts, search_hybrid_batch
 from engram.operators.graph import graph_context
-from engram.operators.scope import from_document, may_read
+from engram.operators.scope import from_document, may_read, with_valid_ids
 from engram.operators.search import cache_lookup, top_k_per_query
 from engram.schemas import DEFAULT_USER_ID, SHARED_ENTITY_ID
 from engram.session import checkpoint
 from engram.sources.store import MemoryStore
 
 
+#: Places in the order of a session that one microsecond holds.
+SEQ_STEP = 1000
+
+
 @dataclass(frozen=True)
 class ChatOutcome:
     """Result tables of one batch of requests."""
 
-    replies: DataFrame  # request_id, session_id, entity_id, part, reply, from_cache
+    replies: DataFrame  # request_id, session_id, entity_id, reply, from_cache
     facts: DataFrame  # request_id, attribute, val, ..., from_document; where asked for
     messages: DataFrame  # chat turns to append
     cache_entries: DataFrame  # new cached answers
@@ -154,32 +159,34 @@ def chat(
     context, effects = retrieve(store, missed, now, settings)
     context = checkpoint(context)
     history = last_messages(store.messages(now), settings.chat_history)
-    prompts = parted_prompts(missed, context, history)
-    fields = ["request_id", "session_id", "entity_id", "part", "reply", "from_cache"]
+    prompts = context_prompts(missed, context, history)
+    fields = ["request_id", "session_id", "entity_id", "reply", "from_cache"]
     answered = prompts.withColumn("reply", provider.answer(F.col("prompt"))).withColumn(
         "from_cache", F.lit(False)
     )
-    cached = asked.join(hits, "request_id").withColumn("part", F.lit(0)).withColumn(
-        "from_cache", F.lit(True)
-    )
+    cached = asked.join(hits, "request_id").withColumn("from_cache", F.lit(True))
     replies = checkpoint(cached.select(*fields).unionByName(answered.select(*fields)))
 
     shown = context.join(missed.filter("include_facts").select("request_id"), "request_id", "left_semi")
     shown = shown.drop("part", "rn").withColumn(
         "from_document", from_document(F.col("source_agent"), F.col("attribute"))
     )
-    stamp = F.unix_micros(now)
-    said = asked.select(
-        "session_id", (stamp * 2).alias("seq"), F.col("agent_role").alias("role"),
+    # turns of one batch follow each other by request id, each reply right after its message
+    turns = checkpoint(asked.select("request_id", F.row_number().over(
+        W.partitionBy("session_id").orderBy("request_id")).cast("long").alias("_turn")))
+    seq = F.unix_micros(now) * SEQ_STEP + 2 * F.col("_turn")
+    said = asked.join(turns, "request_id").select(
+        "session_id", seq.alias("seq"), F.col("agent_role").alias("role"),
         F.col("message").alias("content"), now.alias("timestamp"),
     )
-    told = replies.select(
-        "session_id", (stamp * 2 + 1 + F.col("part")).alias("seq"), F.lit("assistant").alias("role"),
+    told = replies.join(turns, "request_id").select(
+        "session_id", (seq + 1).alias("seq"), F.lit("assistant").alias("role"),
         F.col("reply").alias("content"), now.alias("timestamp"),
     )
-    fresh = replies.filter(~F.col("from_cache") & (F.col("part") == 0)).select("request_id", "reply")
-    entries = asked.filter(F.col("embedding").isNotNull()).join(fresh, "request_id").select(
-        F.col("entity_id").alias("owner"), stamp.alias("seq"), F.col("message").alias("query"),
+    fresh = replies.filter(~F.col("from_cache")).select("request_id", "reply")
+    order = F.row_number().over(W.partitionBy("entity_id").orderBy("request_id")).cast("long")
+    entries = asked.filter(F.col("embedding").isNotNull()).join(fresh, "request_id").withColumn("_order", order).select(
+        F.col("entity_id").alias("owner"), (F.unix_micros(now) * SEQ_STEP + F.col("_order")).alias("seq"), F.col("message").alias("query"),
         F.col("reply").alias("response"), now.alias("created_at"), "embedding",
     )
     interactions = missed.select(
@@ -199,8 +206,10 @@ def commit(store: MemoryStore, outcome: ChatOutcome, batch: str | None = None) -
 def register_relations(store: MemoryStore, edges: DataFrame, now: Column, batch: str | None = None) -> None:
     """Store given relations; the owner is the stated one, else the source.
 
-    ``edges``: id, source_id, target_id, rel_type, agent_owner.
+    ``edges``: id, source_id, target_id, rel_type, agent_owner. Edges whose ends
+    are not ids, or whose type is blank, are refused.
     """
+    edges = with_valid_ids(edges, "source_id", "target_id").filter(F.trim(F.coalesce("rel_type", F.lit(""))) != "")
     stated = F.when(is_uuid(F.col("agent_owner")), F.col("agent_owner"))
     owned = edges.withColumn("agent_owner", F.coalesce(stated, "source_id")).withColumn("valid_from", now)
     store.insert_relations(owned, now, batch=batch)

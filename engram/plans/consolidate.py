@@ -11,7 +11,9 @@ from engram.config import DEFAULTS, Settings
 from engram.functions.text import SELF_ALIASES, decode_reply, fact_text, is_self_alias, trim_space, uuid3
 from engram.models.provider import Provider
 from engram.operators.chat import history_before, transcript
-from engram.operators.facts import match_conflicts, newest_per_entity, oldest_active, version_history
+from engram.operators.facts import (
+    match_conflicts, newest_per_entity, oldest_active, own_and_shared, remembered, version_history,
+)
 from engram.operators.graph import new_relations
 from engram.operators.scope import active
 from engram.operators.skew import join_back
@@ -40,7 +42,7 @@ def extraction_texts(interactions: DataFrame, messages: DataFrame, n: int = DEFA
     talk = transcript(history_before(messages, last, n))
     said = F.concat("sender", F.lit(": "), "message")
     context = F.concat(
-        F.lit("Conversation Context:\n"), "history", F.lit("\nMessage to process:\n"), said
+        F.lit("Earlier turns:\n"), "history", F.lit("\nMessage at hand:\n"), said
     )
     return interactions.join(talk, "session_id", "left").withColumn(
         "text", F.coalesce(context, said)
@@ -71,8 +73,10 @@ def consolidate_facts(
     conflict closes the fact it names.
     """
     touched = candidates.select("entity_id", "attribute").distinct()
+    # what is compared: facts of the touched entities that they may see and still remember
+    facts = own_and_shared(facts.join(touched.select("entity_id").distinct(), "entity_id", "left_semi"))
     stored = (
-        oldest_active(facts)
+        oldest_active(facts, now)
         .join(touched, ["entity_id", "attribute"], "left_semi")
         .select(
             F.col("old_id").alias("id"), "entity_id", "attribute", F.col("old_val").alias("val"),
@@ -87,7 +91,7 @@ def consolidate_facts(
     closed = dated.filter(F.col("valid_until").isNotNull()).join(stored.select("id"), "id", "left_semi")
 
     listed = (
-        newest_per_entity(facts.filter(active()), settings.active_facts)
+        remembered(newest_per_entity(facts.filter(active()), settings.active_facts), now)
         .groupBy("entity_id")
         .agg(F.sort_array(F.collect_list(fact_text(F.col("attribute"), F.col("val")))).alias("_existing"))
     )
@@ -101,7 +105,7 @@ def consolidate_facts(
         .filter(F.col("_c.has_conflict"))
         .select("verdict_id", "entity_id", "_c.conflicting_fact", "_c.reason")
     )
-    named = match_conflicts(verdicts, facts, settings.active_facts).filter(
+    named = match_conflicts(verdicts, facts, settings.active_facts, now=now).filter(
         F.col("matched_id").isNotNull()
     )
     ids = closed.select(F.col("id").alias("fact_id")).unionByName(

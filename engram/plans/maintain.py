@@ -32,17 +32,14 @@ def resolve(store: MemoryStore, now: Column, settings: Settings = DEFAULTS) -> D
 def summarise_communities(
     store: MemoryStore, provider: Provider, now: Column, settings: Settings = DEFAULTS, sequential: bool = True
 ) -> DataFrame:
-    """Find communities and write a summary for each; replaces the earlier ones.
-
-    A community too large for one text gets one summary per part.
-    """
+    """Find communities and write a summary for each; replaces the earlier ones."""
     facts = checkpoint(store.facts())
     relations = store.relations()
     names = checkpoint(entity_names(facts))
     nodes = names.select(F.col("entity_id").alias("id"))
     find = C.label_propagation if sequential else C.label_propagation_sync
     labels = checkpoint(find(nodes, relations, settings.lpa_sweeps))
-    lines = checkpoint(C.community_lines(labels, names, facts, relations, settings.community_facts))
+    lines = checkpoint(C.community_lines(labels, names, facts, relations, settings.community_facts, now=now))
     sizes = C.community_sizes(labels, settings.community_min_size)
     prompt = F.concat(F.lit(COMMUNITY_HEAD), "context")
     told = (
@@ -50,10 +47,9 @@ def summarise_communities(
         .withColumn("summary", trim_space(provider.answer(prompt)))
         .filter(F.coalesce("summary", F.lit("")) != "")
     )
-    part_id = uuid3(F.concat_ws("#", "community_id", F.col("part").cast("string")))
     rows = checkpoint(
         told.join(C.community_names(labels, names), "community_id").join(sizes, "community_id").select(
-            F.when(F.col("part") == 0, F.col("community_id")).otherwise(part_id).alias("id"),
+            F.col("community_id").alias("id"),
             F.col("community_name").alias("name"), "summary", F.col("size").alias("members"),
             now.alias("created_at"), provider.embed(F.col("summary")).alias("embedding"),
         )
@@ -72,7 +68,7 @@ def reflect(
     facts = checkpoint(store.facts())
     names = checkpoint(entity_names(facts))
     groups = checkpoint(
-        reflection_facts(facts, settings.active_facts).join(names, "entity_id").drop("facts")
+        reflection_facts(facts, settings.active_facts, now).join(names, "entity_id").drop("facts")
     )
     edges = reflection_relations(groups, store.relations(), names)
     prompt = F.concat(

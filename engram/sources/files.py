@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import file_type, google_doc_id, source_type, uuid3
 
-MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 EXPORT_URL = "https://docs.google.com/feeds/download/documents/export/Export?id=%s&exportFormat=txt"
 
 
@@ -29,10 +28,7 @@ def as_sources(files: DataFrame, entity_id: Column | None = None) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, entity_id: Column | None = None) -> DataFrame:
     """PDF and Markdown files under a folder."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .filter(F.col("length") <= MAX_UPLOAD_BYTES)
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return as_sources(files, entity_id)
 
 
@@ -44,7 +40,7 @@ def stream_files(spark: SparkSession, path: str, files_per_trigger: int = 100) -
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
     )
-    return as_sources(files.filter(F.col("length") <= MAX_UPLOAD_BYTES))
+    return as_sources(files)
 
 
 def link_sources(links: DataFrame, now: Column, content: Column | None = None) -> DataFrame:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from engram.functions import vectors as V
 from engram.operators import communities as C
 from engram.operators import facts as O
+from engram.operators import graph as G
 from engram.operators import resolution as R
 from engram.operators import search as S
 from engram.operators.graph import expand_hops, merge_entities
+from engram.operators.reflection import reflection_facts
 from engram.operators.skew import hot_keys, join_back, joined_lines, ordered_shift, sliced
 from engram.schemas import NIL_UUID
 
@@ -59,14 +61,11 @@ def test_ordered_shift_over_slices(spark, ahead):
 
 
 def test_joined_lines(spark):
-    rows = skewed(spark, 60, 40).withColumn("line", F.format_string("%03d;", "i"))
-    small = {r.k: r.t for r in joined_lines(rows, ["k"], ["i"], "line", "t", 100).collect()}
-    assert small["hot"] == "".join(f"{i:03d};" for i in range(40))
-    parts = joined_lines(rows, ["k"], ["i"], "line", "t", 10, hot_rows=20).filter("k = 'hot'").collect()
-    assert len(parts) > 1
-    lines = [line for p in parts for line in p.t.split(";") if line]
-    assert sorted(lines) == [f"{i:03d}" for i in range(40)]
-    assert all(p.t.split(";")[:-1] == sorted(p.t.split(";")[:-1]) for p in parts)
+    rows = spark.range(1200).select(
+        F.when(F.col("id") < 1100, "hot").otherwise("cold").alias("k"), F.col("id").alias("i"),
+        F.concat(F.lit("l"), F.col("id").cast("string"), F.lit(";")).alias("line")).repartition(5)
+    texts = {r.k: r.t for r in joined_lines(rows, ["k"], ["i"], "line", "t").collect()}
+    assert texts == {"hot": "".join(f"l{i};" for i in range(1100)), "cold": "".join(f"l{i};" for i in range(1100, 1200))}
 
 
 # -- facts -------------------------------------------------------------------
@@ -304,23 +303,21 @@ def test_merge_leaves_no_duplicate_ids(spark):
         assert {(r.id, r.source_id, r.target_id) for r in edges.collect()} == {("r1", "a", "c"), ("r2", "a", "a")}
 
 
-def test_community_contexts_split_without_loss(spark):
-    ids = [f"m{i:02d}" for i in range(30)]
-    labels = spark.createDataFrame([(i, "m00") for i in ids] + [("z", "z")], "id string, label string")
+def test_community_contexts(spark):
+    ids = [f"m{i:03d}" for i in range(600)]
+    labels = spark.createDataFrame([(i, "m000") for i in ids] + [("z", "z")], "id string, label string")
     names = spark.createDataFrame([(i, "N" + i) for i in ids + ["z"]], "entity_id string, name string")
     facts = names.select(
         F.concat(F.lit("f"), "entity_id").alias("id"), "entity_id", F.lit("name").alias("attribute"), F.col("name").alias("val"),
         at("2024-01-01 00:00:00").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"),
     )
-    edges = relation_frame(spark, [("r1", "m00", "m01"), ("r2", "m01", "z"), ("r3", "z", "m02")])
+    edges = relation_frame(spark, [("r1", "m000", "m001"), ("r2", "m001", "z"), ("r3", "z", "m002")])
     lines = C.community_lines(labels, names, facts, edges)
-    assert Counter(r.section for r in lines.collect()) == {1: 30, 2: 30, 3: 3}
+    assert Counter(r.section for r in lines.collect()) == {1: 600, 2: 600, 3: 3}
     whole = C.community_contexts(lines).collect()
-    assert len(whole) == 1 and "Community Members: Nm00, Nm01" in whole[0].context
-    assert "- Nm00 -> Nm01 (T)\n- Nm00 -> Nm01 (T)" in whole[0].context and "-> Nz" not in whole[0].context
-    parts = C.community_contexts(lines, max_lines=10, hot_rows=20).collect()
-    assert len(parts) > 2
-    assert sum(p.context.count("- Entity") for p in parts) == 30
+    assert len(whole) == 1 and whole[0].context.startswith("Members: " + ", ".join("N" + i for i in ids) + "\n\nFacts:\n")
+    assert "- Nm000 -> Nm001 (T)\n- Nm000 -> Nm001 (T)" in whole[0].context and "-> Nz" not in whole[0].context
+    assert whole[0].context.count("- Entity") == 600
 
 
 # -- entity resolution -------------------------------------------------------
@@ -399,3 +396,48 @@ def test_resolution_needs_a_vector_bound(spark):
     frame = spark.createDataFrame([("a", "x", [1.0])], "entity_id string, name string, embedding array<float>")
     with pytest.raises(ValueError):
         R.resolve_entities(frame, 0.3)
+
+
+def remembered_facts(spark):
+    """(id, entity, attribute, val, owner, last read): open facts, of which those read in 2010 are forgotten."""
+    rows = [
+        ("f1", "e", "city", "Rome", "e", "2010-01-01"), ("f2", "e", "job", "cook", "", "2024-03-10"),
+        ("f3", "e", "food", "rice", "other", "2024-03-10"), ("f4", "e", "pet", "cat", "e", "2024-03-10"),
+    ]
+    frame = spark.createDataFrame(rows, "id string, entity_id string, attribute string, val string, agent_owner string, read string")
+    return frame.select(
+        "id", "entity_id", "attribute", "val", "agent_owner", F.col("read").cast("timestamp").alias("last_accessed"),
+        at("2010-01-01 00:00:00").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"),
+        F.lit(30.0).alias("stability"), F.lit(1.0).alias("memory_strength"), F.lit("x").alias("source_agent"))
+
+
+def test_forgotten_and_foreign_facts_decide_nothing(spark):
+    facts, now = remembered_facts(spark), at("2024-03-15 00:00:00")
+    candidates = spark.createDataFrame(
+        [("e", "city", "Rome"), ("e", "job", "cook"), ("e", "food", "rice"), ("e", "pet", "dog")], "entity_id string, attribute string, val string")
+    actions = {r.attribute: r.action for r in O.classify_candidates(candidates, facts, now=now).collect()}
+    assert actions == {"city": "insert", "job": "skip", "food": "insert", "pet": "supersede"}
+    other = candidates.withColumn("val", F.lit("z"))
+    assert {r.id for r in O.contradicted(facts, other, now=now).collect()} == {"f2", "f3", "f4"}
+    verdicts = spark.createDataFrame(
+        [(1, "e", "city: Rome", ""), (2, "e", "job: cook", ""), (3, "e", "food: rice", "")],
+        "verdict_id int, entity_id string, conflicting_fact string, reason string")
+    assert {r.verdict_id: r.matched_id for r in O.match_conflicts(verdicts, facts, now=now).collect()} == {1: None, 2: "f2", 3: None}
+    groups = {r.owner: r.fact_lines for r in reflection_facts(facts, now=now).collect()}
+    assert set(groups) == {"e", "other"} and "city" not in "".join(groups.values())
+
+
+def test_new_relations_per_owner(spark):
+    schema = "source_id string, target_id string, rel_type string, agent_owner string"
+    known = spark.createDataFrame([("a", "b", "knows", "x"), ("a", "c", "KNOWS", "")], schema).withColumn(
+        "valid_until", F.lit(None).cast("timestamp"))
+    asked = [("a", "b", " Knows", "x"), ("a", "b", "knows", "y"), ("a", "b", "knows", "y"), ("a", "c", "knows", "y"), ("a", "d", "knows", "x"), ("a", "d", "knows", "y")]
+    got = sorted((r.target_id, r.agent_owner) for r in G.new_relations(spark.createDataFrame(asked, schema), known).collect())
+    assert got == [("b", "y"), ("d", "x"), ("d", "y")]
+
+
+def test_equal_blank_names_merge(spark):
+    nodes = spark.createDataFrame(
+        [("n1", "  ", [1.0, 0.1]), ("n2", " ", [1.0, 0.12]), ("n3", "abc", [1.0, 0.1])], "entity_id string, name string, embedding array<float>")
+    rows = R.resolve_entities(nodes, 0.93).collect()
+    assert [(r.duplicate_id, r.canonical_id) for r in rows] == [("n2", "n1")]

@@ -144,7 +144,7 @@ def test_ingest_files(spark, store, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.md").write_text(
-        "---\ntitle: Test Title\nauthor: Jane Doe\ntags: go, test, parser\n---\n# Main\nMy colour is blue. Anna knows Bob"
+        "---\ntitle: River Notes\nauthor: Mia Berg\ntags: otter, stone, water\n---\n# Main\nMy colour is blue. Anna knows Bob"
     )
     (folder / "b.markdown").write_text("---\ntitle: x\n---\n")
     (folder / "c.pdf").write_bytes(b"not a pdf")
@@ -152,18 +152,18 @@ def test_ingest_files(spark, store, tmp_path):
     ingest(store, read_files(spark, str(folder)), OfflineProvider(), at(NOW), batch="d1")
     docs = {r.title: r for r in store.documents().collect()}
     assert {t: r.status for t, r in docs.items()} == {"a.md": "completed", "b.markdown": "failed", "c.pdf": "failed"}
-    assert docs["a.md"].metadata["author"] == "Jane Doe"
+    assert docs["a.md"].metadata["author"] == "Mia Berg"
     assert docs["b.markdown"].error_message == "document generated 0 chunks"
     assert docs["c.pdf"].error_message
     chunks = store.read("chunks").collect()
-    assert len(chunks) == 1 and chunks[0].metadata["title"] == "Test Title"
+    assert len(chunks) == 1 and chunks[0].metadata["title"] == "River Notes"
     kinds = sorted(r.kind for r in store.links().collect())
     assert kinds == ["AUTHORED", "DISCUSSES", "DISCUSSES", "DISCUSSES", "EXTRACTED_FROM", "MENTIONED_IN"]
     line = store.lineage().collect()[0]
     assert (line.entity_id, line.attribute, line.document_id, line.chunk_index) == (
         SHARED_ENTITY_ID, "colour", docs["a.md"].id, 0)
     assert store.relations().count() == 1
-    assert {r.val for r in store.entities().filter("attribute = 'topic'").collect()} == {"go", "test", "parser"}
+    assert {r.val for r in store.entities().filter("attribute = 'topic'").collect()} == {"otter", "stone", "water"}
     queries = spark.createDataFrame([("q", "blue colour")], "query_id string, query string")
     hit = chat_plan.search_documents(store, queries, OfflineProvider()).collect()
     assert len(hit) == 1 and 0 < hit[0].score < 1
