@@ -362,20 +362,23 @@ def match_conflicts(
     )
 
 
-def close_extra_names(facts: DataFrame, entity_ids: DataFrame, now: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keep only the newest active name of the listed entities open."""
+def close_extra_names(facts: DataFrame, entity_ids: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keep only the newest active name of the listed entities open; the others close at ``at``.
+
+    ``entity_ids``: entity_id, at, one row per entity.
+    """
     is_name = (F.col("attribute") == "name") & active()
     newest_name = (
         facts.filter(is_name)
-        .join(entity_ids.select("entity_id").distinct(), "entity_id", "left_semi")
+        .join(entity_ids.select("entity_id", F.col("at").alias("_at")), "entity_id")
         .groupBy("entity_id")
-        .agg(F.min(F.struct(-F.unix_micros("valid_from"), F.col("id"))).alias("_top"))
-        .select("entity_id", F.col("_top.id").alias("_keep"))
+        .agg(F.min(F.struct(-F.unix_micros("valid_from"), F.col("id"))).alias("_top"), F.max("_at").alias("_at"))
+        .select("entity_id", F.col("_top.id").alias("_keep"), "_at")
     )
     joined = join_back(
         facts, newest_name, ["entity_id"], how="left", salt_on=["id"], hot_rows=hot_rows
     )
     closes = is_name & F.col("_keep").isNotNull() & (F.col("id") != F.col("_keep"))
     return joined.withColumn(
-        "valid_until", F.when(closes, now).otherwise(F.col("valid_until"))
-    ).drop("_keep")
+        "valid_until", F.when(closes, F.col("_at")).otherwise(F.col("valid_until"))
+    ).drop("_keep", "_at")

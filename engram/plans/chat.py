@@ -91,10 +91,11 @@ def retrieve(
 
     ``asked``: request_id, entity_id, agent_role, embedding.
     """
-    facts = checkpoint(store.facts())
     own = asked.select("request_id", "entity_id", F.col("entity_id").alias("viewer"), "embedding")
     shared = own.withColumn("entity_id", F.lit(SHARED_ENTITY_ID))
-    near = checkpoint(nearest_facts(facts, own, settings.ann_pool))
+    # the facts of the entities asked about; neighbours come from the rows as written
+    facts = checkpoint(store.facts(own.select("entity_id").unionByName(shared.select("entity_id"))))
+    near = checkpoint(nearest_facts(store.read("facts"), own, settings.ann_pool))
     found = [
         search_hybrid_batch(facts, wanted, now, limit, near)
         for wanted, limit in ((own, settings.own_facts), (shared, settings.shared_facts))
@@ -122,7 +123,7 @@ def retrieve(
     summaries = as_summary_facts(
         nearest("community_summaries", settings.context_summaries), "request_id", "rn"
     )
-    graph = graph_context(store.relations(), facts, own)
+    graph = graph_context(store.relations(), store.facts, own)
     edges = as_relation_facts(
         graph.withColumn("rn", F.col("hop")), "request_id", "rn"
     )

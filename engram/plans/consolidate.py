@@ -164,7 +164,7 @@ def consolidate(
 ) -> Consolidation:
     """What a batch of interactions adds to the memory; see ``commit``."""
     texts = checkpoint(extraction_texts(interactions, store.messages(), settings.worker_history))
-    facts = checkpoint(store.facts())
+    facts = checkpoint(store.facts(texts.select("entity_id")))
     candidates = checkpoint(_candidates(texts, provider.extract_facts(F.col("text"))))
     fresh, effects = consolidate_facts(facts, candidates, provider, now, settings)
     ends = checkpoint(resolve_relations(texts, provider.extract_relations(F.col("text"))))

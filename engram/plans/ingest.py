@@ -105,7 +105,7 @@ def extract_knowledge(
         F.concat(F.lit("document:"), "document_id").alias("source_agent"),
         F.lit("").alias("agent_owner"), "document_id", "chunk_id",
     ))
-    stale = contradicted(store.facts(), facts, now=now)
+    stale = contradicted(store.facts(facts.select("entity_id")), facts, now=now)
     store.deactivate_facts(stale, now, batch and f"{batch}-stale")
     # within the batch a later value of a singular attribute closes the earlier one
     history = version_history(facts.select("id", "entity_id", "attribute", "val", "valid_from"))

@@ -49,11 +49,14 @@ CACHE_INVALIDATIONS = _struct("owner:s at:t")
 LINKS = _struct("kind:s src:s dst:s")
 # Append-only effects on facts: kind is 'deactivate' or 'reinforce'.
 FACT_EFFECTS = _struct("fact_id:s kind:s at:t")
+# Append-only log of merges; of several rows for a duplicate the latest holds.
+MERGES = _struct("duplicate_id:s canonical_id:s at:t")
 
 TABLES = {
     "entities": ENTITIES,
     "facts": FACTS,
     "fact_effects": FACT_EFFECTS,
+    "merges": MERGES,
     "relations": RELATIONS,
     "documents": DOCUMENTS,
     "document_status": DOCUMENT_STATUS,

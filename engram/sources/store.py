@@ -1,7 +1,7 @@
 """Memory tables as parquet folders: append-only batches, views on top.
 
-Rows are never changed in place. Deactivation, reinforcement, document status
-and cache invalidation are logs that views reduce; only merging, community
+Rows are never changed in place. Deactivation, reinforcement, merges, document
+status and cache invalidation are logs that views reduce; only community
 snapshots and clearing a session write a table anew, as its next version.
 """
 
@@ -18,6 +18,7 @@ from engram.functions.text import blank_to_null
 from engram.operators import chat, documents, facts as facts_ops, graph, search
 from engram.operators.scope import with_valid_ids
 from engram.schemas import TABLES
+from engram.session import checkpoint
 
 
 class MemoryStore:
@@ -93,9 +94,28 @@ class MemoryStore:
 
     # -- facts ---------------------------------------------------------------
 
-    def facts(self) -> DataFrame:
-        """Facts with all effects applied."""
-        return facts_ops.apply_effects(self.read("facts"), self.read("fact_effects"))
+    def facts(self, ids: DataFrame | None = None) -> DataFrame:
+        """Facts with all effects and merges applied.
+
+        ``ids`` (column entity_id) limits facts and effects to those entities
+        before anything else, so that a micro-batch touches its own rows only.
+        """
+        rows, effects, merges = self.read("facts"), self.read("fact_effects"), self.merges()
+        if ids is not None:
+            wanted = ids.select("entity_id").distinct()
+            absorbed = merges.join(wanted.withColumnRenamed("entity_id", "canonical_id"), "canonical_id", "left_semi")
+            wanted = wanted.unionByName(absorbed.select(F.col("duplicate_id").alias("entity_id"))).distinct()
+            rows = rows.join(wanted, "entity_id", "left_semi")
+            effects = effects.join(rows.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+        rows = facts_ops.apply_effects(rows, effects)
+        if merges.isEmpty():
+            return rows
+        return graph.merge_facts(rows, merges)
+
+    def merges(self) -> DataFrame:
+        """Who was merged into whom by now: duplicate_id, canonical_id, at."""
+        newest = F.max(F.struct("at", "canonical_id")).alias("m")
+        return self.read("merges").groupBy("duplicate_id").agg(newest).select("duplicate_id", "m.canonical_id", "m.at")
 
     def insert_facts(self, rows: DataFrame, now: Column, owner: Column | None = None, batch: str | None = None) -> None:
         filled = facts_ops.with_insert_defaults(_with_columns(rows, "facts"), now, owner)
@@ -136,8 +156,9 @@ class MemoryStore:
     # -- entities and relations ----------------------------------------------
 
     def entities(self) -> DataFrame:
-        """One row per entity, with its topic where it has one."""
-        return self.read("entities").groupBy("id").agg(
+        """One row per entity that was not merged away, with its topic where it has one."""
+        gone = self.merges().select(F.col("duplicate_id").alias("id"))
+        return self.read("entities").join(gone, "id", "left_anti").groupBy("id").agg(
             F.max("attribute").alias("attribute"), F.max("val").alias("val")
         )
 
@@ -149,7 +170,8 @@ class MemoryStore:
         return graph.entity_names(rows if ids is None else rows.join(ids, "entity_id", "left_semi"))
 
     def relations(self) -> DataFrame:
-        return self.read("relations")
+        """Relations between the entities that remain after merges."""
+        return graph.remap_ids(self.read("relations"), self.merges().drop("at"), "source_id", "target_id")
 
     def insert_relations(self, rows: DataFrame, now: Column, owner: Column | None = None, batch: str | None = None) -> None:
         filled = graph.with_relation_defaults(_with_columns(rows, "relations"), now, owner)
@@ -169,16 +191,16 @@ class MemoryStore:
         found = graph.incident_to(self.relations(), frontier).select("id").distinct()
         return self.relations().join(found, "id", "left_semi")
 
-    def merge(self, merges: DataFrame, now: Column) -> None:
-        """Merge entities; effects so far are folded into the rewritten facts."""
-        facts, relations = graph.merge_entities(self.facts(), self.relations(), merges, now)
-        kept = self.read("entities").join(
-            merges.select(F.col("duplicate_id").alias("id")), "id", "left_anti"
-        )
-        self.replace("relations", relations)
-        self.replace("entities", kept)
-        self.replace("facts", facts)
-        self.replace("fact_effects", self.read("fact_effects").limit(0))
+    def merge(self, merges: DataFrame, now: Column, batch: str | None = None) -> None:
+        """Log merges (duplicate_id, canonical_id); reading applies them, no table is rewritten.
+
+        What was merged into an entity that is now a duplicate itself follows it.
+        """
+        fresh = merges.select("duplicate_id", "canonical_id", now.alias("at"))
+        onward = fresh.select(F.col("duplicate_id").alias("_old"), F.col("canonical_id").alias("_new"), F.col("at").alias("_at"))
+        moved = self.merges().join(onward, F.col("canonical_id") == F.col("_old")).select(
+            "duplicate_id", F.col("_new").alias("canonical_id"), F.col("_at").alias("at"))
+        self.append("merges", checkpoint(fresh.unionByName(moved)), batch)
 
     # -- documents -----------------------------------------------------------
 

@@ -228,3 +228,24 @@ def test_provider_factory():
     with pytest.raises(ValueError):
         provider_for(Settings(), {})
     assert Settings.from_env({"SEMANTIC_CACHE_THRESHOLD": "0.9", "EMBEDDING_BATCH_SIZE": "x"}).cache_threshold == 0.9
+
+
+def test_merges_are_a_log(spark, store):
+    a, b, c, d = (str(uuid.uuid5(uuid.NAMESPACE_URL, x)) for x in "abcd")
+    ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"fact{i}")) for i in range(6)]
+    store.insert_facts(fact(spark, [(ids[0], a, "name", "A", "x", ""), (ids[1], b, "name", "B", "x", ""), (ids[2], c, "city", "Rome", "x", "")]), at(NOW), batch="one")
+    pairs = "duplicate_id string, canonical_id string"
+    store.merge(spark.createDataFrame([(b, c)], pairs), at("2024-05-01 13:00:00"))
+    # written after the merge, and again by a replay of the same batch
+    for _ in range(2):
+        memory = store.before("two")
+        memory.insert_facts(fact(spark, [(ids[3], b, "job", "cook", "x", ""), (ids[4], d, "pet", "cat", "x", "")]), at(NOW), batch="two")
+        memory.deactivate_facts(spark.createDataFrame([(ids[2],)], "id string"), at(NOW), batch="two")
+    store.merge(spark.createDataFrame([(c, a)], pairs), at("2024-05-01 14:00:00"))
+    rows = {r.id: r for r in store.facts().collect()}
+    assert {i: r.entity_id for i, r in rows.items()} == {ids[0]: a, ids[1]: a, ids[2]: a, ids[3]: a, ids[4]: d}
+    names = [r for r in rows.values() if r.attribute == "name"]
+    assert sum(r.valid_until is None for r in names) == 1 and rows[ids[2]].valid_until is not None
+    part = {r.id: tuple(r) for r in store.facts(spark.createDataFrame([(a,)], "entity_id string")).collect()}
+    assert part == {i: tuple(r) for i, r in rows.items() if i != ids[4]}
+    assert {r.id for r in store.entities().collect()} == {a, d}
