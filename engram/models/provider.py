@@ -134,10 +134,18 @@ class HttpProvider:
 
 
 def _text_call(call: Callable[[str], str]):
+    """A model call per text; a failed one gives null, and the task goes on."""
+
+    def answer(prompt: str | None) -> str | None:
+        try:
+            return call(prompt) if prompt is not None else None
+        except OSError:
+            return None
+
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
-            yield prompts.map(lambda p: call(p) if p is not None else None)
+            yield prompts.map(answer)
 
     return run
 

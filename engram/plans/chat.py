@@ -180,11 +180,12 @@ def chat(
         "session_id", seq.alias("seq"), F.col("agent_role").alias("role"),
         F.col("message").alias("content"), now.alias("timestamp"),
     )
-    told = replies.join(turns, "request_id").select(
+    told = replies.filter(F.col("reply").isNotNull()).join(turns, "request_id").select(
         "session_id", (seq + 1).alias("seq"), F.lit("assistant").alias("role"),
         F.col("reply").alias("content"), now.alias("timestamp"),
     )
-    fresh = replies.filter(~F.col("from_cache")).select("request_id", "reply")
+    # a failed answer (null) is neither remembered nor cached
+    fresh = replies.filter(~F.col("from_cache") & F.col("reply").isNotNull()).select("request_id", "reply")
     order = F.row_number().over(W.partitionBy("entity_id").orderBy("request_id")).cast("long")
     entries = asked.filter(F.col("embedding").isNotNull()).join(fresh, "request_id").withColumn("_order", order).select(
         F.col("entity_id").alias("owner"), (F.unix_micros(now) * SEQ_STEP + F.col("_order")).alias("seq"), F.col("message").alias("query"),

@@ -49,7 +49,10 @@ def ingest(
     chunks = chunk_documents(
         parsed.filter(F.col("error").isNull()), settings.chunk_size, settings.chunk_overlap
     )
-    embedded = checkpoint(chunks.withColumn("embedding", provider.embed(F.col("content"))))
+    tried = checkpoint(chunks.withColumn("embedding", provider.embed(F.col("content"))))
+    # a chunk without a vector could never be found: its document fails as a whole
+    unembedded = checkpoint(tried.filter(F.col("embedding").isNull()).select("document_id").distinct())
+    embedded = tried.join(unembedded, "document_id", "left_anti")
     done = embedded.select("document_id").distinct()
 
     # documents carry their parsed metadata
@@ -74,8 +77,8 @@ def ingest(
     )
     failed = jobs.join(done, "document_id", "left_anti").join(
         parsed.select("document_id", "error"), "document_id", "left"
-    )
-    reason = F.coalesce("error", F.lit("document generated 0 chunks"))
+    ).join(unembedded.withColumn("_lost", F.lit("embedding failed")), "document_id", "left")
+    reason = F.coalesce("error", "_lost", F.lit("document generated 0 chunks"))
     store.update_status(
         _status(done, "completed", now).unionByName(_status(failed, "failed", now, reason)), batch
     )

@@ -249,3 +249,19 @@ def test_merges_are_a_log(spark, store):
     part = {r.id: tuple(r) for r in store.facts(spark.createDataFrame([(a,)], "entity_id string")).collect()}
     assert part == {i: tuple(r) for i, r in rows.items() if i != ids[4]}
     assert {r.id for r in store.entities().collect()} == {a, d}
+
+
+class Unembedding(OfflineProvider):
+    def embed(self, text):
+        return F.when(~text.contains("lost"), OfflineProvider.embed(self, text))
+
+
+def test_failed_vectors_fail_the_document(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "good.md").write_text("# One\nOtters swim.")
+    (folder / "bad.md").write_text("# Two\nThis one is lost.")
+    ingest(store, read_files(spark, str(folder)), Unembedding(), at(NOW), batch="d1")
+    status = {r.title: (r.status, r.error_message) for r in store.documents().collect()}
+    assert status == {"good.md": ("completed", ""), "bad.md": ("failed", "embedding failed")}
+    assert {"lost" in r.content for r in store.read("chunks").collect()} == {False}
