@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from engram.llm import kernels
+from engram.llm.sampling import least_hashed
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 32, 15, 8
 _KINDS, _TERMS = 16, 16**3 + 2
@@ -114,9 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id))
         .groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-        .withColumn("mark", F.xxhash64("id"))
     )
-    part = [known.where(F.col("label") == v).orderBy("mark", "id").limit(SAMPLE).collect() for v in (0, 1)]  # bounded
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+    part = [least_hashed(known.where(F.col("label") == v), SAMPLE, counts.get(v, 0), "id").collect() for v in (0, 1)]  # bounded
     half = SAMPLE // 2
     take = [max(half, SAMPLE - len(part[1])), max(half, SAMPLE - len(part[0]))]
     chosen = {r.id: r.label for p, n in zip(part, take) for r in p[:n]}

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from engram.llm.components import components
+from engram.llm.sampling import least_hashed
 from engram.session import checkpoint
 
 #: Bound of the sample that centres are fitted on, and of their number.
@@ -172,8 +173,9 @@ def near_vectors(
 def _links(spark, classes: DataFrame, threshold: float, seed: int, exact: bool) -> DataFrame:
     """Per class and pair of blocks: copies linked to it, and a class of smaller id joined with it."""
     kind = classes.schema["v"].dataType.simpleString()
-    k = int(max(1, min(CENTRES, classes.count() ** 0.5 / 4)))
-    sample = classes.orderBy(F.xxhash64("cls", F.lit(seed))).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    n = classes.count()
+    k = int(max(1, min(CENTRES, n**0.5 / 4)))
+    sample = least_hashed(classes, SAMPLE, n, "cls").select("v").toArrow().column("v").combine_chunks()
     cells = centres(_matrix(sample), k, seed)
     placed = checkpoint(classes.mapInArrow(
         _place(spark.sparkContext.broadcast(cells)), f"cls bigint, v {kind}, copies bigint, cell int, near double"))
