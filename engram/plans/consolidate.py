@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from engram.config import DEFAULTS, Settings
 from engram.functions.text import SELF_ALIASES, decode_reply, fact_text, is_self_alias, trim_space, uuid3
 from engram.models.provider import Provider
-from engram.operators.chat import history_before, transcript
+from engram.operators.chat import last_messages, transcript
 from engram.operators.facts import (
     match_conflicts, newest_per_entity, oldest_active, own_and_shared, remembered, version_history,
 )
@@ -33,20 +33,29 @@ class Consolidation:
 def extraction_texts(interactions: DataFrame, messages: DataFrame, n: int = DEFAULTS.worker_history) -> DataFrame:
     """Text each interaction is read from: earlier turns, then the message.
 
-    ``interactions``: session_id, entity_id, sender, message, timestamp. The
-    newest interaction of a session in the batch decides where history ends.
+    ``interactions``: session_id, entity_id, sender, message, timestamp. History
+    ends before each interaction's own message (the latest such one that is not
+    newer), so what an interaction is read with does not depend on its batch.
     """
-    last = interactions.groupBy("session_id").agg(
-        F.max_by(F.struct("sender", "message"), "timestamp").alias("_m")
-    ).select("session_id", "_m.*")
-    talk = transcript(history_before(messages, last, n))
+    keyed = checkpoint(interactions.withColumn(
+        "_key", F.xxhash64("session_id", "sender", "message", F.unix_micros("timestamp"))))
+    asked = keyed.select("session_id", "_key", "sender", "message", F.col("timestamp").alias("_at")).distinct()
+    # the retained messages of a session are few, so each interaction takes its own copy
+    turns = messages.join(asked, "session_id")
+    own = (F.col("role") == F.col("sender")) & (F.col("content") == F.col("message"))
+    own = own & F.coalesce(F.col("timestamp") <= F.col("_at"), F.lit(True))
+    ends = turns.filter(own).groupBy("_key").agg(F.max("seq").alias("_cut"))
+    turns = turns.join(ends, "_key", "left").filter(F.col("_cut").isNull() | (F.col("seq") <= F.col("_cut")))
+    turns = turns.drop("session_id").withColumnRenamed("_key", "session_id")
+    near = last_messages(turns, n).filter(F.col("_cut").isNull() | (F.col("seq") < F.col("_cut")))
+    talk = transcript(near.withColumnRenamed("session_id", "_key"), "_key")
     said = F.concat("sender", F.lit(": "), "message")
     context = F.concat(
         F.lit("Earlier turns:\n"), "history", F.lit("\nMessage at hand:\n"), said
     )
-    return interactions.join(talk, "session_id", "left").withColumn(
+    return keyed.join(talk, "_key", "left").withColumn(
         "text", F.coalesce(context, said)
-    ).drop("history")
+    ).drop("history", "_key")
 
 
 def _candidates(texts: DataFrame, replies: Column) -> DataFrame:

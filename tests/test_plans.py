@@ -265,3 +265,20 @@ def test_failed_vectors_fail_the_document(spark, store, tmp_path):
     status = {r.title: (r.status, r.error_message) for r in store.documents().collect()}
     assert status == {"good.md": ("completed", ""), "bad.md": ("failed", "embedding failed")}
     assert {"lost" in r.content for r in store.read("chunks").collect()} == {False}
+
+
+def test_history_ends_before_each_interaction(spark):
+    times = [f"2024-05-01 10:0{i}:00" for i in range(5)]
+    told = [("s", i, "user" if i % 2 == 0 else "assistant", m, t) for i, (m, t) in enumerate(zip(["yes", "a", "more", "b", "yes"], times))]
+    messages = spark.createDataFrame(told, "session_id string, seq long, role string, content string, timestamp string").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp"))
+    asked = spark.createDataFrame(
+        [("s", ALICE, "user", m, t) for m, t in (("yes", times[0]), ("more", times[2]), ("yes", times[4]))],
+        "session_id string, entity_id string, sender string, message string, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    text = {str(r.timestamp): r.text for r in consolidate_plan.extraction_texts(asked, messages, 3).collect()}
+    head, tail = "Earlier turns:\n", "\nMessage at hand:\n"
+    assert text == {
+        times[0]: "user: yes", times[2]: f"{head}user: yes\nassistant: a\n{tail}user: more",
+        times[4]: f"{head}user: more\nassistant: b\n{tail}user: yes"}
+    alone = consolidate_plan.extraction_texts(asked.limit(2), messages, 3).collect()
+    assert {str(r.timestamp): r.text for r in alone} == {t: text[t] for t in (times[0], times[2])}
