@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from engram.catalog.iterative import sql_resolution, sql_sequential_labels
 from engram.catalog.registry import query
 from engram.catalog.tables import (
     SQL_CONTAINS, SQL_NAMES, SQL_PLACED, SQL_SUPPLIES, contains, name_facts, node_id, now, placed,
@@ -327,7 +328,14 @@ def relation_entities(spark, sf_dir):
     return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
 
 
-@query("lpa_exact")
+# a customer and its orders are a part of the graph that no edge leaves
+@query("lpa_exact", f"""
+WITH RECURSIVE {SQL_PLACED}, {sql_sequential_labels(
+    f"SELECT c_custkey AS part, {sql_node_id('customer', 'c_custkey')} AS id FROM customer "
+    f"UNION ALL SELECT o_custkey, {sql_node_id('order', 'o_orderkey')} FROM orders",
+    f"SELECT o_custkey AS part, id, source_id, target_id FROM placed JOIN orders ON target_id = {sql_node_id('order', 'o_orderkey')}")}
+SELECT id, label FROM labels
+""")
 def lpa_exact(spark, sf_dir):
     """Sequential label propagation over customers and their orders."""
     nodes = table(spark, sf_dir, "customer").select(node_id("customer", "c_custkey").alias("id")).unionByName(
@@ -347,12 +355,16 @@ def entity_resolution(spark, sf_dir):
     return R.resolve_entities(checkpoint(nodes))
 
 
-@query("entity_resolution_vectors")
+@query("entity_resolution_vectors", f"""
+WITH RECURSIVE {sql_resolution(
+    f"SELECT {sql_node_id('part', 'p_partkey')} AS id, p_name AS name, embedding AS v FROM part "
+    "JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)")}
+SELECT duplicate_id, canonical_id FROM merges
+""")
 def entity_resolution_vectors(spark, sf_dir):
-    """Merges among parts by stored vectors; none are near enough to a second one."""
-    nodes = table(spark, sf_dir, "part").join(
-        table(spark, sf_dir, "embeddings"), F.col("p_partkey") == F.col("vec_id")
-    ).select(
-        node_id("part", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"), "embedding"
-    )
-    return R.resolve_entities(nodes)
+    """Merges among all parts by stored vectors, which are dealt to the parts in turn."""
+    vectors = table(spark, sf_dir, "embeddings")
+    total = vectors.count()
+    nodes = table(spark, sf_dir, "part").withColumn("vec_id", F.col("p_partkey") % total)
+    return R.resolve_entities(nodes.join(vectors, "vec_id").select(
+        node_id("part", "p_partkey").alias("entity_id"), F.col("p_name").alias("name"), "embedding"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engram.catalog.facts import SINGULAR_SQL
+from engram.catalog.iterative import sql_chunks
 from engram.catalog.registry import query
 from engram.catalog.tables import key_id, now, sql_cosine, sql_key_id, sql_trim, sql_uuid3, table, vectors
 from engram.functions import text as X
@@ -244,7 +245,14 @@ def _chunks(spark, sf_dir):
     return D.chunk_documents(parsed)
 
 
-@query("chunk_documents")
+_CHUNKS_SQL = f"""
+WITH {sql_chunks("SELECT doc_id AS k, text AS t FROM documents")},
+named AS (SELECT *, {sql_uuid3("(k::VARCHAR || '#' || chunk_index::VARCHAR)")} AS id FROM chunks)"""
+
+
+@query("chunk_documents", f"""{_CHUNKS_SQL}
+SELECT id, k::VARCHAR AS document_id, chunk_index, content, lang FROM named JOIN documents ON doc_id = k
+""")
 def chunk_documents(spark, sf_dir):
     """Overlapping chunks of all documents."""
     return _chunks(spark, sf_dir).select(
@@ -252,7 +260,9 @@ def chunk_documents(spark, sf_dir):
     )
 
 
-@query("provenance_lineage")
+@query("provenance_lineage", f"""{_CHUNKS_SQL}
+SELECT {sql_uuid3("('fact-' || id)")} AS id, id AS chunk_id, k::VARCHAR AS document_id, chunk_index FROM named
+""")
 def provenance_lineage(spark, sf_dir):
     """Facts read off chunks, with the document and chunk they come from."""
     chunks = checkpoint(_chunks(spark, sf_dir).select("id", "document_id", "chunk_index"))
@@ -267,7 +277,22 @@ def provenance_lineage(spark, sf_dir):
     return G.lineage(facts.select("id"), links, chunks)
 
 
-@query("parse_pages")
+def _sql_plain(html: str) -> str:
+    bare = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for entity, sign in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&amp;?", "&")):
+        bare = f"regexp_replace({bare}, '{entity}', '{sign}', 'g')"
+    return sql_trim(bare)
+
+
+# pages here hold one article, a heading and paragraphs whose ends may be missing
+@query("parse_pages", f"""
+WITH cut AS (
+  SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS head, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1,
+         string_split(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<p>') AS ps FROM pages),
+bare AS (SELECT page_id, {_sql_plain('head')} AS title, {_sql_plain('h1')} AS h1,
+                list_filter(list_transform(ps, lambda x: {_sql_plain('x')}), lambda x: x <> '') AS ps FROM cut)
+SELECT page_id, array_to_string(list_prepend('# ' || h1, ps), chr(10) || chr(10)) AS text, title, CAST(NULL AS VARCHAR) AS error FROM bare
+""")
 def parse_pages(spark, sf_dir):
     """Readable text and title of all pages."""
     sources = table(spark, sf_dir, "pages").select(

@@ -5,10 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import compare, oracle
-from engram.functions.chunking import split_text
-from engram.functions.html import page_content
 
-from test_operators import model_lpa, model_resolution
+from test_operators import model_resolution
 
 
 @pytest.fixture(scope="module")
@@ -26,38 +24,6 @@ def test_entry(spark):
         "request_id", "source_name", "rel_type", "target_name", "hop", "statement"]
 
 
-def test_chunks_and_lineage(spark, sf_dir):
-    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    want = {(d, i): c for d, t in texts.items() for i, c in enumerate(split_text(t))}
-    rows = entry.queries()["chunk_documents"](spark, sf_dir).collect()
-    assert {(r.document_id, r.chunk_index): r.content for r in rows} == want
-    lines = entry.queries()["provenance_lineage"](spark, sf_dir).collect()
-    assert {(r.document_id, r.chunk_index) for r in lines} == set(want) and len(lines) == len(want)
-
-
-def test_pages(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
-    rows = {r.page_id: r for r in entry.queries()["parse_pages"](spark, sf_dir).collect()}
-    for page in pages:
-        text, metadata = page_content(page.html)
-        assert (rows[page.page_id].text, rows[page.page_id].title) == (text, metadata.get("title"))
-        assert text.startswith("# ") and "track(" not in text
-
-
-def test_sequential_labels(spark, sf_dir):
-    from engram.catalog.tables import placed
-
-    edges = [tuple(r) for r in placed(spark, sf_dir).select("id", "source_id", "target_id").collect()]
-    rows = {r.id: r.label for r in entry.queries()["lpa_exact"](spark, sf_dir).collect()}
-    by_customer = {}
-    for edge in edges:
-        by_customer.setdefault(edge[1], []).append(edge)
-    want = {node: node for node in rows}
-    for customer, own in by_customer.items():
-        want.update(model_lpa(sorted({customer, *(e[2] for e in own)}), own))
-    assert rows == want
-
-
 def test_entity_resolution(spark, sf_dir):
     from engram.catalog.tables import node_id
     from engram.models.offline import embed
@@ -68,4 +34,4 @@ def test_entity_resolution(spark, sf_dir):
     nodes = sorted((tuple(r) for r in parts.collect()), key=lambda n: n[0])
     rows = entry.queries()["entity_resolution"](spark, sf_dir).collect()
     assert {r.duplicate_id: r.canonical_id for r in rows} == model_resolution(nodes, 0.93)
-    assert rows and not entry.queries()["entity_resolution_vectors"](spark, sf_dir).collect()
+    assert rows
