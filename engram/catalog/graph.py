@@ -63,6 +63,46 @@ def graph_two_hop(spark, sf_dir):
     return G.graph_context(relations, name_facts(spark, sf_dir), _busiest(spark, sf_dir))
 
 
+_OWNER_SQL = "CASE WHEN right(id, 1) < '4' THEN '' WHEN right(id, 1) < '7' THEN source_id ELSE 'someone' END"
+
+
+@query("graph_two_hop_batch", f"""
+WITH {SQL_PLACED}, {SQL_CONTAINS}, {SQL_NAMES},
+given AS (SELECT id, source_id, target_id, rel_type FROM placed UNION ALL SELECT id, source_id, target_id, rel_type FROM contains_part
+  UNION ALL SELECT 'NAMED:' || c_custkey, {sql_node_id('customer', 'c_custkey')}, c_name, 'has_name' FROM customer),
+rels AS (SELECT *, {_OWNER_SQL} AS owner FROM given),
+ends AS (SELECT *, source_id AS e FROM rels UNION SELECT *, target_id FROM rels),
+hop1 AS (SELECT c_custkey, r.*, {sql_node_id('customer', 'c_custkey')} AS seed FROM customer JOIN ends r ON e = {sql_node_id('customer', 'c_custkey')} WHERE owner IN ('', e)),
+frontier AS (SELECT DISTINCT c_custkey, seed, target_id FROM hop1 WHERE target_id <> seed),
+hop2 AS (SELECT c_custkey, r.*, seed FROM frontier f JOIN ends r ON r.e = f.target_id WHERE owner IN ('', seed)),
+found AS (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 AS hop FROM hop2),
+shown AS (
+  SELECT c_custkey AS request_id, hop, rel_type, CASE WHEN source_id = seed THEN 'user' ELSE coalesce(s.name, substr(source_id, 1, 8)) END AS source_name,
+    CASE WHEN target_id = seed THEN 'user' ELSE coalesce(t.name, substr(target_id, 1, 8)) END AS target_name
+  FROM found LEFT JOIN names s ON s.entity_id = source_id LEFT JOIN names t ON t.entity_id = target_id)
+SELECT request_id, source_name, rel_type, target_name, min(hop) AS hop,
+       'Graph Relation: ' || source_name || ' is linked to ' || target_name || ' via ' || rel_type AS statement
+FROM shown WHERE source_name <> target_name AND upper(rel_type) NOT IN ('HAS_NAME', 'NAME')
+GROUP BY request_id, source_name, rel_type, target_name
+""")
+def graph_two_hop_batch(spark, sf_dir):
+    """What every customer sees within two hops, among private, shared and foreign edges."""
+    customers = table(spark, sf_dir, "customer")
+    named = customers.select(
+        F.concat(F.lit("NAMED:"), "c_custkey").alias("id"), node_id("customer", "c_custkey").alias("source_id"),
+        F.col("c_name").alias("target_id"), F.lit("has_name").alias("rel_type"),
+    )
+    edges = placed(spark, sf_dir).unionByName(contains(spark, sf_dir)).unionByName(named, allowMissingColumns=True)
+    last = F.substring("id", -1, 1)
+    edges = edges.withColumn(
+        "agent_owner", F.when(last < "4", "").when(last < "7", F.col("source_id")).otherwise("someone"))
+    seeds = customers.select(
+        F.col("c_custkey").alias("request_id"), node_id("customer", "c_custkey").alias("entity_id"),
+        node_id("customer", "c_custkey").alias("viewer"),
+    )
+    return G.graph_context(edges, name_facts(spark, sf_dir), seeds)
+
+
 @query("graph_two_hop_both", f"""
 WITH {SQL_PLACED}, {SQL_CONTAINS},
 seed AS (SELECT {sql_node_id('part', 'min(p_partkey)')} AS id FROM part),
@@ -324,8 +364,7 @@ WITH {SQL_SUPPLIES} SELECT source_id AS id FROM supplies UNION SELECT target_id
 """)
 def relation_entities(spark, sf_dir):
     """Entities that storing relations brings into being, once each."""
-    edges = supplies(spark, sf_dir)
-    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    return G.relation_entities(supplies(spark, sf_dir))
 
 
 # a customer and its orders are a part of the graph that no edge leaves

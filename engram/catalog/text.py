@@ -13,6 +13,7 @@ from engram.operators import documents as D
 from engram.operators import graph as G
 from engram.operators import scope as S
 from engram.operators import search as V
+from engram.plans.consolidate import resolve_relations
 from engram.schemas import EXTRACTED_FACTS
 from engram.session import checkpoint
 
@@ -143,6 +144,35 @@ def fact_replies(spark, sf_dir):
     )
 
 
+_ENDS_SQL = f"""
+said AS (
+  SELECT CAST(conv_id AS VARCHAR) AS entity_id, role AS sender, upper({sql_trim("' is near' || turn % 3 || ' '")}) AS rel_type,
+    CASE turn % 4 WHEN 0 THEN 'User ' WHEN 1 THEN '' WHEN 2 THEN ' Alice' ELSE 'Bob' END AS source,
+    CASE turn % 5 WHEN 4 THEN upper(role) ELSE regexp_extract(text, '[A-Za-z]+') END AS target FROM conversations),
+keyed AS (SELECT *, lower({sql_trim('source')}) AS s, lower({sql_trim('target')}) AS t, lower({sql_trim('sender')}) AS me FROM said),
+ends AS (SELECT *, s IN ('', 'user', 'subject', 'speaker', me) AS own_s, t IN ('user', 'subject', 'speaker', me) AS own_t FROM keyed WHERE t <> '')"""
+
+
+@query("relation_replies", f"""
+WITH {_ENDS_SQL}
+SELECT CASE WHEN own_s THEN entity_id ELSE {sql_uuid3('s')} END AS source_id, CASE WHEN own_t THEN entity_id ELSE {sql_uuid3('t')} END AS target_id,
+  rel_type, CASE WHEN NOT own_s THEN source END AS source_name, CASE WHEN NOT own_t THEN target END AS target_name, entity_id AS agent_owner, sender
+FROM ends
+""")
+def relation_replies(spark, sf_dir):
+    """Edges out of model replies: aliases mean the speaker, other names become ids, blank targets go."""
+    turn = F.col("turn")
+    source = F.when(turn % 4 == 0, "User ").when(turn % 4 == 1, "").when(turn % 4 == 2, " Alice").otherwise("Bob")
+    target = F.when(turn % 5 == 4, F.upper("role")).otherwise(F.regexp_extract("text", "[A-Za-z]+", 0))
+    reply = F.concat(F.lit("```json"), F.to_json(F.array(F.struct(
+        source.alias("source_entity"), target.alias("target_entity"),
+        F.concat(F.lit(" is near"), turn % 3, F.lit(" ")).alias("relation_type"), F.lit(0.9).alias("confidence"),
+    ))), F.lit("```"))
+    texts = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("entity_id"), F.col("role").alias("sender"), now().alias("timestamp"), reply.alias("reply"))
+    return resolve_relations(texts, F.col("reply")).drop("valid_from")
+
+
 _URL_SQL = "CASE page_id % 3 WHEN 0 THEN url || '.PDF?x=1' WHEN 1 THEN 'https://docs.google.com/document/d/a-B_' || page_id || '/edit?u=' || url ELSE url END"
 
 

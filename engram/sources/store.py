@@ -176,8 +176,7 @@ class MemoryStore:
     def insert_relations(self, rows: DataFrame, now: Column, owner: Column | None = None, batch: str | None = None) -> None:
         filled = graph.with_relation_defaults(_with_columns(rows, "relations"), now, owner)
         self.append("relations", filled, batch)
-        ends = filled.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-        self.append("entities", ends, batch and f"{batch}-relations")
+        self.append("entities", graph.relation_entities(filled), batch and f"{batch}-relations")
 
     def active_relations(self, entity_id: str, viewer: str | None = None) -> DataFrame:
         return graph.incident(self.relations(), entity_id, viewer)

@@ -35,3 +35,8 @@ def test_entity_resolution(spark, sf_dir):
     rows = entry.queries()["entity_resolution"](spark, sf_dir).collect()
     assert {r.duplicate_id: r.canonical_id for r in rows} == model_resolution(nodes, 0.93)
     assert rows
+
+
+def test_context_of_many_without_broadcasts(spark, duck, sf_dir, monkeypatch):
+    monkeypatch.setattr("engram.operators.graph.FEW_ROWS", 0)
+    assert compare(spark, duck, "graph_two_hop_batch", sf_dir).startswith("ok")
