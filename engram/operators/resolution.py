@@ -93,50 +93,71 @@ def candidate_pairs(
 
     A pair can reach the threshold only if its cosine is at least
     ``(threshold - name_weight) / vector_weight``, i.e. the unit vectors lie
-    within a fixed radius. Forms are assigned to the nearest of a bounded set of
-    pivots, and copied to those cells whose separating plane is within the
-    radius, so every such pair meets in exactly one cell (a partition-based
-    metric similarity join, after Das Sarma et al., VLDB 2014). Cheap bounds
-    inside the cell (pivot distance, name length, and a Cauchy-Schwarz bound from
-    the leading components) come before the cosine; the string score runs on
-    survivors only.
+    within a fixed radius. Distinct vectors are assigned to the nearest of a
+    bounded set of pivots, and copied to those cells whose separating plane is
+    within the radius, so every such pair meets in exactly one cell (a
+    partition-based metric similarity join, after Das Sarma et al., VLDB 2014).
+    Cheap bounds inside the cell (pivot distance, and a Cauchy-Schwarz bound from
+    the leading components) come before the cosine. The forms of near vectors
+    meet then; those that their name lengths still allow get the string score.
     """
     least_cosine = (threshold - name_weight) / vector_weight
     if least_cosine <= 0:
         raise ValueError("threshold must exceed the weight of the name score")
-    least_name = (threshold - vector_weight) / name_weight
     radius = float(np.sqrt(max(0.0, 2 - 2 * least_cosine))) + _SLACK
-    usable = checkpoint(forms.filter((F.size("embedding") > 0) & (F.col("length") > 0)))
-    wanted = int(min(max(-(-usable.count() // cell_forms), 1), MAX_PIVOTS))
+    usable = forms.filter((F.size("embedding") > 0) & (F.col("length") > 0))
+    usable = checkpoint(usable.withColumn("vec", F.md5(F.col("embedding").cast("string"))))
+    near = _near_vectors(
+        usable.groupBy("vec").agg(F.first("embedding").alias("embedding"), F.first("length").alias("length")),
+        least_cosine, radius, cell_forms,
+    )
+    named = usable.select("form", "name", "vec", F.octet_length("name").alias("bytes"))
+    a = named.select(*[F.col(c).alias(f"{c}_a") for c in named.columns])
+    b = named.select(*[F.col(c).alias(f"{c}_b") for c in named.columns])
+    shorter = F.least("bytes_a", "bytes_b") / F.greatest("bytes_a", "bytes_b", F.lit(1))
+    # equal names, blank ones too, score 1
+    shorter = F.when(F.col("name_a") == F.col("name_b"), 1.0).otherwise(shorter)
+    jaro_most = (F.lit(2.0) + shorter) / 3
+    name_most = jaro_most + F.lit(0.4) * (1 - jaro_most)
+    most = F.lit(vector_weight) * F.col("cos") + F.lit(name_weight) * name_most
+    once = (F.col("vec_a") != F.col("vec_b")) | (F.col("form_a") < F.col("form_b"))
+    # the joins are on written rows, so that skewed vectors are split at run time
+    pairs = checkpoint(near.join(a, "vec_a")).join(b, "vec_b").filter(once & (most >= threshold - _SLACK))
+    scored = pairs.withColumn(
+        "score",
+        F.lit(vector_weight) * F.col("cos")
+        + F.lit(name_weight) * jaro_winkler_column(F.col("name_a"), F.col("name_b")),
+    )
+    return scored.filter(F.col("score") >= threshold).select("form_a", "form_b", "score")
+
+
+def _near_vectors(vectors: DataFrame, least_cosine: float, radius: float, cell_rows: int) -> DataFrame:
+    """Unordered pairs of distinct vectors, each with itself too: vec_a, vec_b, cos."""
+    vectors = checkpoint(vectors)
+    wanted = int(min(max(-(-vectors.count() // cell_rows), 1), MAX_PIVOTS))
     pivots: dict[int, list] = {}
-    for row in usable.orderBy("form").select("embedding").limit(wanted).collect():
+    for row in vectors.orderBy("vec").select("embedding").limit(wanted).collect():
         pivots.setdefault(len(row[0]), []).append(row[0])
-    rows = usable.select("form", "name", "length", "embedding").mapInArrow(
+    rows = vectors.select("vec", "length", "embedding").mapInArrow(
         _cells({d: np.asarray(v, dtype=np.float64) for d, v in pivots.items()}, radius),
-        "form string, name string, length double, embedding array<float>, dims int, cell int, "
+        "vec string, length double, embedding array<float>, dims int, cell int, "
         "home int, dist double, rest double, "
         + ", ".join(f"h{i} double" for i in range(HEAD)),
-    ).withColumn("bytes", F.octet_length("name"))
+    )
     a, b = rows.alias("a"), rows.alias("b")
     most = sum(
         (F.col(f"a.h{i}") * F.col(f"b.h{i}") for i in range(HEAD)), F.col("a.rest") * F.col("b.rest")
     )
     home_first = (F.col("b.home") > F.col("b.cell")) | (
-        (F.col("b.home") == F.col("b.cell")) & (F.col("a.form") < F.col("b.form"))
+        (F.col("b.home") == F.col("b.cell")) & (F.col("a.vec") <= F.col("b.vec"))
     )
-    near = F.abs(F.col("a.dist") - F.col("b.dist")) <= radius
-    shorter = F.least("a.bytes", "b.bytes") / F.greatest("a.bytes", "b.bytes", F.lit(1))
-    # equal names, blank ones too, score 1
-    shorter = F.when(F.col("a.name") == F.col("b.name"), 1.0).otherwise(shorter)
-    jaro_most = (F.lit(2.0) + shorter) / 3
-    name_most = jaro_most + F.lit(0.4) * (1 - jaro_most)
-    bound = (most >= least_cosine - _SLACK) & (name_most >= least_name - _SLACK) & near
+    bound = (most >= least_cosine - _SLACK) & (F.abs(F.col("a.dist") - F.col("b.dist")) <= radius)
     # guarded, so that the cosine is computed for pairs within the bounds only
     close = F.when(
         bound,
         cosine(F.col("a.embedding"), F.col("b.embedding"), F.col("a.length"), F.col("b.length")),
     )
-    pairs = (
+    return (
         a.filter(F.col("home") == F.col("cell"))
         .join(
             b,
@@ -145,19 +166,9 @@ def candidate_pairs(
             & home_first
             & bound,
         )
-        .select(
-            F.col("a.form").alias("form_a"), F.col("b.form").alias("form_b"),
-            F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"),
-            close.alias("cos"),
-        )
+        .select(F.col("a.vec").alias("vec_a"), F.col("b.vec").alias("vec_b"), close.alias("cos"))
         .filter(F.col("cos") >= least_cosine - _SLACK)
     )
-    scored = pairs.withColumn(
-        "score",
-        F.lit(vector_weight) * F.col("cos")
-        + F.lit(name_weight) * jaro_winkler_column(F.col("name_a"), F.col("name_b")),
-    )
-    return scored.filter(F.col("score") >= threshold).select("form_a", "form_b", "score")
 
 
 def _cells(pivots: dict[int, np.ndarray], radius: float, step: int = 512):
@@ -170,7 +181,7 @@ def _cells(pivots: dict[int, np.ndarray], radius: float, step: int = 512):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = {d: v / np.linalg.norm(v, axis=1, keepdims=True) for d, v in pivots.items()}
         for batch in batches:
-            for size, (places, matrix) in rows_by_size(pa.chunked_array([batch.column(3)])).items():
+            for size, (places, matrix) in rows_by_size(pa.chunked_array([batch.column(2)])).items():
                 u = units.get(size, np.eye(1, size))
                 matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
                 for start in range(0, len(places), step):
