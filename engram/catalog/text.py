@@ -17,6 +17,7 @@ from engram.plans.consolidate import resolve_relations
 from engram.schemas import EXTRACTED_FACTS
 from engram.session import checkpoint
 
+# fixed values: the patterns of personal data
 _PHONE = r"\+?\d{1,4}?[-.\s]?\(?\d{1,3}?\)?[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"
 _EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 _IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"

@@ -18,7 +18,6 @@ HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 1000
 TRACKED_KEYS = 16384
 SKETCH_GROUPS = 128
-MAX_WAYS = 1024
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -31,7 +30,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     # grouped, so that no rows give no sketch
     top = sketches.groupBy(F.lit("all").alias("a")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED_KEYS})").alias("s"))
     counted = top.select(F.inline(F.expr(f"approx_top_k_estimate(s, {MAX_HOT_KEYS})")).alias("_hot", "_rows"))
-    ways = F.least(F.ceil(F.col("_rows") / F.lit(hot_rows)), F.lit(MAX_WAYS)).cast("int")
+    ways = F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int")
     return counted.filter(F.col("_rows") > hot_rows).select("_hot", ways.alias("_ways"))
 
 
