@@ -4,10 +4,11 @@ Centres are fitted on a bounded sample; every vector is then placed in the cell
 centre. Two unit vectors whose cosine reaches the threshold are at most ``c = sqrt(2 - 2 t)``
 apart, so a vector can only have links into another cell when it lies within ``c`` of the plane
 between the two centres and within the cell's radius plus the threshold's angle of its centre; lent
-to all such cells, the search is exact whatever the centres are. In many dimensions a difference
-of length ``c`` moves along one direction by about ``c / sqrt(dimensions)`` only, so by default the
-distance from the plane is bounded by four times that, which finds all but a few links in a
-hundred thousand at a third of the work or less; ``exact`` keeps the full bound.
+to all such cells, the search is exact whatever the centres and the vectors are (on the sphere the
+distance from the plane is at most the sine of the threshold's angle, slightly less than ``c``).
+``exact=False`` is an estimate for vectors whose differences spread evenly over all dimensions: it
+bounds that distance by four times ``c / sqrt(dimensions)`` and misses links of vectors that lie
+in few dimensions.
 
 Within a cell its members are dealt over blocks of bounded size, and each pair of blocks is one
 matrix product in one task. A pair of blocks returns counts and a spanning forest of its links,
@@ -31,7 +32,7 @@ from engram.session import checkpoint
 SAMPLE, CENTRES, SWEEPS = 16384, 1024, 8
 #: Mean members of a cell's block, and guests that meet a block at once.
 BLOCK, GUESTS = 1024, 4096
-#: Standard deviations of a difference along one direction that lending allows for.
+#: Standard deviations of a difference along one direction that lending allows for unless exact.
 DEVIATIONS = 4.0
 #: Slack of the geometric bounds against rounding.
 EPS = 1e-6
@@ -80,14 +81,14 @@ def _lend(shared, threshold: float, exact: bool, count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, radius = shared.value
         gaps = np.sqrt(np.maximum(2 - 2 * cells @ cells.T, 0))
-        reach_of = chord if exact else chord * min(1.0, DEVIATIONS / cells.shape[1] ** 0.5)
+        reach_of = np.sin(angle) if exact else chord * min(1.0, DEVIATIONS / cells.shape[1] ** 0.5)
         for batch in batches:
             if not batch.num_rows:
                 continue
             products = _matrix(batch.column(1)) @ cells.T
             home = batch.column(3).to_numpy()
             own = products[np.arange(len(home)), home][:, None]
-            reach = (own - products <= (reach_of + EPS) * gaps[home]) & (
+            reach = (own - products <= reach_of * gaps[home] + 2 * EPS) & (
                 np.arccos(np.clip(products, -1, 1)) <= radius[None, :] + angle + EPS)
             reach &= np.arange(len(cells))[None, :] < home[:, None]
             if count:
@@ -136,7 +137,7 @@ def _product(threshold: float):
 
 
 def near_vectors(
-    table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, seed: int = 0, exact: bool = False
+    table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, seed: int = 0, exact: bool = True
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``table``.
 

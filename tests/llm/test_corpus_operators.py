@@ -214,6 +214,20 @@ def test_vectors_recall(spark):
         assert links > 500 and found <= links and found >= (links if exact else 0.99 * links)
 
 
+@pytest.mark.parametrize("rank", (2, 3, 5))
+def test_vectors_in_few_dimensions(spark, rank):
+    dice = np.random.default_rng(rank)
+    flat = dice.standard_normal((1500, rank))
+    turned = flat @ np.linalg.qr(dice.standard_normal((128, rank)))[0].T
+    padded = np.concatenate([flat, np.zeros((1500, 64 - rank))], axis=1)
+    for rows in (turned, padded):
+        unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame).collect()}
+        assert want.sum() > 500 and [got[i] for i in range(len(rows))] == want.tolist()
+
+
 def test_shards(spark, awkward, monkeypatch):
     dice = random.Random(6)
     rows = [(i, sentence(dice, 5), "en", dice.choice("aaaab"), 0) for i in range(2000)] + [(5000, None, None, None, None)]
