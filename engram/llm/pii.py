@@ -42,6 +42,9 @@ _LOOSE_AT = re.compile(r" ?(?:@|\(at\)|\[at\]| at ) ?(?=[A-Za-z0-9-]{1,63}(?: ?(
 _LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+")
 _LOOSE_DIGITS = re.compile(r"\+?\(?[0-9](?:[ ()./-]{0,2}[0-9])*")
 _DIGIT = re.compile("[0-9]+")
+#: What every candidate holds: a digit, or one of the forms of the sign in ``_LOOSE_AT``.
+_MARKS = (b"(at)", b"[at]", b" at ")
+_MARK = r"[0-9@]|\(at\)|\[at\]| at "
 _WORDS = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "address", "server"),
     "card": ("card", "visa", "credit", "iban"), "phone": ("tel", "phone", "call", "fax", "mobile"),
@@ -223,7 +226,7 @@ def train(docs: DataFrame, text: str = "text") -> Trees:
     """
     one_of = max(1, docs.count() // TEXTS)
     chosen = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark")).where(F.pmod("mark", F.lit(one_of)) == 0)
-    some = chosen.groupBy("mark").agg(F.any_value("text").alias("text")).where(F.col("text").rlike("[0-9@]|\\\\(at\\\\)|\\\\[at\\\\]| dot "))
+    some = chosen.groupBy("mark").agg(F.any_value("text").alias("text")).where(F.col("text").rlike(_MARK))
     # rows of features only, so that long texts don't crowd the driver
     examples = some.select("text", "mark").mapInArrow(_rows, "mark bigint, row binary, label double, kind string")
     rows = examples.orderBy("mark", "row").limit(SAMPLE).toArrow()
@@ -295,7 +298,7 @@ def _search(shared):
                 some = np.diff(marks[offsets[a : b + 1] - offsets[a]]) > 0
                 for i in range(a, b):
                     body = data[int(offsets[i]) : int(offsets[i + 1])].tobytes()
-                    maybe = some[i - a] or any(x in body for x in (b"(at)", b"[at]", b" dot "))
+                    maybe = some[i - a] or any(x in body for x in _MARKS)
                     found = find(body.decode("utf-8"), model) if maybe else []
                     spans.append([{"kind": k, "start": s, "stop": e, "base": f} for k, s, e, f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], names=["id", "spans"])

@@ -404,6 +404,15 @@ def test_pii_trees(spark, awkward):
     assert pii.redacted("a x@y.z b", [("email", 2, 7), ("email", 4, 7)]) == "a [EMAIL] b"
 
 
+def test_pii_without_digits(spark):
+    texts = ["write to jane at example[dot]org", "jane at example.com", "jane at example(dot)org", "jane(at)example.org", "jane [at] example dot org", "jane@example.org", "at home"]
+    model = pii.Trees(bias=8.0, thresholds=dict.fromkeys(pii.KINDS, 0.5))  # takes every candidate
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.personal_data(docs_of(spark, list(enumerate(texts))), model).collect()}
+    for i, body in enumerate(texts):
+        assert got[i] == pii.find(body, model) and bool(got[i]) == (i < 6)
+        assert bool(re.search(pii._MARK, body)) >= bool(pii.candidates(body))
+
+
 def test_boosted_trees_learn():
     dice = np.random.default_rng(11)
     x = dice.uniform(size=(2000, 4))
