@@ -42,6 +42,7 @@ _LOOSE_AT = re.compile(r" ?(?:@|\(at\)|\[at\]| at ) ?(?=[A-Za-z0-9-]{1,63}(?: ?(
 _LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+")
 _LOOSE_DIGITS = re.compile(r"\+?\(?[0-9](?:[ ()./-]{0,2}[0-9])*")
 _DIGIT = re.compile("[0-9]+")
+_NEXT = re.compile("[ ()./-]{0,2}([0-9]+)")
 #: What every candidate holds: a digit, or one of the forms of the sign in ``_LOOSE_AT``.
 _MARKS = (b"(at)", b"[at]", b" at ")
 _MARK = r"[0-9@]|\(at\)|\[at\]| at "
@@ -97,16 +98,38 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if start < m.start() and end:
             out.append(("email", start, end.end()))
     for m in _LOOSE_DIGITS.finditer(text):
-        n = sum(map(len, _DIGIT.findall(m.group())))
-        if 4 <= n <= 12 and m.group().count(".") == 3:
-            out.append(("ip", m.start(), m.end()))
-        if 13 <= n <= 19:
-            out.append(("card", m.start(), m.end()))
-        if 7 <= n <= 15:
-            out.append(("phone", m.start(), m.end()))
+        # numbers may stand next to each other: every span from group to group, linear as digits are few
+        groups = [g.span() for g in _DIGIT.finditer(text, m.start(), m.end())]
+        for i, (first, _) in enumerate(groups):
+            start = m.start() if i == 0 else first - (text[first - 1] == "(")
+            n = 0
+            for a, end in groups[i : i + 19]:  # each has a digit
+                n += end - a
+                if n > 19:
+                    break
+                if 4 <= n <= 12 and text.count(".", start, end) == 3:
+                    out.append(("ip", start, end))
+                if n >= 13:
+                    out.append(("card", start, end))
+                if 7 <= n <= 15:
+                    out.append(("phone", start, end))
     return out
 
 
+def _covered(text: str, spans: list[tuple[str, int, int]]) -> bytearray:
+    """A mark per character that a span covers."""
+    out = bytearray(len(text))
+    for _, start, end in spans:
+        out[start:end] = b"\1" * (end - start)
+    return out
+
+
+def _beside(text: str) -> int:
+    """Digits of the number that goes on at the start of ``text``, if one does."""
+    m = _NEXT.match(text)
+    return len(m[1]) if m else 0
+
+
 def features(text: str, span: tuple[str, int, int]) -> list[float]:
     """Format and context of a candidate."""
     kind, start, end = span
@@ -119,7 +142,7 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
         float(body.startswith("+")), float(body.startswith("00")), float("(" in body), float(body.count(".")), float(body.count("-")),
         float(body.count(" ")), float(body.count("/")), float("@" in body), float("(at)" in body or "[at]" in body), float("dot" in body),
         float(bool(groups) and all(map(_small, groups))), float(before[-1:].isalnum()), float(after[:1].isalnum()),
-        float(before[-1:] in "#=\"'"), float(sum(c.isdigit() for c in before + after)),
+        float(before[-1:] in "#=\"'"), float(sum(c.isdigit() for c in before + after)), float(_beside(before[::-1])), float(_beside(after)),
         *(float(any(w in before for w in _WORDS[k])) for k in KINDS),
     ]
 
@@ -200,19 +223,42 @@ _DECOYS = (
 )
 
 
+def _grouped(kind: str, body: str) -> list[str]:
+    """A card or phone number as it is, in usual groups, and in looser forms."""
+    groups = _DIGIT.findall(body)
+    if kind == "card":
+        digits = "".join(groups)
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [body, " ".join(groups), "-".join(groups), *_looser(kind, body)]
+    local = groups[1:] or groups
+    return [body, "+" + " ".join(groups), "-".join(local), " ".join(local), *_looser(kind, body)]
+
+
+# numbers put before and after a card or phone number, in turn
+_NEIGHBOURS = (("2024-01-31 ", ""), ("", " 12/27"), ("31.12.2024 ", " 12"), ("", " 2024-01-31"), ("17 ", " 250"))
+
+
 def _examples(text: str) -> Iterator[tuple[list[float], float, str]]:
     base = base_spans(text)
+    known, taken = set(base), _covered(text, base)
     for span in candidates(text):
-        hit = span in base
-        near = any(b[1] < span[2] and span[1] < b[2] for b in base)
-        if hit or not near:
+        hit = span in known
+        if hit or 1 not in taken[span[1] : span[2]]:
             yield features(text, span), float(hit), span[0]
-    for kind, start, end in base:
+    for at, (kind, start, end) in enumerate(base):
         head, tail = text[max(0, start - 60) : start], text[end : end + 60]
-        for body in _looser(kind, text[start:end]):
-            for span in candidates(head + body + tail):
-                if span[0] == kind and abs(span[1] - len(head)) <= 1 and abs(span[2] - len(head) - len(body)) <= 1:
-                    yield features(head + body + tail, span), 1.0, kind
+        loose = [("", body, "") for body in _looser(kind, text[start:end])]
+        if kind in ("card", "phone"):
+            forms = _grouped(kind, text[start:end])
+            for i in range(start + at, start + at + 3):
+                a, b = _NEIGHBOURS[i // len(forms) % len(_NEIGHBOURS)]
+                loose.append((a, forms[i % len(forms)], b))
+        for a, body, b in loose:
+            whole, first, last = head + a + body + b + tail, len(head) + len(a), len(head) + len(a) + len(body)
+            for span in candidates(whole):
+                if span[1] < last and span[2] > first:  # the datum, or a span with wrong borders
+                    right = span[0] == kind and abs(span[1] - first) <= 1 and abs(span[2] - last) <= 1
+                    yield features(whole, span), float(right), span[0]
         for body in _DECOYS:
             for span in candidates(head + body + tail):
                 if span[1] < len(head) + len(body) and span[2] > len(head):
@@ -268,15 +314,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(text: str, model: Trees) -> list[tuple[str, int, int, bool]]:
     """Base spans, and candidates chosen by the trees where no base span is."""
     base = base_spans(text)
-    taken = [(s, e) for _, s, e in base]
+    taken = _covered(text, base)
     out = [(*b, True) for b in base]
-    loose = [c for c in candidates(text) if not any(s < c[2] and c[1] < e for s, e in taken)]
+    loose = [c for c in candidates(text) if 1 not in taken[c[1] : c[2]]]
     if loose:
-        scores = model.scores(np.array([features(text, c) for c in loose]))
+        parts = (loose[i : i + 4096] for i in range(0, len(loose), 4096))
+        scores = np.concatenate([model.scores(np.array([features(text, c) for c in part])) for part in parts])
         for i in np.argsort(-scores, kind="stable"):
             kind, start, end = loose[i]
-            if scores[i] >= model.thresholds.get(kind, 2.0) and not any(s < end and start < e for s, e in taken):
-                taken.append((start, end))
+            if scores[i] >= model.thresholds.get(kind, 2.0) and 1 not in taken[start:end]:
+                taken[start:end] = b"\1" * (end - start)
                 out.append((kind, start, end, False))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

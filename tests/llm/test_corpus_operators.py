@@ -404,6 +404,21 @@ def test_pii_trees(spark, awkward):
     assert pii.redacted("a x@y.z b", [("email", 2, 7), ("email", 4, 7)]) == "a [EMAIL] b"
 
 
+def test_pii_beside_numbers(spark):
+    for text, kind, body in (
+        ("card 4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"), ("2024-01-31 555-123-4567", "phone", "555-123-4567"),
+        ("2024-01-31 (555) 123-4567 12", "phone", "(555) 123-4567"), ("17 555-123-4567 250 18 555-987-6543 260", "phone", "555-987-6543"),
+        ("port 8080 10.0.0.1 22", "ip", "10.0.0.1"), ("call +1 555 123 4567 2024-01-31 now", "phone", "+1 555 123 4567"),
+    ):
+        at = text.index(body)
+        assert (kind, at, at + len(body)) in pii.candidates(text)
+    assert len(pii.candidates("1 " * 20_000)) <= 20 * 20_000
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for text, found in (("my card 4111 1111 1111 1111 12/27 thanks", "4111 1111 1111 1111"), ("2024-01-31 555-123-4567", "555-123-4567"),
+                        ("call +1 555 123 4567 2024-01-31 now", "+1 555 123 4567")):
+        assert [text[a:b] for _, a, b, _ in pii.find(text, model)] == [found]
+
+
 def test_pii_without_digits(spark):
     texts = ["write to jane at example[dot]org", "jane at example.com", "jane at example(dot)org", "jane(at)example.org", "jane [at] example dot org", "jane@example.org", "at home"]
     model = pii.Trees(bias=8.0, thresholds=dict.fromkeys(pii.KINDS, 0.5))  # takes every candidate
