@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each text becomes the set of its distinct five-word shingles. 128 minima are taken; bands of five
-full minima name candidates, and of each minimum only four bits are kept, packed in eight longs.
+Each text becomes the set of its distinct five-word shingles. 128 minima are taken; bands of a few
+full minima, as the threshold needs, name candidates, and of each minimum only four bits are kept, packed in eight longs.
 Candidates are first judged by the similarity that the packed bits suggest, corrected for chance
 collisions, with five standard deviations of slack, then by their whole sets.
 
@@ -12,8 +12,9 @@ collisions, with five standard deviations of slack, then by their whole sets.
   compared with all of its bucket outside its own component, which makes the components those of
   all candidate pairs. No bucket is gathered in a task, and a pair is only listed where bounds on
   the shared shingles and the packed bits allow a link.
-* Twenty-five bands of five miss a pair at similarity 0.85 once in two million, more alike ones
-  less often.
+* Bands have as many minima as keep the share of pairs at the threshold that share no band below one
+  in a million: at 0.85 twenty-five bands of five (one pair in two million), at 0.8 thirty-two of four
+  (one in twenty million). More alike pairs are missed less often.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from engram.llm import kernels
 from engram.llm.components import components
 from engram.session import checkpoint
 
-HASHES, BANDS, ROWS, BITS = 128, 25, 5, 4
+HASHES, BITS = 128, 4
+#: Share of the pairs at the threshold that may share no band.
+MISSED = 1e-6
 #: Standard deviations of slack for the similarity that packed bits suggest.
 SLACK = 5
 #: Comparisons of packed bits that the closing comparison may make, per document; above it more
@@ -58,11 +61,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _bands(minima: np.ndarray) -> np.ndarray:
-    out = np.empty((len(minima), BANDS), np.uint64)
-    for band in range(BANDS):
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands, and minima in each: the longest bands that miss few enough pairs at ``threshold``."""
+    for rows in range(HASHES, 1, -1):
+        if (1 - threshold**rows) ** (HASHES // rows) <= MISSED:
+            return HASHES // rows, rows
+    return HASHES, 1
+
+
+def _bands(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    out = np.empty((len(minima), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(minima), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
+        for k in range(band * rows, (band + 1) * rows):
             key = kernels.mix(key * np.uint64(0xD6E8FEB86659FD93) + minima[:, k])
         out[:, band] = key
     return out
@@ -78,28 +89,31 @@ def _packed(minima: np.ndarray) -> np.ndarray:
 FEATURES = "id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, bands array<bigint>"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = kernels.texts(batch.column(1))
-        for a, b in kernels.pieces(offsets):
-            sets = kernels.shingle_sets(data, offsets[a : b + 1])
-            sizes = np.array([len(s) for s in sets], np.int64)
-            some = np.flatnonzero(sizes)
-            minima = signatures([sets[i] for i in some])
-            marks = np.zeros((2, len(sets)), np.uint64)
-            for i in some:
-                marks[0, i] = np.bitwise_xor.reduce(sets[i])
-                marks[1, i] = np.add.reduce(kernels.mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)))
-            lists = []
-            for rows in (_packed(minima), _bands(minima)):
-                at = np.zeros(len(sets), np.int64)
-                at[some] = rows.shape[1]
-                ends = np.concatenate([[0], np.cumsum(at)]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.view(np.int64).ravel())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes), *(pa.array(m.view(np.int64)) for m in marks), *lists],
-                names=["id", "n_shingles", "f1", "f2", "sig", "bands"],
-            )
+def _features(shape: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = kernels.texts(batch.column(1))
+            for a, b in kernels.pieces(offsets):
+                sets = kernels.shingle_sets(data, offsets[a : b + 1])
+                sizes = np.array([len(s) for s in sets], np.int64)
+                some = np.flatnonzero(sizes)
+                minima = signatures([sets[i] for i in some])
+                marks = np.zeros((2, len(sets)), np.uint64)
+                for i in some:
+                    marks[0, i] = np.bitwise_xor.reduce(sets[i])
+                    marks[1, i] = np.add.reduce(kernels.mix(sets[i] ^ np.uint64(0x5851F42D4C957F2D)))
+                lists = []
+                for rows in (_packed(minima), _bands(minima, *shape)):
+                    at = np.zeros(len(sets), np.int64)
+                    at[some] = rows.shape[1]
+                    ends = np.concatenate([[0], np.cumsum(at)]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.view(np.int64).ravel())))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(sizes), *(pa.array(m.view(np.int64)) for m in marks), *lists],
+                    names=["id", "n_shingles", "f1", "f2", "sig", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all their links. Other columns are ignored, whatever their names; an empty table gives none.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    features = checkpoint(rows.mapInArrow(_features, FEATURES))
+    features = checkpoint(rows.mapInArrow(_features(banding(threshold)), FEATURES))
     classes = checkpoint(
         features.where("n_shingles > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
         .agg(F.min("id").alias("id"), F.any_value(F.struct("sig", "bands")).alias("s"))

@@ -117,6 +117,19 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets[r.doc_id]) for r in got)
 
 
+def test_bands_fit_the_threshold():
+    for hundredths in range(50, 100):
+        bands, rows = near_dedup.banding(hundredths / 100)
+        assert bands * rows <= near_dedup.HASHES and (1 - (hundredths / 100) ** rows) ** bands <= 1e-6
+    assert near_dedup.banding(0.85) == (25, 5) and near_dedup.banding(corpus_pipeline.SIMILARITY) == (32, 4)
+    # 103 of 128 minima agree, which suggests 0.80; every band of five holds one that doesn't
+    minima = near_dedup.kernels.mix(np.arange(256, dtype=np.uint64)).reshape(2, 128)
+    same = np.setdiff1d(np.arange(128), np.arange(0, 125, 5))
+    minima[1, same] = minima[0, same]
+    a, b = near_dedup._bands(minima, *near_dedup.banding(0.8))
+    assert set(a.tolist()) & set(b.tolist())
+
+
 def test_near_duplicates_awkward(spark, awkward):
     rows = near_dedup.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()
