@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from engram.catalog.registry import Query
-from engram.llm import decontam, lines, mixing, near_dedup, pii, quality, repeats, shards, vectors, warc
-from engram.session import tune
+from engram.llm import bpe, codes, decontam, lines, mixing, near_dedup, pii, quality, repeats, shards, vectors, warc
+from engram.session import checkpoint, tune
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +193,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return warc.archived_pages(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _digests(ids: Column) -> tuple[Column, Column]:
+    return F.size(ids).cast("long"), F.sha2(F.encode(F.array_join(ids.cast("array<string>"), ","), "UTF-8"), 256)
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes that they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    n, digest = _digests(F.col("ids"))
+    return out.select("doc_id", n.alias("n_tokens"), digest.alias("ids_sha256"),
+                      F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+def _sql_rounds() -> str:
+    """Tables b0 to b4 of codebook entries (p, e, j, c) and a1 to a5 of nearest entries (id, p, e, d)."""
+    out = []
+    for k in range(1, codes.ROUNDS + 2):
+        out.append(f"""d{k} AS (SELECT x.id, x.p, b.e, sum((x.x - b.c) * (x.x - b.c))::BIGINT AS d FROM parts x JOIN b{k - 1} b USING (p, j) GROUP BY ALL),
+    a{k} AS (SELECT id, p, min(d * 256 + e) % 256 AS e, min(d) AS d FROM d{k} GROUP BY id, p)""")
+        if k <= codes.ROUNDS:
+            out.append(f"""s{k} AS (SELECT p, e, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c FROM parts JOIN a{k} USING (id, p) GROUP BY p, e, j),
+    b{k} AS (SELECT p, e, j, coalesce(s.c, b.c) AS c FROM b{k - 1} b LEFT JOIN s{k} s USING (p, e, j))""")
+    return ",\n    ".join(out)
+
+
+@query("op11_vector_codes", f"""
+WITH kept AS (SELECT vec_id AS id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    flat AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) // {codes.PARTS} AS w FROM kept),
+    parts AS (SELECT id, i // w AS p, i % w AS j, floor({codes.SCALE} * x::DOUBLE)::BIGINT AS x FROM flat),
+    first AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS e FROM kept ORDER BY id LIMIT {codes.ENTRIES}),
+    b0 AS (SELECT p, e, j, x AS c FROM parts JOIN first USING (id)), {_sql_rounds()},
+    coded AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{codes.ROUNDS + 1} GROUP BY id),
+    books AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b{codes.ROUNDS})
+SELECT id AS vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (id), books""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by product codebooks, their errors, and the error of each label."""
+    rows, books = codes.compressed(table(spark, sf_dir, "embeddings"))
+    rows = checkpoint(rows)
+    totals = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return rows.join(totals, F.col("label").eqNullSafe(F.col("of")), "left").select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
