@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from engram.catalog.registry import Query
-from engram.llm import bpe, codes, decontam, lines, mixing, near_dedup, pii, quality, repeats, shards, vectors, warc
+from engram.llm import bpe, codes, decontam, lines, mixing, near_dedup, pii, quality, repeats, shards, tries, vectors, warc
 from engram.session import checkpoint, tune
 
 QUERIES: dict[str, Query] = {}
@@ -240,3 +240,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
     return rows.join(totals, F.col("label").eqNullSafe(F.col("of")), "left").select(
         "vec_id", code.alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_conversation_trie", f"""
+WITH RECURSIVE steps AS (SELECT k, k AS v, 0 AS n FROM range(256) t(k)
+        UNION ALL SELECT k, CASE WHEN v % 2 = 1 THEN xor(3988292384, v // 2) ELSE v // 2 END, n + 1 FROM steps WHERE n < 8),
+    crc AS (SELECT list(v ORDER BY k) AS crcs FROM steps WHERE n = 8),
+    said AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list(key ORDER BY turn NULLS FIRST, key) AS keys, list(words ORDER BY turn NULLS FIRST, key) AS words FROM said GROUP BY c),
+    borrow AS (SELECT c, keys, words, (xor(4294967295, {_CRC}) % 4)::BIGINT AS h FROM (SELECT *, c::VARCHAR AS t FROM own), crc),
+    built AS (SELECT x.c, list_concat(coalesce(f.keys[1:x.h], []), x.keys[x.h + 1:]) AS keys, list_concat(coalesce(f.words[1:x.h], []), x.words[x.h + 1:]) AS words
+        FROM borrow x LEFT JOIN own f ON f.c = x.c - x.c % 20),
+    prefixes AS (SELECT c, d, array_to_string(keys[1:d], '') AS path, CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words, d = len(keys) AS at_end
+        FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM built)),
+    nodes AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE at_end), '')) AS ends_sha256 FROM prefixes GROUP BY path, d),
+    kids AS (SELECT substr(path, 1, 32 * d - 32) AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+    own_sums AS (SELECT path, d, n_children IS NULL AS leaf, (n_convs - 1) * words AS saved FROM nodes LEFT JOIN kids USING (path)),
+    sums AS (SELECT substr(path, 1, 32 * k) AS path, sum(leaf::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+        FROM (SELECT *, unnest(range(d + 1)) AS k FROM own_sums) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.d > 0 AND p.path = substr(n.path, 1, 32 * n.d - 32) LEFT JOIN kids k ON k.path = n.path JOIN sums s ON s.path = n.path""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes of the rebuilt conversations, with members, children, leaves and tokens saved."""
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
