@@ -151,7 +151,7 @@ class _Links:
 
     def __init__(self, sig: DataFrame, sets: DataFrame, threshold: float):
         self.sig = sig
-        self.sets, self.threshold, self.found = sets, threshold, []
+        self.sets, self.threshold, self.found, self.forest = sets, threshold, [], None
         p = 2.0**-BITS + (1 - 2.0**-BITS) * threshold
         self.floor = threshold - SLACK * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
@@ -169,10 +169,15 @@ class _Links:
         self.found.append(checkpoint(both.where(100 * shared >= whole * union).select("a", "b")))
 
     def components(self) -> DataFrame:
+        """Components of all links so far: earlier ones take part as one edge to the component's name."""
         links = self.found[0]
         for more in self.found[1:]:
             links = links.unionByName(more)
-        return components(links)
+        if self.forest is not None:
+            links = links.unionByName(self.forest)
+        found, self.found = components(links), []
+        self.forest = found.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a != b")
+        return found
 
 
 def _able(sets: DataFrame, threshold: float) -> DataFrame:
@@ -187,26 +192,34 @@ def _able(sets: DataFrame, threshold: float) -> DataFrame:
     return n.join(s, "id").where(F.lit(100) * F.col("s") >= round(threshold * 100) * F.col("n"))
 
 
-_COMPARED = ("id", "component", "n", "s", "sig", "bands")
+_COMPARED = ("id", "component", "n", "s", "sig", "keys")
 
 
-def _across(minor: DataFrame, every: DataFrame, threshold: float, floor: float, last: bool) -> DataFrame:
+def _across(minor: DataFrame, every: DataFrame, sig: DataFrame, threshold: float, floor: float, last: bool) -> DataFrame:
     """Pairs of a bucket's ``minor`` rows with its rows in other components that may reach the threshold."""
-    left = minor.select("key", *(F.col(c).alias(f"{c}_a") for c in _COMPARED))
-    right = every.select("key", "main", *(F.col(c).alias(f"{c}_b") for c in _COMPARED))
+    own = every.groupBy("id").agg(F.collect_set("key").alias("keys")).join(sig, "id")
+    left = minor.join(own, "id").select("key", *(F.col(c).alias(f"{c}_a") for c in _COMPARED))
+    right = every.join(own, "id").select("key", "main", *(F.col(c).alias(f"{c}_b") for c in _COMPARED))
     least = F.least("s_a", "s_b")
     may = (
         (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b"))
         & (F.lit(100) * least >= round(threshold * 100) * (F.col("n_a") + F.col("n_b") - least))
         & (similarity(F.col("sig_a"), F.col("sig_b")) >= floor)
     )
-    # a pair that shares several bands is listed in one of them
-    may = may & (F.array_min(F.array_intersect("bands_a", "bands_b")) == left["key"])
+    # a pair that shares several of the open buckets is listed in one of them
+    may = may & (F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"])
     if last:  # of two minor rows one order is enough
         may = may & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b")))
     return left.join(right, may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    a, b = found.toDF("a", "of_a"), found.toDF("b", "of_b")
+    placed = pairs.join(a, "a", "left").join(b, "b", "left")
+    return placed.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
@@ -218,21 +231,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     features = checkpoint(rows.mapInArrow(_features(banding(threshold)), FEATURES))
-    classes = checkpoint(
-        features.where("n_shingles > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
-        .agg(F.min("id").alias("id"), F.any_value(F.struct("sig", "bands")).alias("s"))
-        .select("f1", "f2", "n_shingles", "id", "s.sig", "s.bands")
-    )
+    grouped = features.where("n_shingles > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n_shingles").agg(
+        F.min("id").alias("id"), F.any_value(F.struct("sig", "bands")).alias("s"))
+    classes = checkpoint(grouped.select("f1", "f2", "n_shingles", "id", "s.sig", "s.bands"))
     banded = classes.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1")
     members = checkpoint(banded.join(shared, "key").select("key", "id", "pivot", "m"))
     wanted = members.select("id").distinct()
     sets = checkpoint(shingle_table(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", "text"))
-    features_of = classes.groupBy("id").agg(F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
-    sig = features_of.select("id", "sig")
+    sig = classes.groupBy("id").agg(F.any_value("sig").alias("sig"))
     links = _Links(sig, sets, threshold)
-    links.judge(members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    # one pivot of each member first: in a group of near copies this leaves few of its other pivots to compare with
+    pairs = checkpoint(members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    links.judge(pairs.groupBy("a").agg(F.min("b").alias("b")))
     found, n = links.components(), features.count()
+    links.judge(_apart(pairs, found))
+    found = links.components()
     able, tried, before = None, 0, None
     while True:
         placed = members.join(found, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
@@ -248,7 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         if able is None:  # now that few are left, drop what can't reach the threshold with any of them
             own = sets.join(open_.select("id").distinct(), "id", "left_semi")
-            able = checkpoint(_able(own, threshold).join(features_of, "id"))
+            able = checkpoint(_able(own, threshold))
             continue
         last = cost <= LINEAR * n or before is not None and 2 * cost > before
         before = cost
@@ -256,7 +270,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not last:
             pivots = minor.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(tried))).alias("pivot"))
             minor = open_.join(pivots, "key").where("id = pivot")
-        pairs = _across(minor, open_, threshold, links.floor, last)
+        pairs = _across(minor, open_, sig, threshold, links.floor, last)
         links.judge(pairs)
         found = links.components()
         tried += 1
