@@ -91,9 +91,8 @@ class Table:
         """The value of ``key`` in ``bound`` (this literal, bound by ``_let``), or null."""
         bucket = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.size - 1)).cast("int")
         rest = F.substr(bound, bucket * self.width + 1, F.lit(self.width)).cast("string")
-        wanted = F.concat(F.lit(_KEY), key, F.lit(_VALUE))
-        return _let(rest, lambda b: F.when(
-            F.instr(b, wanted) > 0, F.substring_index(F.substr(b, F.instr(b, wanted) + F.length(wanted)), _KEY, 1)))
+        found = F.split_part(rest, F.concat(F.lit(_KEY), key, F.lit(_VALUE)), F.lit(2))
+        return F.nullif(F.substring_index(found, _KEY, 1), F.lit(""))
 
 
 def merge_table(ranks: dict[bytes, int]) -> Table:
@@ -175,7 +174,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     single = F.split(F.lit("".join(_mark(ranks[bytes([b])]) for b in range(256))), "")
     whole = Table({word: _mark(rank) for piece, rank in ranks.items() if (word := _utf8(piece)) is not None})
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    words = rows.select(F.explode(_split(F.col("text"), pattern)).alias("word"))
+    # the outer forms, because of the inner ones an array is computed once more to see whether it has elements
+    words = rows.select(F.explode_outer(_split(F.col("text"), pattern)).alias("word")).where("word IS NOT NULL")
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     marks = _let(table.literal, lambda merges: _let(whole.literal, lambda known: _let(single, lambda bytes_: F.coalesce(
         whole.at(known, F.col("word")), folded(F.col("word"), merges, table, bytes_)))))
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         _split(F.col("text"), pattern), lambda w: F.struct(w.alias("word"), frequent.at(known, w).alias("marks"))))
     key = F.unhex(F.md5("text"))
     others = F.transform(F.filter(found, lambda w: w["marks"].isNull()), lambda w: w["word"])
-    rare = rows.select(key.alias("key"), F.posexplode(others).alias("k", "word"))
+    rare = rows.select(key.alias("key"), F.posexplode_outer(others).alias("k", "word"))
     lists = (
         rare.join(encoded.select("word", "marks"), "word").groupBy("key")
         .agg(F.collect_set(F.struct("k", "marks")).alias("rare"))
