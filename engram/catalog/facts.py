@@ -86,8 +86,8 @@ def search_batch(spark, sf_dir):
 
 @query("search_batch_vectors", f"""
 WITH {SQL_FACTS},
-placed AS (SELECT f.*, v.embedding FROM facts f JOIN embeddings v ON v.vec_id = (CAST(f.entity_id AS BIGINT) + CAST(f.id AS BIGINT) % 3) % 500),
-asked AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS request_id, embedding AS wanted FROM events JOIN embeddings ON vec_id = user_id % 500),
+placed AS (SELECT f.*, v.embedding FROM facts f JOIN embeddings v ON v.vec_id = (CAST(f.entity_id AS BIGINT) + CAST(f.id AS BIGINT)) % (SELECT count(*) FROM embeddings)),
+asked AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS request_id, embedding AS wanted FROM events JOIN embeddings ON vec_id = user_id % (SELECT count(*) FROM embeddings)),
 pool AS (SELECT *, {sql_cosine('embedding', 'wanted')} AS score FROM placed, asked
          QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) <= {DEFAULTS.ann_pool}),
 found AS (SELECT * FROM pool WHERE entity_id = request_id AND {VISIBLE_SQL}
@@ -97,10 +97,11 @@ SELECT request_id, id, round({RETENTION_SQL}, 6) AS memory_strength FROM found W
 def search_batch_vectors(spark, sf_dir):
     """The five nearest facts every entity sees of itself, among the nearest of all facts, decayed."""
     held = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    spot = F.pmod(F.col("entity_id").cast("long") + F.pmod(F.col("id").cast("long"), F.lit(3)), F.lit(500))
+    n = held.count()
+    spot = F.pmod(F.col("entity_id").cast("long") + F.col("id").cast("long"), F.lit(n))
     facts = event_facts(spark, sf_dir).drop("embedding").withColumn("vec_id", spot).join(held, "vec_id").drop("vec_id")
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    requests = users.join(held, F.pmod("user_id", F.lit(500)) == F.col("vec_id")).select(
+    requests = users.join(held, F.pmod("user_id", F.lit(n)) == F.col("vec_id")).select(
         *(F.col("user_id").cast("string").alias(c) for c in ("request_id", "entity_id", "viewer")), "embedding")
     found = O.search_hybrid_batch(facts, requests, now(), 5).facts
     return found.select("request_id", "id", F.round("memory_strength", 6).alias("memory_strength"))

@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.catalog.registry import query
 from engram.catalog.tables import table
+from engram.session import work_dir
 from engram.streaming.sessions import session_log
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _work_dir(spark) -> str:
-    """A fresh folder all executors share, under the session's checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix="engram-stream-")
-    return f"{base.rstrip('/')}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-
-
 @query("stream_sessions", """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3
 """)
 def stream_sessions(spark, sf_dir):
     """The last three messages of each session, kept as streaming state."""
-    work = _work_dir(spark)
+    work = work_dir(spark)
     source = table(spark, sf_dir, "conversations")
     stream = (
         spark.readStream.schema(source.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)

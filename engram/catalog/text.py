@@ -15,7 +15,8 @@ from engram.operators import scope as S
 from engram.operators import search as V
 from engram.plans.consolidate import resolve_relations
 from engram.schemas import EXTRACTED_FACTS
-from engram.session import checkpoint
+from engram.session import checkpoint, work_dir
+from engram.sources.vector_index import VectorIndex
 
 # fixed values: the patterns of personal data
 _PHONE = r"\+?\d{1,4}?[-.\s]?\(?\d{1,3}?\)?[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"
@@ -123,18 +124,17 @@ def json_extract(spark, sf_dir):
 
 
 @query("fact_replies", """
-SELECT event_id, event_type AS attribute, CAST(value AS VARCHAR) AS val, 0.5 AS confidence_score FROM events WHERE event_id % 4 IN (0, 1)
+SELECT event_id, event_type AS attribute, CAST(value AS VARCHAR) AS val, 0.5 AS confidence_score FROM events WHERE event_id % 6 IN (0, 1)
 """)
 def fact_replies(spark, sf_dir):
-    """Facts in model replies; blank, empty and broken replies give none."""
-    body = F.concat(
-        F.lit('[{"attribute": "'), "event_type", F.lit('", "value": "'), F.col("value").cast("string"),
-        F.lit('", "confidence_score": 0.5}]'),
-    )
-    step = F.pmod(F.col("event_id"), F.lit(4))
+    """Facts in model replies; blank, empty and broken replies give none, nor do those with one field of a wrong type."""
+    item = [F.lit('{"attribute": "'), "event_type", F.lit('", "value": "'), F.col("value").cast("string"), F.lit('", "confidence_score": 0.5}')]
+    body = F.concat(F.lit("["), *item, F.lit("]"))
+    step = F.pmod(F.col("event_id"), F.lit(6))
     reply = (
         F.when(step == 0, body).when(step == 1, F.concat(F.lit("```\n"), body, F.lit("```")))
-        .when(step == 2, " [] ").otherwise(F.concat(F.lit("I cannot say: "), "event_type"))
+        .when(step == 2, " [] ").when(step == 3, F.concat(F.lit("["), *item, F.lit(', {"attribute": "age", "value": 5}]')))
+        .when(step == 4, F.replace(body, F.lit("0.5}"), F.lit('"high"}'))).otherwise(F.concat(F.lit("I cannot say: "), "event_type"))
     )
     facts = table(spark, sf_dir, "events").select(
         "event_id", F.explode(X.decode_reply(reply, EXTRACTED_FACTS)).alias("f")
@@ -383,6 +383,39 @@ def vector_topk_batch(spark, sf_dir):
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("vector_index_topk", f"""
+WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+scored AS (SELECT query_id, vec_id, {_SCORE} AS score FROM embeddings e, q)
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS id, round(score, 6) AS score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) <= 10
+""")
+def vector_index_topk(spark, sf_dir):
+    """The ten nearest vectors to every twentieth one, by an index of all vectors with every cell probed."""
+    index = VectorIndex.create(spark, f"{work_dir(spark)}/index", vectors(spark, sf_dir))
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = index.top_k_per_query(queries, 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("chunk_search", f"""
+WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
+placed AS (SELECT doc_id, left(text, 40) AS content, e.embedding FROM documents
+           JOIN embeddings e ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+scored AS (SELECT doc_id, content, {_SCORE} AS score FROM placed e, q)
+SELECT CAST(doc_id AS VARCHAR) AS id, content, round(score, 6) AS score FROM scored
+ORDER BY scored.score DESC, CAST(doc_id AS VARCHAR) LIMIT 20
+""")
+def chunk_search(spark, sf_dir):
+    """The 20 chunks nearest to a question, one chunk per document, with their true cosine, through the store."""
+    held = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = held.count()
+    chunks = table(spark, sf_dir, "documents").join(held, F.pmod("doc_id", F.lit(n)) == F.col("vec_id")).select(
+        F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("document_id"),
+        F.lit(0).alias("chunk_index"), F.left("text", F.lit(40)).alias("content"), "embedding")
+    found = V.search_chunks(chunks, _first_vector(spark, sf_dir), 20)
+    return found.select("id", "content", F.round("score", 6).alias("score"))
+
+
 @query("vector_postfilter", f"""
 WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
 pool AS (SELECT vec_id, label, {_SCORE} AS score FROM embeddings e, q ORDER BY score DESC, CAST(vec_id AS VARCHAR) LIMIT 100)

@@ -16,6 +16,8 @@ class Settings:
     reinforce_factor: float = 1.5
     max_stability_days: float = 365.0
     ann_pool: int = 100
+    #: Cells of a vector index that a search reads; None compares with every row.
+    probes: int | None = None
     cache_threshold: float = 0.95
     cache_size: int = 1000
     session_size: int = 50
@@ -60,6 +62,7 @@ class Settings:
         number("DEFAULT_MEMORY_STABILITY_DAYS", "default_stability_days", float)
         number("SEMANTIC_CACHE_THRESHOLD", "cache_threshold", float)
         number("EMBEDDING_BATCH_SIZE", "embed_batch", int)
+        number("VECTOR_INDEX_PROBES", "probes", int)
         number("CONSOLIDATION_QUEUE_SIZE", "files_per_trigger", int)
         for name, field in (
             ("LLM_PROVIDER", "provider"),

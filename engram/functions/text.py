@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,9 +119,32 @@ def strip_code_fence(text: Column) -> Column:
     return F.when(~body.isin("", "[]"), body)
 
 
+# JSON kinds that a field of each type takes; an absent or null field is empty
+_TAKES = {"string": "STRING", "boolean": "BOOLEAN", "double": "(BIGINT|DOUBLE|DECIMAL.*)", "bigint": "BIGINT"}
+
+
+def _fits(value: Column, fields: list[list[str]]) -> Column:
+    kinds = [F.schema_of_variant(value[name]).rlike(f"^({_TAKES[kind]}|VOID)$") for name, kind in fields]
+    return reduce(Column.__and__, [F.coalesce(kind, F.lit(True)) for kind in kinds])
+
+
 def decode_reply(text: Column, schema: str) -> Column:
-    """Parse a model reply; a malformed reply yields null."""
-    return F.from_json(strip_code_fence(text), schema, {"mode": "PERMISSIVE"})
+    """Parse a model reply of ``schema`` (a struct of scalars, or an array of them).
+
+    A reply that is malformed, isn't of that form, or has one field of another type is null as a whole.
+    """
+    body = strip_code_fence(text)
+    many = schema.startswith("array<")
+    inner = schema.removeprefix("array<").removeprefix("struct<").rstrip(">")
+    fields = [part.split(":") for part in inner.split(",")]
+    untyped = "struct<" + ",".join(f"{name}:variant" for name, _ in fields) + ">"
+    loose = F.from_json(body, f"array<{untyped}>" if many else untyped, {"mode": "PERMISSIVE"})
+    kind = F.schema_of_variant(F.try_parse_json(body))
+    if many:
+        sound = kind.startswith("ARRAY<") & F.forall(loose, lambda item: item.isNotNull() & _fits(item, fields))
+    else:
+        sound = kind.startswith("OBJECT<") & _fits(loose, fields)
+    return F.when(sound, F.from_json(body, schema, {"mode": "PERMISSIVE"}))
 
 
 def fact_text(attribute: Column, value: Column) -> Column:

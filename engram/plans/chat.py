@@ -15,7 +15,7 @@ from engram.operators.chat import context_prompts, last_messages
 from engram.operators.facts import nearest_facts, search_hybrid_batch
 from engram.operators.graph import graph_context
 from engram.operators.scope import from_document, may_read, with_valid_ids
-from engram.operators.search import cache_lookup, top_k_per_query
+from engram.operators.search import cache_lookup
 from engram.schemas import DEFAULT_USER_ID, SHARED_ENTITY_ID
 from engram.session import checkpoint
 from engram.sources.store import MemoryStore
@@ -116,7 +116,7 @@ def retrieve(
 
     def nearest(table: str, k: int) -> DataFrame:
         rows = store.read(table)
-        hits = top_k_per_query(rows, queries, k).withColumnRenamed("query_id", "request_id")
+        hits = store.nearest(table, queries, k, settings.probes).withColumnRenamed("query_id", "request_id")
         return rows.drop("embedding").join(hits, "id")
 
     chunks = as_chunk_facts(nearest("chunks", settings.context_chunks), "request_id", "rn")
@@ -219,7 +219,7 @@ def register_relations(store: MemoryStore, edges: DataFrame, now: Column, batch:
 
 
 def search_documents(
-    store: MemoryStore, queries: DataFrame, provider: Provider, limit: int = 5
+    store: MemoryStore, queries: DataFrame, provider: Provider, limit: int = 5, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Chunks nearest to each query text, with their true cosine.
 
@@ -230,7 +230,7 @@ def search_documents(
         "query_id", provider.embed(F.col("query")).alias("embedding")
     )
     chunks = store.read("chunks")
-    hits = top_k_per_query(chunks, asked, limit)
+    hits = store.nearest("chunks", asked, limit, settings.probes)
     return chunks.join(hits, "id").select(
         "query_id", "rn", "document_id", "chunk_index", "content", "score"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,20 +41,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; a
-    temporary folder is used on a local master only, never on a cluster.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a temporary one on a local master only."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
+        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="engram-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder all executors share, under the session's checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -18,6 +18,7 @@ from engram.functions.text import blank_to_null
 from engram.operators import chat, documents, facts as facts_ops, graph, search
 from engram.operators.scope import with_valid_ids
 from engram.schemas import TABLES
+from engram.sources.vector_index import VectorIndex
 from engram.session import checkpoint
 
 
@@ -224,11 +225,38 @@ class MemoryStore:
         return self.documents().filter(F.col("id") == document_id)
 
     def insert_chunks(self, rows: DataFrame, batch: str | None = None) -> None:
-        self.append("chunks", rows, batch)
+        name = batch or uuid.uuid4().hex
+        self.append("chunks", rows, name)
+        index = self.index("chunks")
+        if index is not None:
+            written = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self._current('chunks')}/batch={name}")
+            index.append(written.select("id", "embedding"), name)
 
     def search_chunks(self, vector: list[float], k: int) -> DataFrame:
         return search.search_chunks(self.read("chunks"), vector, k)
 
+    # -- vector index --------------------------------------------------------
+
+    def _index_root(self, table: str) -> str:
+        # a table written anew has no index until one is built for its new version
+        return f"{self.root}/_index/{table}/{self._current(table).rsplit('/', 1)[-1]}"
+
+    def build_index(self, table: str, cells: int | None = None) -> VectorIndex:
+        """Index the vectors that a table holds now; chunks inserted later are added to it."""
+        return VectorIndex.create(self.spark, self._index_root(table), self.read(table), cells)
+
+    def index(self, table: str) -> VectorIndex | None:
+        fs, path = self._fs(f"{self._index_root(table)}/rows")
+        return VectorIndex(self.spark, self._index_root(table)) if fs.exists(path) else None
+
+    def nearest(self, table: str, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """``query_id, id, score, rn`` of the k nearest rows: from the index where there is one and ``probes`` is set,
+        else by comparing with every row."""
+        index = self.index(table) if probes is not None else None
+        if index is None:
+            return search.top_k_per_query(self.read(table), queries, k)
+        return index.top_k_per_query(queries, k, probes)
+
     def link(self, rows: DataFrame, batch: str | None = None) -> None:
         """Add AUTHORED, DISCUSSES or provenance links (kind, src, dst)."""
         self.append("links", rows.distinct(), batch)

@@ -3,6 +3,7 @@
 import re
 import uuid
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from engram.functions import text as X
 from engram.functions.chunking import SPACE, split_text
 from engram.functions.html import page_content
 from engram.functions.parsing import markdown_content, parse_bytes
+from engram.schemas import CONFLICT, EXTRACTED_FACTS
 
 
 def values(spark, column, texts):
@@ -156,3 +158,22 @@ def test_parse_instant(spark):
     stamps = ["2024-01-02T03:04:05.678901Z", "nope", "2024-01-02T03:04:05+02:00"]
     got = [str(v) for v in values(spark, lambda c: X.parse_instant(c).cast("string"), stamps)]
     assert got == ["2024-01-02 03:04:05.678901", "0001-01-01 00:00:00", "2024-01-02 01:04:05"]
+
+
+@pytest.mark.parametrize("reply, kept", [
+    ('[{"attribute": "a", "value": "b", "confidence_score": 1}]', 1), ('[{"attribute": "a"}, {"value": null}]', 2),
+    ('[{"attribute": "a", "value": 5}]', None), ('[{"attribute": "a", "value": "b"}, {"attribute": true}]', None),
+    ('[{"attribute": "a", "value": "b", "confidence_score": "high"}]', None), ('{"attribute": "a"}', None), ('[1, 2]', None),
+    ('[{"attribute": "a", "extra": [1]}]', 1), ("[", None), ("sorry", None), ("[]", None), (None, None),
+])
+def test_one_wrong_type_refuses_the_reply(spark, reply, kept):
+    frame = spark.createDataFrame([(reply,)], "reply string")
+    facts = frame.select(X.decode_reply(F.col("reply"), EXTRACTED_FACTS).alias("f")).first().f
+    assert (None if facts is None else len(facts)) == kept
+
+
+def test_wrong_types_in_single_replies(spark):
+    rows = ['{"has_conflict": true, "conflicting_fact": "x", "reason": "y"}', '{"has_conflict": "yes"}', '[{"has_conflict": true}]', '{}']
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, reply string").orderBy("i")
+    found = [r.c for r in frame.select(X.decode_reply(F.col("reply"), CONFLICT).alias("c")).collect()]
+    assert found[0].has_conflict is True and found[1] is None and found[2] is None and found[3].has_conflict is None
