@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULTS, Settings
-from engram.functions.text import decode_reply, fact_text, is_uuid, uuid3
+from engram.functions.text import blank_to_null, decode_reply, fact_text, is_uuid, uuid3
 from engram.models.provider import Provider
 from engram.operators.documents import author_links, chunk_documents, parse_documents, topic_links
 from engram.operators.facts import contradicted, version_history
 from engram.schemas import EXTRACTED_FACTS, EXTRACTED_RELATIONS, SHARED_ENTITY_ID
 from engram.session import checkpoint
+from engram.sources.files import fetch_links, link_sources
 from engram.sources.store import MemoryStore
 
 
@@ -33,8 +34,11 @@ def ingest(
     """Take documents in and mark each completed or failed.
 
     ``sources``: document_id, title, source_type, source_url, file_path,
-    entity_id, created_at, content (bytes).
+    entity_id, created_at, content (bytes); an ``error`` says why content is missing.
     """
+    sources = checkpoint(sources)  # what was fetched is fetched once
+    lost = F.col("error") if "error" in sources.columns else F.lit(None).cast("string")
+    missing = sources.filter(F.col("content").isNull()).select("document_id", lost.alias("_missing"))
     jobs = sources.select(
         "document_id", "title", "source_type", "source_url", "file_path", "entity_id", "created_at"
     )
@@ -45,7 +49,7 @@ def ingest(
         _status(jobs, "pending", now).unionByName(_status(jobs, "processing", now)),
         batch and f"{batch}-queued",
     )
-    parsed = checkpoint(parse_documents(sources.filter(F.col("content").isNotNull())))
+    parsed = checkpoint(parse_documents(sources.drop("error").filter(F.col("content").isNotNull())))
     chunks = chunk_documents(
         parsed.filter(F.col("error").isNull()), settings.chunk_size, settings.chunk_overlap
     )
@@ -77,14 +81,44 @@ def ingest(
     )
     failed = jobs.join(done, "document_id", "left_anti").join(
         parsed.select("document_id", "error"), "document_id", "left"
-    ).join(unembedded.withColumn("_lost", F.lit("embedding failed")), "document_id", "left")
-    reason = F.coalesce("error", "_lost", F.lit("document generated 0 chunks"))
+    ).join(unembedded.withColumn("_lost", F.lit("embedding failed")), "document_id", "left").join(missing, "document_id", "left")
+    reason = F.coalesce("error", "_missing", "_lost", F.lit("no text to cut into chunks"))
     store.update_status(
         _status(done, "completed", now).unionByName(_status(failed, "failed", now, reason)), batch
     )
     extract_knowledge(store, embedded, provider, now, batch)
 
 
+def ingest_links(
+    store: MemoryStore,
+    links: DataFrame,
+    provider: Provider,
+    now: Column,
+    settings: Settings = DEFAULTS,
+    batch: str | None = None,
+    token: str | None = None,
+    max_bytes: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Validate links, fetch them inside the tasks and take them in.
+
+    ``links``: url, and if wanted title, source_type, entity_id. Returns what was accepted
+    (document_id, url, title, source_type) and what was refused (url, reason). A blank title is the
+    address; a kind that isn't one of a link's is read off the address. A link that cannot be fetched is
+    accepted, and its document fails with the reason.
+    """
+    asked = links.select(*(
+        (F.col(c) if c in links.columns else F.lit("")).cast("string").alias(c) for c in ("url", "title", "source_type", "entity_id")))
+    blank = F.coalesce(F.col("url"), F.lit("")) == ""
+    refused = asked.filter(blank).select("url", F.lit("URL is required").alias("reason"))
+    valid = asked.filter(~blank).select(
+        "url", F.coalesce(blank_to_null(F.col("title")), "url").alias("title"),
+        F.col("source_type").alias("declared"), F.coalesce("entity_id", F.lit("")).alias("entity_id"),
+    ).dropDuplicates(["url"])
+    sources = checkpoint(fetch_links(link_sources(valid, now), token, max_bytes))
+    ingest(store, sources.drop("fetch_url"), provider, now, settings, batch)
+    return sources.select("document_id", F.col("source_url").alias("url"), "title", "source_type"), refused
+
+
 def extract_knowledge(
     store: MemoryStore,
     chunks: DataFrame,

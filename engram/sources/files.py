@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.functions.text import file_type, google_doc_id, source_type, uuid3
 
@@ -57,32 +58,42 @@ def link_sources(links: DataFrame, now: Column, content: Column | None = None) -
     )
 
 
-def fetch_links(sources: DataFrame, token: str | None = None) -> DataFrame:
-    """Download the content of link sources inside the tasks; a failure leaves it null.
+# Seconds that a fetch of each kind may take.
+TIMEOUTS = {"web_page": 10, "pdf": 30, "google_docs": 15}
 
-    A shared document must answer with status 200; other pages are taken as they are.
-    """
 
-    def load(url: str, kind: str) -> bytes | None:
-        headers = {"User-Agent": "Mozilla/5.0 (compatible; engram)"}
-        if kind == "google_docs" and token:
-            headers["Authorization"] = f"Bearer {token}"
-        limits = {"web_page": 10, "pdf": 30, "google_docs": 15}
-        request = urllib.request.Request(url, headers=headers)
-        try:
-            with urllib.request.urlopen(request, timeout=limits.get(kind, 10)) as answer:
-                return answer.read()
-        except urllib.error.HTTPError as error:
-            return error.read() if kind == "web_page" else None
-        except OSError:
-            return None
+def fetch(url: str, kind: str, token: str | None = None, max_bytes: int | None = None) -> tuple[bytes | None, str | None]:
+    """The bytes behind an address, or why there are none.
+
+    A shared document must answer with status 200; a page of another status is taken as it is.
+    """
+    headers = {"User-Agent": "Mozilla/5.0 (compatible; engram)"}
+    if kind == "google_docs" and token:
+        headers["Authorization"] = f"Bearer {token}"
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=TIMEOUTS.get(kind, 10)) as answer:
+            content = answer.read() if max_bytes is None else answer.read(max_bytes + 1)
+    except urllib.error.HTTPError as error:
+        if kind != "web_page":
+            return None, f"status {error.code}"
+        content = error.read()
+    except (OSError, ValueError) as error:  # no such host or file, time-out, no address at all
+        return None, str(getattr(error, "reason", error)) or type(error).__name__
+    if max_bytes is not None and len(content) > max_bytes:
+        return None, f"larger than {max_bytes} bytes"
+    return content, None
+
+
+def fetch_links(sources: DataFrame, token: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Download the content of link sources inside the tasks; ``error`` says why content is null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows["content"] = [
-                c if c is not None else load(u, k)
+            found = [
+                (c, None) if c is not None else fetch(u, k, token, max_bytes)
                 for c, u, k in zip(rows["content"], rows["fetch_url"], rows["source_type"])
             ]
+            rows["content"], rows["error"] = [f[0] for f in found], [f[1] for f in found]
             yield rows
 
-    return sources.mapInPandas(run, sources.schema)
+    return sources.mapInPandas(run, T.StructType([*sources.schema.fields, T.StructField("error", T.StringType())]))

@@ -153,7 +153,7 @@ def test_ingest_files(spark, store, tmp_path):
     docs = {r.title: r for r in store.documents().collect()}
     assert {t: r.status for t, r in docs.items()} == {"a.md": "completed", "b.markdown": "failed", "c.pdf": "failed"}
     assert docs["a.md"].metadata["author"] == "Mia Berg"
-    assert docs["b.markdown"].error_message == "document generated 0 chunks"
+    assert docs["b.markdown"].error_message == "no text to cut into chunks"
     assert docs["c.pdf"].error_message
     chunks = store.read("chunks").collect()
     assert len(chunks) == 1 and chunks[0].metadata["title"] == "River Notes"
