@@ -8,12 +8,36 @@ from pyspark.sql import functions as F
 from engram.catalog.registry import query
 from engram.catalog.tables import table
 from engram.session import work_dir
+from engram.streaming.ledger import fact_ledger, status_machine
 from engram.streaming.sessions import session_log
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+def _finish(spark, stream: DataFrame, out: str, check: str, mode: str) -> None:
+    """Run a stateful stream over what there is; its micro-batches become folders of ``out``."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        run = (
+            stream.writeStream.foreachBatch(keep).outputMode(mode)
+            .option("checkpointLocation", check).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def _event_stream(spark, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 @query("stream_sessions", """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3
@@ -30,22 +54,61 @@ def stream_sessions(spark, sf_dir):
         F.col("text").alias("content"),
     )
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{work}/sessions/batch={batch_id}"
-        )
-
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
-        run = (
-            session_log(messages, 3).writeStream.foreachBatch(keep).outputMode("update")
-            .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
-        )
-        run.awaitTermination()
-    finally:
-        spark.conf.set(_PROVIDER, before)
+    _finish(spark, session_log(messages, 3), f"{work}/sessions", f"{work}/checkpoint", "update")
     written = spark.read.parquet(f"{work}/sessions").select("session_id", "seq", "role", "batch_id")
     # a session's newest batch is its current state
     newest = written.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
     return written.join(newest, ["session_id", "batch_id"]).select("session_id", "seq", "role")
+
+
+_EXPIRY = "(CASE WHEN stability = -1 THEN 1e18 ELSE epoch_us(ts) + ceil(stability * 24 * 3.6e9 * ln(10)) END)"
+
+
+@query("stream_fact_ledger", f"""
+WITH RECURSIVE f AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, user_id, event_type, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS val, ts,
+        CASE WHEN event_id % 50 = 0 THEN -1.0 ELSE CAST(1 + event_id % 15 AS DOUBLE) / 8 END AS stability FROM events),
+n AS (SELECT *, {_EXPIRY} AS expiry, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, id) AS k FROM f),
+walk AS (SELECT user_id, event_type, k, id, 'insert' AS action, NULL::VARCHAR AS closed_id, id AS held, val AS held_val, expiry AS until FROM n WHERE k = 1
+    UNION ALL SELECT n.user_id, n.event_type, n.k, n.id,
+        CASE WHEN until < epoch_us(n.ts) THEN 'insert' WHEN held_val = val THEN 'skip' ELSE 'supersede' END,
+        CASE WHEN until >= epoch_us(n.ts) AND held_val <> val THEN held END,
+        CASE WHEN until >= epoch_us(n.ts) AND held_val = val THEN held ELSE n.id END, val,
+        CASE WHEN until >= epoch_us(n.ts) AND held_val = val THEN until ELSE expiry END
+    FROM walk w JOIN n ON n.user_id = w.user_id AND n.event_type = w.event_type AND n.k = w.k + 1)
+SELECT CAST(user_id AS VARCHAR) AS entity_id, event_type AS attribute, id, action, closed_id FROM walk
+""")
+def stream_fact_ledger(spark, sf_dir):
+    """What each fact does to the open value of its entity and attribute, with forgetting, as keyed state."""
+    step = F.pmod(F.col("event_id"), F.lit(50))
+    facts = _event_stream(spark, sf_dir).select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("user_id").cast("string").alias("entity_id"),
+        F.col("event_type").alias("attribute"), F.floor(F.col("value") / 50).cast("string").alias("val"),
+        F.col("ts").cast("timestamp").alias("valid_from"),
+        F.when(step == 0, -1.0).otherwise((1 + F.pmod(F.col("event_id"), F.lit(15))).cast("double") / 8).alias("stability"),
+    )
+    work = work_dir(spark)
+    _finish(spark, fact_ledger(facts), f"{work}/ledger", f"{work}/checkpoint", "append")
+    return spark.read.parquet(f"{work}/ledger").where("action <> 'forget'").select("entity_id", "attribute", "id", "action", "closed_id")
+
+
+_BECOMES = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+
+
+@query("stream_status_machine", f"""
+WITH RECURSIVE n AS (SELECT user_id, event_id, ts, {_BECOMES} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+walk AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS status, NULL::VARCHAR AS action, NULL::VARCHAR AS held, NULL::VARCHAR AS next FROM n WHERE k = 1
+    UNION ALL SELECT n.user_id, n.k, n.event_id, n.status, CASE WHEN ok THEN 'accept' ELSE 'refuse' END, w.next, CASE WHEN ok THEN n.status ELSE w.next END
+    FROM walk w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1,
+    LATERAL (SELECT coalesce(w.next, '') || '>' || n.status IN ('>pending', 'pending>processing', 'pending>failed', 'processing>completed', 'processing>failed', 'failed>pending') AS ok))
+SELECT CAST(user_id AS VARCHAR) AS document_id, event_id, status, action, held FROM walk WHERE k > 0
+""")
+def stream_status_machine(spark, sf_dir):
+    """Which status changes each document accepts and which it refuses, as keyed state."""
+    log = _event_stream(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("document_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
+        F.expr(_BECOMES).alias("status"), F.lit("").alias("error_message"), F.col("ts").cast("timestamp").alias("updated_at"),
+    )
+    work = work_dir(spark)
+    # far longer than the events span, so that nothing is stuck
+    _finish(spark, status_machine(log, stuck_after=10**9), f"{work}/status", f"{work}/checkpoint", "append")
+    return spark.read.parquet(f"{work}/status").select("document_id", F.col("id").cast("long").alias("event_id"), "status", "action", "held")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from engram.models.provider import OfflineProvider
 from engram.sources.store import MemoryStore
-from engram.streaming import jobs
+from engram.streaming import jobs, ledger
 from engram.streaming.sessions import session_log
 from test_plans import ALICE
 
@@ -80,3 +80,68 @@ def test_landing_folder(spark, tmp_path):
     run(jobs.ingest_landing(store, str(folder), OfflineProvider(), str(tmp_path / "check"), once=True))
     assert [(r.title, r.status) for r in store.documents().collect()] == [("a.md", "completed")]
     assert store.facts().count() == 1
+
+
+def decided(spark, build, schema, batches, time, out):
+    """The rows that a stateful stream gives for batches that arrive one after the other."""
+    source = f"{out}/in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn(time, F.col(time).cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+
+        def keep(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        run(build(stream).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{out}/check")
+            .trigger(availableNow=True).start())
+    return spark.read.parquet(f"{out}/rows").drop("batch").collect()
+
+
+def test_fact_ledger_in_any_batch_split(spark, tmp_path):
+    schema = "id string, entity_id string, attribute string, val string, valid_from string, stability double"
+    day = "2024-01-{:02d} 00:00:00".format
+    rows = [
+        ("f1", "e", "city", "Oslo", day(1), 1.0), ("f2", "e", "city", "Oslo", day(2), 1.0),  # still remembered: skipped
+        ("f3", "e", "city", "Oslo", day(5), 1.0),  # forgotten after 2.3 days: inserted anew
+        ("f4", "e", "city", "Rome", day(6), -1.0), ("f5", "e", "city", "Bern", day(20), None), ("f6", "e", "city", None, day(21), 1.0),
+        ("g1", "e", "visited_places", "A", day(1), -1.0), ("g2", "e", "visited_places", "B", day(2), 1.0), ("g3", "e", "visited_places", "A", day(9), 1.0),
+        ("h1", "other", "city", "Oslo", day(3), 1.0),
+    ]
+    want = {"f1": ("insert", None), "f2": ("skip", None), "f3": ("insert", None), "f4": ("supersede", "f3"), "f5": ("supersede", "f4"),
+            "f6": ("supersede", "f5"), "g1": ("insert", None), "g2": ("coexist", None), "g3": ("skip", None), "h1": ("insert", None)}
+    ordered = sorted(rows, key=lambda r: r[4])
+    for name, batches in (("one", [rows]), ("three", [ordered[:3], ordered[3:7], ordered[7:]])):
+        found = decided(spark, lambda s: ledger.fact_ledger(s, "20 days"), schema, batches, "valid_from", str(tmp_path / name))
+        assert {r.id: (r.action, r.closed_id) for r in found if r.action != "forget"} == want
+        assert {"f1"} <= {r.id for r in found if r.action == "forget"}  # by the row that came later
+
+
+def test_fact_ledger_forgets_by_timer(spark, tmp_path):
+    schema = "id string, entity_id string, attribute string, val string, valid_from string, stability double"
+    first = [("a", "e", "city", "Oslo", "2024-01-01 00:00:00", 1.0), ("p", "e", "name", "Ann", "2024-01-01 00:00:00", -1.0)]
+    later = [("b", "x", "city", "Rome", "2024-02-01 00:00:00", 1.0)]
+    found = decided(spark, lambda s: ledger.fact_ledger(s, "1 hour"), schema, [first, later], "valid_from", str(tmp_path))
+    gone = [r for r in found if r.action == "forget"]
+    assert [(r.id, str(r.at)[:10]) for r in gone] == [("a", "2024-01-03")]
+
+
+def test_status_machine(spark, tmp_path):
+    schema = "document_id string, id string, status string, error_message string, updated_at string"
+    at = "2024-01-01 {:02d}:00:00".format
+    first = [("d", "1", "pending", "", at(1)), ("d", "2", "completed", "", at(2)), ("d", "3", "processing", "", at(3)), ("d", "4", "completed", "", at(4)),
+             ("d", "5", "failed", "", at(5)), ("s", "6", "pending", "", at(1)), ("s", "7", "processing", "", at(2)), ("n", "8", None, "", at(2))]
+    later = [("z", "9", "pending", "", "2024-01-03 00:00:00")]
+    found = decided(spark, lambda s: ledger.status_machine(s, 7200, "1 hour"), schema, [first, later], "updated_at", str(tmp_path))
+    verdicts = {r.id: (r.action, r.held) for r in found if r.id}
+    assert verdicts == {"1": ("accept", None), "2": ("refuse", "pending"), "3": ("accept", "pending"), "4": ("accept", "processing"),
+                        "5": ("refuse", "completed"), "6": ("accept", None), "7": ("accept", "pending"), "8": ("refuse", None), "9": ("accept", None)}
+    stuck = [r for r in found if r.action == "stuck"]
+    assert [(r.document_id, r.status, str(r.at)) for r in stuck] == [("s", "failed", "2024-01-01 04:00:00")]
+
+
+def test_status_machine_sees_what_was_stuck_before_a_late_row(spark, tmp_path):
+    schema = "document_id string, id string, status string, error_message string, updated_at string"
+    rows = [("d", "1", "pending", "", "2024-01-01 00:00:00"), ("d", "2", "processing", "", "2024-01-01 01:00:00"), ("d", "3", "completed", "", "2024-01-01 09:00:00")]
+    found = decided(spark, lambda s: ledger.status_machine(s, 7200), schema, [rows], "updated_at", str(tmp_path))
+    assert [(r.action, r.status, r.held) for r in sorted(found, key=lambda r: (r.at, r.action))] == [
+        ("accept", "pending", None), ("accept", "processing", "pending"), ("stuck", "failed", "processing"), ("refuse", "completed", "failed")]
