@@ -18,6 +18,8 @@ from engram.functions.text import blank_to_null
 from engram.operators import chat, documents, facts as facts_ops, graph, search
 from engram.operators.scope import with_valid_ids
 from engram.schemas import TABLES
+from engram.sources import buckets
+from engram.sources.buckets import FactBuckets
 from engram.sources.vector_index import VectorIndex
 from engram.session import checkpoint
 
@@ -54,12 +56,19 @@ class MemoryStore:
         versions = self._versions(table)
         return f"{self.root}/{table}/v={versions[-1] if versions else 0}"
 
-    def read(self, table: str) -> DataFrame:
-        """All rows of a table as written."""
-        schema = TABLES[table]
+    def _batches(self, table: str) -> dict[str, str]:
+        """Names and folders of the batches that count."""
         fs, path = self._fs(self._current(table))
-        batches = fs.listStatus(path) if fs.exists(path) else []
-        paths = [s.getPath().toString() for s in batches if self._counts(s.getPath().getName())]
+        found = fs.listStatus(path) if fs.exists(path) else []
+        return {
+            s.getPath().getName().removeprefix("batch="): s.getPath().toString()
+            for s in found if self._counts(s.getPath().getName())
+        }
+
+    def read(self, table: str, without: frozenset[str] = frozenset()) -> DataFrame:
+        """All rows of a table as written, but for the batches named in ``without``."""
+        schema = TABLES[table]
+        paths = [path for name, path in self._batches(table).items() if name not in without]
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(*paths)
@@ -99,20 +108,44 @@ class MemoryStore:
         """Facts with all effects and merges applied.
 
         ``ids`` (column entity_id) limits facts and effects to those entities
-        before anything else, so that a micro-batch touches its own rows only.
+        before anything else, so that a micro-batch touches its own rows only. Where facts were
+        compacted, only their buckets are read, and of the logs what is newer.
         """
-        rows, effects, merges = self.read("facts"), self.read("fact_effects"), self.merges()
+        base, merges = self.compacted(), self.merges()
+        folded = frozenset() if base is None else base.folded
+        rows = self.read("facts", frozenset(b for t, b in folded if t == "facts"))
+        effects = self.read("fact_effects", frozenset(b for t, b in folded if t == "fact_effects"))
         if ids is not None:
             wanted = ids.select("entity_id").distinct()
             absorbed = merges.join(wanted.withColumnRenamed("entity_id", "canonical_id"), "canonical_id", "left_semi")
             wanted = wanted.unionByName(absorbed.select(F.col("duplicate_id").alias("entity_id"))).distinct()
             rows = rows.join(wanted, "entity_id", "left_semi")
+            if base is not None:
+                rows = base.of(wanted).unionByName(rows)
             effects = effects.join(rows.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+        elif base is not None:
+            rows = base.rows().unionByName(rows)
         rows = facts_ops.apply_effects(rows, effects)
         if merges.isEmpty():
             return rows
         return graph.merge_facts(rows, merges)
 
+    def compact_facts(self, buckets: int = buckets.BUCKETS) -> None:
+        """Fold facts and their effects so far into a table bucketed by entity.
+
+        The logs stay, so that replays of a batch that was folded still see the memory before it.
+        """
+        folded = [(table, batch) for table in ("facts", "fact_effects") for batch in self._batches(table)]
+        rows = facts_ops.apply_effects(self.read("facts"), self.read("fact_effects"))
+        FactBuckets.write(self.spark, f"{self.root}/_buckets/facts", rows, folded, buckets)
+
+    def compacted(self) -> FactBuckets | None:
+        """The latest bucketed facts, unless they hold a batch that does not count here."""
+        found = FactBuckets.latest(self.spark, f"{self.root}/_buckets/facts")
+        if found is None or not all(self._counts(f"batch={batch}") for _, batch in found.folded):
+            return None
+        return found
+
     def merges(self) -> DataFrame:
         """Who was merged into whom by now: duplicate_id, canonical_id, at."""
         newest = F.max(F.struct("at", "canonical_id")).alias("m")
