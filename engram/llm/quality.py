@@ -124,13 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "id bigint")
     # only term rows of a fixed size come to the driver
-    found = own.join(F.broadcast(ids), "id", "left_semi").mapInArrow(_term_rows, "id bigint, terms binary").toArrow().sort_by("id")
-    rows, seen = [], []
-    for i, packed in zip(found.column("id").to_pylist(), found.column("terms").to_pylist()):
-        if not seen or seen[-1] != i:  # of repeated ids one
-            rows.append(np.frombuffer(packed, np.float16))
-            seen.append(i)
-    return fit(np.array(rows, np.float32).reshape(len(rows), _TERMS), [chosen[i] for i in seen])
+    found = own.join(F.broadcast(ids), "id", "left_semi").mapInArrow(_term_rows, "id bigint, terms binary").toArrow()
+    seen, first = np.unique(found.column("id").to_numpy(), return_index=True)  # of repeated ids one
+    packed, rows = found.column("terms"), np.empty((len(seen), _TERMS), np.float32)
+    for i, at in enumerate(first.tolist()):
+        rows[i] = np.frombuffer(packed[at].as_buffer(), np.float16)
+    del found, packed
+    return fit(rows, [chosen[i] for i in seen.tolist()])
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
