@@ -2,7 +2,7 @@
 
 A key is hot when it has more rows than ``HOT_ROWS``. Hot keys are found with a
 mergeable heavy-hitter sketch, so no key-by-key count is shuffled, and at most
-``MAX_HOT_KEYS`` of them come out: that list is the one thing broadcast here.
+``MAX_HOT_KEYS`` of them come out: that list and at most ``MAX_CUTS`` cuts are broadcast here.
 A key the sketch misses is still joined rightly, only unsalted.
 """
 
@@ -10,14 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engram.session import checkpoint
+
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 1000
 TRACKED_KEYS = 16384
 SKETCH_GROUPS = 128
+MAX_CUTS = (1 << 17) - 1
+SAMPLED = 8
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -72,6 +76,16 @@ def join_back(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def _place(position: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts are not above a position, by halving."""
+    jumps = F.array(*[F.lit(1 << bit) for bit in reversed(range(MAX_CUTS.bit_length()))])
+
+    def step(at: Column, jump: Column) -> Column:
+        return F.when(F.get(cuts, at + jump - 1) <= position, at + jump).otherwise(at)
+
+    return F.aggregate(jumps, F.lit(0), step)
+
+
 def sliced(
     rows: DataFrame,
     keys: Sequence[str],
@@ -81,17 +95,33 @@ def sliced(
 ) -> DataFrame:
     """Cut hot keys into consecutive runs of rows, numbered in ``_slice``.
 
-    Without a hot key the rows come back as they are. Otherwise they are
-    range-partitioned on key and order, so that a hot key spreads over many
-    slices of bounded size.
+    Without a hot key the rows come back as they are. Otherwise each hot key gets cuts from a sample
+    of its positions taken by their hash, about one per ``hot_rows`` rows (``slices``: at least so many
+    a key). The slice follows from a row's own position and the stored cuts, wherever and however often
+    it is computed. Beyond ``MAX_CUTS`` cuts in all, which are broadcast, slices grow instead.
     """
-    hot = hot_keys(rows, keys, hot_rows).agg(F.sum("_ways")).first()[0]
-    if hot is None:
+    hot = checkpoint(hot_keys(rows, keys, hot_rows))
+    ways = hot.agg(F.sum(F.greatest("_ways", F.lit(slices or 1)))).first()[0]
+    if ways is None:
         return rows
-    spark = rows.sparkSession
-    wanted = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * hot)
-    return rows.repartitionByRange(wanted, *keys, *order).withColumn(
-        "_slice", F.spark_partition_id()
+    position = F.struct(*order)
+    wanted = F.greatest("_ways", F.lit(slices or 1)) / F.lit(max(ways / MAX_CUTS, 1.0))
+    share = F.lit(float(SAMPLED)) * wanted / (F.col("_ways") * F.lit(hot_rows))
+    sampled = (
+        rows.withColumn("_hot", F.xxhash64(*keys))
+        .join(F.broadcast(hot), "_hot")
+        .filter(F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
+    )
+    # bounded: SAMPLED positions per cut
+    cuts = checkpoint(
+        sampled.groupBy("_hot").agg(F.sort_array(F.collect_set(position)).alias("_cuts"))
+        .withColumn("_cuts", F.filter("_cuts", lambda _, i: i % SAMPLED == SAMPLED - 1))
+    )
+    return (
+        rows.withColumn("_hot", F.xxhash64(*keys))
+        .join(F.broadcast(cuts), "_hot", "left")
+        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(_place(position, F.col("_cuts"))))
+        .drop("_hot", "_cuts")
     )
 
 

@@ -19,6 +19,7 @@ from engram.operators import resolution as R
 from engram.operators import search as S
 from engram.operators.graph import expand_hops, merge_entities
 from engram.operators.reflection import reflection_facts
+from engram.operators.components import connected_components
 from engram.operators.skew import hot_keys, join_back, joined_lines, ordered_shift, sliced
 from engram.schemas import NIL_UUID
 
@@ -60,6 +61,18 @@ def test_ordered_shift_over_slices(spark, ahead):
     )
 
 
+def test_slices_follow_from_the_row(spark):
+    """A task that runs again over rows dealt otherwise gives each row its slice again."""
+    rows = skewed(spark).withColumn("t", F.when(F.col("i") % 7 > 0, F.col("i") % 3))
+    cuts = [
+        {(r.k, r.i): r._slice for r in sliced(rows.repartition(n), ["k"], ["t", "i"], hot_rows=500, slices=16).collect()}
+        for n in (3, 11)
+    ]
+    assert cuts[0] == cuts[1] and len(cuts[0]) == rows.count()
+    hot = sorted(((r.t is not None, r.t or 0, r.i), cuts[0][r.k, r.i]) for r in rows.filter("k = 'hot'").collect())
+    assert [s for _, s in hot] == sorted(s for _, s in hot)
+
+
 def test_joined_lines(spark):
     rows = spark.range(1200).select(
         F.when(F.col("id") < 1100, "hot").otherwise("cold").alias("k"), F.col("id").alias("i"),
@@ -247,14 +260,45 @@ def model_lpa(named, edges, sweeps=5):
     return labels
 
 
-@pytest.mark.parametrize("seed,hot_rows", [(1, 10**9), (2, 10**9), (3, 5)])
-def test_sequential_label_propagation(spark, seed, hot_rows):
+@pytest.mark.parametrize("seed,hot_rows,whole", [
+    (1, 10**9, C.WHOLE_LINKS), (2, 10**9, 5), (3, 5, 5), (3, 5, C.WHOLE_LINKS)])
+def test_sequential_label_propagation(spark, seed, hot_rows, whole):
     _, named, edges = random_graph(seed, n=24, m=30 + 4 * seed)
     nodes = spark.createDataFrame([(n,) for n in named], "id string")
-    got = C.label_propagation(nodes, relation_frame(spark, edges), hot_rows=hot_rows)
+    got = C.label_propagation(nodes, relation_frame(spark, edges), hot_rows=hot_rows, whole=whole)
     assert {r.id: r.label for r in got.collect()} == model_lpa(named, edges)
 
 
+def test_sequential_labels_of_a_long_path(spark):
+    named = [f"n{i:04d}" for i in range(400)]
+    edges = [(f"r{i:04d}", named[i], named[i + 1]) for i in range(len(named) - 1) if i % 150 != 149]
+    nodes = spark.createDataFrame([(n,) for n in named], "id string")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = C.label_propagation(nodes, relation_frame(spark, edges)).collect()
+    assert {r.id: r.label for r in got} == model_lpa(named, edges)
+    # one wave per node of the path would take several hundred
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 250
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 1500])
+def test_connected_components(spark, hot_rows):
+    rng = random.Random(hot_rows)
+    edges = [(i, i + 1) for i in range(0, 300) if i % 70] + [(1000, 1001 + i) for i in range(2000)]
+    edges += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5, 5), (7, None), (8, 7), (8, 7)]
+    least = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    while True:
+        old = dict(least)
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+        if old == least:
+            break
+    frame = spark.createDataFrame(edges, "x long, y long")
+    got = connected_components(frame, "x", "y", hot_rows)
+    assert {(r.id, r.component) for r in got.collect()} == set(least.items()) and got.count() == len(least)
+    assert connected_components(frame.limit(0), "x", "y").count() == 0
+
+
 def test_sync_label_propagation(spark):
     ids, named, edges = random_graph(7)
     adjacent = {}
