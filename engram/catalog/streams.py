@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.catalog.registry import query
 from engram.catalog.tables import table
 from engram.session import work_dir
+from engram.streaming.answers import answer_cache, held_answers
 from engram.streaming.ledger import fact_ledger, status_machine
 from engram.streaming.sessions import session_log
 
@@ -112,3 +113,20 @@ def stream_status_machine(spark, sf_dir):
     # far longer than the events span, so that nothing is stuck
     _finish(spark, status_machine(log, stuck_after=10**9), f"{work}/status", f"{work}/checkpoint", "append")
     return spark.read.parquet(f"{work}/status").select("document_id", F.col("id").cast("long").alias("event_id"), "status", "action", "held")
+
+
+@query("stream_cache", """
+WITH cleared AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'signup') AS at FROM events GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS owner, event_id AS seq, event_type AS response FROM (
+  SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY event_id DESC) AS rn
+  FROM events e JOIN cleared c USING (user_id) WHERE event_type <> 'signup' AND event_id > coalesce(at, -1)) WHERE rn <= 30
+""")
+def stream_cache(spark, sf_dir):
+    """The newest 30 answers of each owner since its last invalidation, kept as streaming state."""
+    events = _event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), (F.col("event_type") == "signup").alias("clear"),
+        F.col("event_type").alias("response"), F.array(F.col("value")).alias("embedding"),
+    )
+    work = work_dir(spark)
+    _finish(spark, answer_cache(events, 30), f"{work}/cache", f"{work}/checkpoint", "append")
+    return held_answers(spark.read.parquet(f"{work}/cache")).select("owner", "seq", "response")

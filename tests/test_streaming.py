@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from engram.models.provider import OfflineProvider
 from engram.sources.store import MemoryStore
-from engram.streaming import jobs, ledger
+from engram.streaming import answers, jobs, ledger
 from engram.streaming.sessions import session_log
 from test_plans import ALICE
 
@@ -145,3 +145,35 @@ def test_status_machine_sees_what_was_stuck_before_a_late_row(spark, tmp_path):
     found = decided(spark, lambda s: ledger.status_machine(s, 7200), schema, [rows], "updated_at", str(tmp_path))
     assert [(r.action, r.status, r.held) for r in sorted(found, key=lambda r: (r.at, r.action))] == [
         ("accept", "pending", None), ("accept", "processing", "pending"), ("stuck", "failed", "processing"), ("refuse", "completed", "failed")]
+
+
+def test_answer_cache_over_batches(spark, tmp_path):
+    """However the events are cut and ordered, the cache holds the newest since the last invalidation."""
+    rows = [("hot" if i % 3 else f"o{i % 4}", i, i in (40, 63), f"r{i}", [float(i)]) for i in range(100)]
+    rows += [(None, 5, False, "x", None), ("hot", None, False, "x", None), ("late", 7, None, None, None)]
+    cleared = {}
+    for owner, seq, clear, *_ in rows:
+        if clear:
+            cleared[owner] = max(seq, cleared.get(owner, -1))
+    want = {}
+    for owner, seq, clear, response, _ in rows:
+        if owner is not None and seq is not None and not clear and seq > cleared.get(owner, -1):
+            want.setdefault(owner, []).append((seq, response))
+    want = {(owner, *entry) for owner, held in want.items() for entry in sorted(held)[-8:]}
+
+    for name, cuts in (("one", [rows]), ("many", [rows[60:], rows[:60], rows[30:70]])):
+        source, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+
+        def keep(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+        for part in cuts:
+            spark.createDataFrame(part, answers.EVENTS).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(answers.EVENTS).parquet(source)
+            run(
+                answers.answer_cache(stream, 8).writeStream.foreachBatch(keep).outputMode("append")
+                .option("checkpointLocation", str(tmp_path / name / "check")).trigger(availableNow=True).start()
+            )
+        held = answers.held_answers(spark.read.parquet(out)).collect()
+        assert {(r.owner, r.seq, r.response) for r in held} == want and len(held) == len(want)
+        assert all(r.embedding == [r.seq] for r in held if r.owner != "late")
