@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -18,6 +20,10 @@ from engram.models import offline
 from engram.models.prompts import CONFLICT_PROMPT, FACTS_PROMPT, RELATIONS_PROMPT
 
 
+log = logging.getLogger(__name__)
+TRIES = 3
+WAIT_SECONDS = 0.5
+
 class Provider(Protocol):
     """What the plans ask of a model. Replies that stand for data are JSON text."""
 
@@ -109,10 +115,10 @@ class HttpProvider:
                 out: list[list[float] | None] = []
                 for start in range(0, len(texts), size):
                     part = texts.iloc[start:start + size].tolist()
-                    try:
-                        out.extend(call(part))
-                    except OSError:  # callers go on without a vector
-                        out.extend([None] * len(part))
+                    found = _tried(call, part)
+                    # callers go on without a vector, also where a reply has too few
+                    whole = isinstance(found, list) and len(found) == len(part)
+                    out.extend(found if whole else [None] * len(part))
                 yield pd.Series(out)
 
         return vectors(text)
@@ -133,14 +139,30 @@ class HttpProvider:
         ))
 
 
+def _tried(call: Callable, given, tries: int = TRIES, wait: float = WAIT_SECONDS):
+    """The call's result, or nothing; the reason of a failure goes to the executor's log.
+
+    A transport failure is tried again after a wait that doubles; a reply that is no JSON or lacks a
+    field is not.
+    """
+    for turn in range(tries):
+        try:
+            return call(given)
+        except OSError as reason:
+            log.warning("model call %d of %d failed: %s", turn + 1, tries, reason)
+            if turn + 1 < tries:
+                time.sleep(wait * 2 ** turn)
+        except (ValueError, LookupError, TypeError, AttributeError) as reason:
+            log.warning("model reply refused: %r", reason)
+            return None
+    return None
+
+
 def _text_call(call: Callable[[str], str]):
     """A model call per text; a failed one gives null, and the task goes on."""
 
     def answer(prompt: str | None) -> str | None:
-        try:
-            return call(prompt) if prompt is not None else None
-        except OSError:
-            return None
+        return _tried(call, prompt) if prompt is not None else None
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from engram.config import DEFAULTS, Settings
@@ -19,18 +19,34 @@ from engram.session import checkpoint
 from engram.sources.store import MemoryStore
 
 
-def resolve(store: MemoryStore, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
+def _counted(rows: DataFrame, counts: Observation | None, name: str) -> DataFrame:
+    """The rows stored, and counted while they are."""
+    return checkpoint(rows if counts is None else rows.observe(counts, F.count(F.lit(1)).alias(name)))
+
+
+def upkeep(store: MemoryStore, provider: Provider, now: Column, settings: Settings = DEFAULTS) -> dict[str, int]:
+    """Resolution, communities and reflection in turn; how many merges, communities and insights came of it."""
+    made = [Observation() for _ in range(3)]
+    resolve(store, now, settings, made[0])
+    summarise_communities(store, provider, now, settings, counts=made[1])
+    reflect(store, provider, now, settings, counts=made[2])
+    return {name: count for seen in made for name, count in seen.get.items()}
+
+
+def resolve(
+    store: MemoryStore, now: Column, settings: Settings = DEFAULTS, counts: Observation | None = None
+) -> DataFrame:
     """Merge entities that denote the same thing; returns the merges made."""
-    merges = checkpoint(
-        resolve_entities(entity_nodes(store.facts()), settings.resolution_threshold)
-    )
+    found = resolve_entities(entity_nodes(store.facts()), settings.resolution_threshold)
+    merges = _counted(found, counts, "merges")
     if not merges.isEmpty():
         store.merge(merges, now)
     return merges
 
 
 def summarise_communities(
-    store: MemoryStore, provider: Provider, now: Column, settings: Settings = DEFAULTS, sequential: bool = True
+    store: MemoryStore, provider: Provider, now: Column, settings: Settings = DEFAULTS, sequential: bool = True,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Find communities and write a summary for each; replaces the earlier ones."""
     facts = checkpoint(store.facts())
@@ -47,12 +63,13 @@ def summarise_communities(
         .withColumn("summary", trim_space(provider.answer(prompt)))
         .filter(F.coalesce("summary", F.lit("")) != "")
     )
-    rows = checkpoint(
+    rows = _counted(
         told.join(C.community_names(labels, names), "community_id").join(sizes, "community_id").select(
             F.col("community_id").alias("id"),
             F.col("community_name").alias("name"), "summary", F.col("size").alias("members"),
             now.alias("created_at"), provider.embed(F.col("summary")).alias("embedding"),
-        )
+        ),
+        counts, "communities",
     )
     members = labels.join(sizes.select(F.col("community_id").alias("label")), "label", "left_semi").select(
         F.col("label").alias("community_id"), F.col("id").alias("entity_id")
@@ -62,7 +79,8 @@ def summarise_communities(
 
 
 def reflect(
-    store: MemoryStore, provider: Provider, now: Column, settings: Settings = DEFAULTS, batch: str | None = None
+    store: MemoryStore, provider: Provider, now: Column, settings: Settings = DEFAULTS, batch: str | None = None,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Deduce new facts from what each owner knows about each entity; returns them."""
     facts = checkpoint(store.facts())
@@ -97,12 +115,13 @@ def reflect(
             key, "left_anti",
         )
     )
-    rows = checkpoint(
+    rows = _counted(
         fresh.withColumn("id", uuid3(F.concat_ws("#", *key)))
         .withColumn("valid_from", now)
         .withColumn("source_agent", F.lit("reflection_engine"))
         .withColumn("stability", F.lit(settings.reflection_stability_days))
-        .withColumn("embedding", provider.embed(fact_text(F.col("attribute"), F.col("val"))))
+        .withColumn("embedding", provider.embed(fact_text(F.col("attribute"), F.col("val")))),
+        counts, "insights",
     )
     store.insert_facts(rows, now, batch=batch)
     return rows

@@ -3,9 +3,10 @@
 import uuid
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from engram.models.provider import OfflineProvider, HttpProvider, provider_for
+from engram.models.provider import HttpProvider, OfflineProvider, provider_for
 from engram.config import Settings
 from engram.plans import chat as chat_plan
 from engram.plans import consolidate as consolidate_plan
@@ -188,7 +189,9 @@ def test_resolve_summarise_reflect(spark, store):
         [(new_id("r1"), new_id("p1"), new_id("p3"), "KNOWS"), (new_id("r2"), new_id("p2"), new_id("p4"), "KNOWS")],
         "id string, source_id string, target_id string, rel_type string",
     ), at(NOW))
-    merges = maintain.resolve(store, at(NOW)).collect()
+    counts = Observation()
+    merges = maintain.resolve(store, at(NOW), counts=counts).collect()
+    assert counts.get == {"merges": len(merges)}
     low, high = sorted([new_id("p1"), new_id("p2")])
     assert [(m.duplicate_id, m.canonical_id) for m in merges] == [(high, low)]
     assert high not in {r.entity_id for r in store.facts().collect()}
@@ -204,6 +207,8 @@ def test_resolve_summarise_reflect(spark, store):
     made = maintain.reflect(store, provider, at(NOW)).collect()
     assert {(r.attribute, r.val) for r in made} == {("mood", "good")}
     assert maintain.reflect(store, provider, at(NOW)).count() == 0
+    # nothing is left to merge or to deduce
+    assert maintain.upkeep(store, provider, at(NOW)) == {"merges": 0, "communities": 1, "insights": 0}
 
 
 def test_register_relations_owner_and_stability(spark, store):
@@ -282,3 +287,16 @@ def test_history_ends_before_each_interaction(spark):
         times[4]: f"{head}user: more\nassistant: b\n{tail}user: yes"}
     alone = consolidate_plan.extraction_texts(asked.limit(2), messages, 3).collect()
     assert {str(r.timestamp): r.text for r in alone} == {t: text[t] for t in (times[0], times[2])}
+
+
+def test_failed_model_calls_are_null(spark, tmp_path):
+    """A reply without its fields, no JSON, or no reply at all: the row goes on without a value."""
+    for name, reply in (("good", '{"data": [{"index": 0, "embedding": [1.0, 2.0]}]}'), ("short", '{"data": []}'),
+                        ("odd", '{"error": "quota"}'), ("broken", "<html>"), ("none", None)):
+        folder = tmp_path / name
+        folder.mkdir()
+        if reply is not None:
+            (folder / "embeddings").write_text(reply)
+        model = HttpProvider("openai", "k", "g", "e", base_url=folder.as_uri())
+        rows = spark.createDataFrame([("text",)], "t string").select(model.embed(F.col("t")).alias("v"), model.answer(F.col("t")).alias("a"))
+        assert rows.first() == ([1.0, 2.0] if name == "good" else None, None)
