@@ -116,10 +116,10 @@ def stream_status_machine(spark, sf_dir):
 
 
 @query("stream_cache", """
-WITH cleared AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'signup') AS at FROM events GROUP BY user_id)
+WITH cleared AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'signup') AS last_clear FROM events GROUP BY user_id)
 SELECT CAST(user_id AS VARCHAR) AS owner, event_id AS seq, event_type AS response FROM (
   SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY event_id DESC) AS rn
-  FROM events e JOIN cleared c USING (user_id) WHERE event_type <> 'signup' AND event_id > coalesce(at, -1)) WHERE rn <= 30
+  FROM events e JOIN cleared c USING (user_id) WHERE event_type <> 'signup' AND event_id > coalesce(last_clear, -1)) WHERE rn <= 30
 """)
 def stream_cache(spark, sf_dir):
     """The newest 30 answers of each owner since its last invalidation, kept as streaming state."""
