@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.catalog.registry import query
 from engram.catalog.tables import table
@@ -16,8 +17,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _finish(spark, stream: DataFrame, out: str, check: str, mode: str) -> None:
-    """Run a stateful stream over what there is; its micro-batches become folders of ``out``."""
+def _finish(spark, stream: DataFrame, out: str, check: str, mode: str) -> DataFrame:
+    """Run a stateful stream over what there is; the rows of its micro-batches, which are folders of ``out``."""
+    written = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
+    spark.createDataFrame([], written).write.parquet(f"{out}/batch=-1")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -32,11 +35,16 @@ def _finish(spark, stream: DataFrame, out: str, check: str, mode: str) -> None:
         run.awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, before)
+    return spark.read.schema(written).parquet(out)
 
 
-def _event_stream(spark, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def _stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table, be it one file or a folder of them, as a stream."""
+    rows, file = table(spark, sf_dir, name), f"{name}.parquet"
+    stream = spark.readStream.schema(rows.schema)
+    if any(read.endswith(f"/{file}") for read in rows.inputFiles()):
+        return stream.option("pathGlobFilter", file).parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/{file}")
 
 
 @query("stream_sessions", """
@@ -46,17 +54,13 @@ SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role FROM (
 def stream_sessions(spark, sf_dir):
     """The last three messages of each session, kept as streaming state."""
     work = work_dir(spark)
-    source = table(spark, sf_dir, "conversations")
-    stream = (
-        spark.readStream.schema(source.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    )
-    messages = stream.select(
+    messages = _stream(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role",
         F.col("text").alias("content"),
     )
 
-    _finish(spark, session_log(messages, 3), f"{work}/sessions", f"{work}/checkpoint", "update")
-    written = spark.read.parquet(f"{work}/sessions").select("session_id", "seq", "role", "batch_id")
+    written = _finish(spark, session_log(messages, 3), f"{work}/sessions", f"{work}/checkpoint", "update")
+    written = written.select("session_id", "seq", "role", "batch_id")
     # a session's newest batch is its current state
     newest = written.groupBy("session_id").agg(F.max("batch_id").alias("batch_id"))
     return written.join(newest, ["session_id", "batch_id"]).select("session_id", "seq", "role")
@@ -81,15 +85,15 @@ SELECT CAST(user_id AS VARCHAR) AS entity_id, event_type AS attribute, id, actio
 def stream_fact_ledger(spark, sf_dir):
     """What each fact does to the open value of its entity and attribute, with forgetting, as keyed state."""
     step = F.pmod(F.col("event_id"), F.lit(50))
-    facts = _event_stream(spark, sf_dir).select(
+    facts = _stream(spark, sf_dir, "events").select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("user_id").cast("string").alias("entity_id"),
         F.col("event_type").alias("attribute"), F.floor(F.col("value") / 50).cast("string").alias("val"),
         F.col("ts").cast("timestamp").alias("valid_from"),
         F.when(step == 0, -1.0).otherwise((1 + F.pmod(F.col("event_id"), F.lit(15))).cast("double") / 8).alias("stability"),
     )
     work = work_dir(spark)
-    _finish(spark, fact_ledger(facts), f"{work}/ledger", f"{work}/checkpoint", "append")
-    return spark.read.parquet(f"{work}/ledger").where("action <> 'forget'").select("entity_id", "attribute", "id", "action", "closed_id")
+    done = _finish(spark, fact_ledger(facts), f"{work}/ledger", f"{work}/checkpoint", "append")
+    return done.where("action <> 'forget'").select("entity_id", "attribute", "id", "action", "closed_id")
 
 
 _BECOMES = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
@@ -105,14 +109,14 @@ SELECT CAST(user_id AS VARCHAR) AS document_id, event_id, status, action, held F
 """)
 def stream_status_machine(spark, sf_dir):
     """Which status changes each document accepts and which it refuses, as keyed state."""
-    log = _event_stream(spark, sf_dir).select(
+    log = _stream(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("document_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
         F.expr(_BECOMES).alias("status"), F.lit("").alias("error_message"), F.col("ts").cast("timestamp").alias("updated_at"),
     )
     work = work_dir(spark)
     # far longer than the events span, so that nothing is stuck
-    _finish(spark, status_machine(log, stuck_after=10**9), f"{work}/status", f"{work}/checkpoint", "append")
-    return spark.read.parquet(f"{work}/status").select("document_id", F.col("id").cast("long").alias("event_id"), "status", "action", "held")
+    done = _finish(spark, status_machine(log, stuck_after=10**9), f"{work}/status", f"{work}/checkpoint", "append")
+    return done.select("document_id", F.col("id").cast("long").alias("event_id"), "status", "action", "held")
 
 
 @query("stream_cache", """
@@ -123,10 +127,10 @@ SELECT CAST(user_id AS VARCHAR) AS owner, event_id AS seq, event_type AS respons
 """)
 def stream_cache(spark, sf_dir):
     """The newest 30 answers of each owner since its last invalidation, kept as streaming state."""
-    events = _event_stream(spark, sf_dir).select(
+    events = _stream(spark, sf_dir, "events").select(
         F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), (F.col("event_type") == "signup").alias("clear"),
         F.col("event_type").alias("response"), F.array(F.col("value")).alias("embedding"),
     )
     work = work_dir(spark)
-    _finish(spark, answer_cache(events, 30), f"{work}/cache", f"{work}/checkpoint", "append")
-    return held_answers(spark.read.parquet(f"{work}/cache")).select("owner", "seq", "response")
+    done = _finish(spark, answer_cache(events, 30), f"{work}/cache", f"{work}/checkpoint", "append")
+    return held_answers(done).select("owner", "seq", "response")

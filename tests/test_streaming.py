@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from engram.catalog import streams
 from engram.models.provider import OfflineProvider
 from engram.sources.store import MemoryStore
 from engram.streaming import answers, jobs, ledger
@@ -177,3 +178,16 @@ def test_answer_cache_over_batches(spark, tmp_path):
         held = answers.held_answers(spark.read.parquet(out)).collect()
         assert {(r.owner, r.seq, r.response) for r in held} == want and len(held) == len(want)
         assert all(r.embedding == [r.seq] for r in held if r.owner != "late")
+
+
+def test_streams_read_a_table_kept_as_a_folder(spark, sf_dir, tmp_path):
+    queries = [streams.stream_sessions, streams.stream_cache, streams.stream_status_machine]
+    for name in ("conversations", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for read in queries:
+        assert sorted(read(spark, str(tmp_path)).collect()) == sorted(read(spark, sf_dir).collect())
+
+
+def test_a_stream_of_an_empty_table_gives_no_rows(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(0).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert streams.stream_sessions(spark, str(tmp_path)).collect() == []
