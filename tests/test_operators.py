@@ -485,3 +485,25 @@ def test_equal_blank_names_merge(spark):
         [("n1", "  ", [1.0, 0.1]), ("n2", " ", [1.0, 0.12]), ("n3", "abc", [1.0, 0.1])], "entity_id string, name string, embedding array<float>")
     rows = R.resolve_entities(nodes, 0.93).collect()
     assert [(r.duplicate_id, r.canonical_id) for r in rows] == [("n2", "n1")]
+
+
+def test_top_k_per_query_compares_equal_vectors_once(spark, monkeypatch):
+    from engram.operators import search
+
+    compared, scan = [], search.nearest_in_partition
+    monkeypatch.setattr(search, "nearest_in_partition", lambda held, k: compared.append(len(held.value)) or scan(held, k))
+    # 2 * v and v score alike, so their rows are ranked together by id
+    rows = [(f"{i:03d}", [[1.0, 0.0], [2.0, 0.0], [1.0, 1.0], [0.0, 1.0]][i % 4]) for i in range(80)] + [("n", None), ("e", [])]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>")
+    queries = spark.createDataFrame([(q, [3.0, 0.5] if q % 2 else [0.0, 1.0]) for q in range(30)], "query_id long, embedding array<float>")
+    found = search.top_k_per_query(vectors, queries, 50).collect()
+    assert compared == [2]
+    want = {}
+    for q in range(2):
+        x, y = (3.0, 0.5) if q else (0.0, 1.0)
+        score = {i: (x * v[0] + y * v[1]) / (x * x + y * y) ** 0.5 / (v[0] ** 2 + v[1] ** 2) ** 0.5 for i, v in rows if v}
+        want[q] = [i for i in sorted(score, key=lambda i: (-round(score[i], 9), i))[:50]]
+    got = {}
+    for r in sorted(found, key=lambda r: r.rn):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {str(q): want[q % 2] for q in range(30)}
