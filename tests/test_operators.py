@@ -507,3 +507,28 @@ def test_top_k_per_query_compares_equal_vectors_once(spark, monkeypatch):
     for r in sorted(found, key=lambda r: r.rn):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {str(q): want[q % 2] for q in range(30)}
+
+
+def test_community_contexts_of_many_pieces(spark):
+    """Pieces cut anywhere give the text of all lines in order."""
+    import random
+
+    rows = [(c, s, f"{i:05d}", k, f"{c}{s}{i}{k}") for c in ("a", "b") for s in (1, 2, 3) for i in range(50) for k in ("1", "2")]
+    rows += [("a", 2, "00000", "3", None), ("z", 2, "0", "", None)]
+    random.Random(1).shuffle(rows)
+    lines = spark.createDataFrame(rows, "community_id string, section int, k1 string, k2 string, line string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        plan = C.community_contexts(lines)
+        found = dict(plan.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def text(c):
+        one, two, three = ([r[4] for r in sorted(r for r in rows if r[0] == c and r[1] == s and r[4])] for s in (1, 2, 3))
+        return "Members: " + ", ".join(one) + "\n\nFacts:\n" + "\n".join(two) + "\n\nRelations:\n" + "\n".join(three)
+
+    assert found == {c: text(c) for c in "abz"}
+    # no aggregate holds the lines of a community
+    assert "collect_list" not in plan._jdf.queryExecution().executedPlan().toString()
