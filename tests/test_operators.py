@@ -532,3 +532,23 @@ def test_community_contexts_of_many_pieces(spark):
     assert found == {c: text(c) for c in "abz"}
     # no aggregate holds the lines of a community
     assert "collect_list" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_synchronous_labels_travel_as_numbers_and_tie_by_id(spark, monkeypatch):
+    seen, sketch = [], C.hot_keys
+    monkeypatch.setattr(C, "hot_keys", lambda rows, *a: seen.append(dict(rows.dtypes)) or sketch(rows, *a))
+    ids = [f"{i}-n" for i in range(30)]
+    ends = [(ids[i], ids[j]) for i in range(27) for j in range(27) if i != j and (i * j + i + j) % 5 == 0]
+    relations = spark.createDataFrame([(*e, None) for e in [*ends, ("10-n", "gone"), ("3-n", "3-n")]], "source_id string, target_id string, valid_until timestamp")
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    found = dict(C.label_propagation_sync(nodes, relations, 3).collect())
+    assert seen == [{"node": "bigint", "id": "bigint", "weight": "bigint"}]
+    want = {i: i for i in ids}
+    for _ in range(3):
+        votes = {}
+        for s, t in ends:
+            for node, nbr in ((s, t), (t, s)):
+                tally = votes.setdefault(node, {})
+                tally[want[nbr]] = tally.get(want[nbr], 0) + 1
+        want |= {node: min((-n, label) for label, n in tally.items())[1] for node, tally in votes.items()}
+    assert found == want
