@@ -552,3 +552,12 @@ def test_synchronous_labels_travel_as_numbers_and_tie_by_id(spark, monkeypatch):
                 tally[want[nbr]] = tally.get(want[nbr], 0) + 1
         want |= {node: min((-n, label) for label, n in tally.items())[1] for node, tally in votes.items()}
     assert found == want
+
+
+def test_nodes_of_label_propagation_are_not_broadcast(spark):
+    nodes, relations = spark.range(9).selectExpr("string(id) AS id"), relation_frame(spark, [("e", "1", "2")])
+    plan = C._visits(nodes, relations)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # hot keys are few and may be broadcast
+    plan = C.label_propagation_sync(nodes, relations, 1)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_hot#" not in line] == []
