@@ -1,33 +1,26 @@
-"""Byte-level BPE in Spark's higher-order functions: encoding by ranked merges, decoding by pieces.
-
-A word under merging is a string with one character per token: character ``BASE + id``; beside it
-stands a string with one character per pair, the token into which the pair merges. The ranks of all
-mergeable pairs are one literal, searched by hash and bound once per row. Folding over a word repeats
-the step *merge the pair of lowest rank, leftmost first* until no pair has a rank. Where that rank
-occurs several times and merging one place can't make a lower rank beside another, all places are
-merged at once, which is the same and keeps long runs of one character short.
-
-Each distinct word is folded once. The ``FREQUENT`` most frequent ones become a second literal of
-bounded size, looked up where they stand; the others of a text, in order, travel to the folded words
-and back by joins, so that texts and frequent words are never shuffled.
+"""Byte-level BPE: texts are cut into words by Spark, words become tokens by ranked merges, tokens bytes.
+
+Merging repeats the step *join the pair of lowest rank, leftmost first* until no pair has a rank. The
+different words of a batch are merged once each and their ids dealt to the places where they stand; a
+task remembers words from batch to batch, so frequent ones are merged once per task. Texts and words
+are never shuffled, and nothing is written.
 """
 
 from __future__ import annotations
 
 import base64
-import zlib
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from engram.session import checkpoint
-
-#: First code point of the characters that stand for tokens.
-BASE = 0x10000
-#: Stands for *no rank* and, in tables, before a key and before a value; no token has these characters.
-_NONE, _KEY, _VALUE = "\U0010FFFD", "\U0010FFFE", "\U0010FFFF"
-#: Words whose ids are looked up, and the longest of them, in characters.
-FREQUENT, WORD_CHARS = 1 << 16, 32
+import heapq
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+#: Words that a task remembers, and the longest of them, in characters.
+FREQUENT, WORD_CHARS = 1 << 18, 32
+#: Bytes from which a word's pairs are kept in a heap; shorter ones are scanned.
+LONG = 256
+_NEVER = 1 << 62
 #: The classes of white space in the pattern, spelled out for Java's regular expressions.
 _SPACE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -67,94 +60,47 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _mark(token: int) -> str:
-    return chr(BASE + token)
-
-
-def _token(mark: Column) -> Column:
-    return F.ascii(mark) - F.lit(BASE)
-
-
-class Table:
-    """A literal map of strings, one binary cut into buckets of equal width, that is searched by hash."""
-
-    def __init__(self, entries: dict[str, str]):
-        self.size = 1 << max(4, (len(entries) // 4).bit_length())
-        buckets = [""] * self.size
-        for key, value in entries.items():
-            buckets[zlib.crc32(key.encode()) % self.size] += f"{_KEY}{key}{_VALUE}{value}"
-        encoded = [bucket.encode() + _KEY.encode() for bucket in buckets]
-        self.width = max(map(len, encoded))
-        self.literal = F.lit(b"".join(bucket.ljust(self.width) for bucket in encoded))
-
-    def at(self, bound: Column, key: Column) -> Column:
-        """The value of ``key`` in ``bound`` (this literal, bound by ``_let``), or null."""
-        bucket = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.size - 1)).cast("int")
-        rest = F.substr(bound, bucket * self.width + 1, F.lit(self.width)).cast("string")
-        found = F.split_part(rest, F.concat(F.lit(_KEY), key, F.lit(_VALUE)), F.lit(2))
-        return F.nullif(F.substring_index(found, _KEY, 1), F.lit(""))
-
-
-def merge_table(ranks: dict[bytes, int]) -> Table:
-    """Of every two tokens that together are a token: the mark of that token."""
-    pairs = {}
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                pairs[_mark(left) + _mark(right)] = _mark(rank)
-    return Table(pairs)
-
-
-def folded(word: Column, merges: Column, table: Table, single: Column) -> Column:
-    """The marks of the tokens of ``word`` (not empty), as a string.
-
-    ``merges`` is the bound literal of ``table``, ``single`` an array of the marks of the 256 bytes.
-    """
-    none = F.lit(_NONE)
-
-    def rank(pair: Column) -> Column:
-        return F.coalesce(table.at(merges, pair), none)
-
-    def ranks_of(marks: Column) -> Column:
-        """A character for each pair: the mark of what it merges into, or ``_NONE``, which is the largest."""
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(marks) - 1, F.lit(1))), lambda i: rank(F.substr(marks, i, F.lit(2)))), "")
-
-    def state(marks: Column, ranks: Column) -> Column:
-        return F.struct(marks.alias("marks"), ranks.alias("ranks"))
-
-    def one(marks: Column, ranks: Column, least: Column, at: Column) -> Column:
-        """Merge the pair at ``at`` (from 1); only the ranks beside it are new."""
-        def tail(s: Column) -> Column:
-            return F.substr(s, at + 2)
-
-        before = F.when(at > 1, rank(F.concat(F.substr(marks, at - 1, F.lit(1)), least))).otherwise("")
-        after = F.when(at < F.length(ranks), rank(F.concat(least, F.substr(marks, at + 2, F.lit(1))))).otherwise("")
-        return state(
-            F.concat(F.left(marks, at - 1), least, tail(marks)),
-            F.concat(F.left(ranks, at - 2), before, after, tail(ranks)),
-        )
-
-    def every(marks: Column, ranks: Column, least: Column, at: Column) -> Column:
-        """Merge all places of the leftmost pair, where that is the same as one after the other."""
-        pair, first = F.substr(marks, at, F.lit(2)), F.substr(marks, at, F.lit(1))
-        pairs = F.transform(F.split(ranks, ""), lambda r, i: F.when(r == least, F.substr(marks, i + 1, F.lit(2))))
-        same = F.size(F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))) == 1
-        return _let(F.replace(marks, pair, least), lambda new: _let(ranks_of(new), lambda now: F.when(
-            same & (rank(F.concat(least, first)) > least) & (F.array_min(F.split(now, "")) > least), state(new, now)
-        ).otherwise(one(marks, ranks, least, at))))
-
-    def step(acc: Column, _: Column) -> Column:
-        marks, ranks = acc["marks"], acc["ranks"]
-        return _let(F.array_min(F.split(ranks, "")), lambda least: F.when(least.isin(_NONE, ""), acc).otherwise(
-            _let(F.instr(ranks, least), lambda at: F.when(
-                F.instr(F.substr(ranks, at + 1), least) > 0, every(marks, ranks, least, at)
-            ).otherwise(one(marks, ranks, least, at)))))
-
-    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    marks = F.array_join(F.transform(F.split(latin, ""), lambda c: F.get(single, F.ascii(c))), "")
-    turns = F.when(F.octet_length(word) > 1, F.sequence(F.lit(2), F.octet_length(word))).otherwise(F.array().cast("array<int>"))
-    return _let(marks, lambda m: F.aggregate(turns, state(m, ranks_of(m)), step, lambda acc: acc["marks"]))
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The tokens of ``word``."""
+    if word in ranks:
+        return [ranks[word]]
+    cuts = _cuts_of_long(word, ranks) if len(word) >= LONG else _cuts(word, ranks)
+    return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
+def _cuts(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Where tokens begin, and the end; ``near`` has the rank of each two tokens side by side."""
+    cuts = list(range(len(word) + 1))
+    near = [ranks.get(word[i : i + 2], _NEVER) for i in range(len(word) - 1)]
+    while near and (least := min(near)) != _NEVER:
+        at = near.index(least)
+        del cuts[at + 1], near[at]
+        if at < len(near):
+            near[at] = ranks.get(word[cuts[at] : cuts[at + 2]], _NEVER)
+        if at:
+            near[at - 1] = ranks.get(word[cuts[at - 1] : cuts[at + 1]], _NEVER)
+    return cuts
+
+
+def _cuts_of_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs, for words of any length; a pair is past when its ends have moved."""
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, at, end = heapq.heappop(heap)
+        middle = after[at]
+        if not middle or middle == n or after[middle] != end:
+            continue
+        after[at], after[middle] = end, 0
+        if end < n:
+            before[end] = at
+            if (rank := ranks.get(word[at : after[end]])) is not None:
+                heapq.heappush(heap, (rank, at, after[end]))
+        if at and (rank := ranks.get(word[before[at] : end])) is not None:
+            heapq.heappush(heap, (rank, before[at], end))
+    return [*(i for i in range(n) if after[i]), n]
 
 
 def _split(text: Column, pattern: str) -> Column:
@@ -167,46 +113,37 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     ``pattern`` cuts a text into words (``\\s`` is Unicode's white space); each word is a token as a
     whole or is merged by ``ranks``. Special tokens do not exist. A null or empty text has no tokens.
     Rows keep their other columns, whatever their names, and repeats; an empty table gives none. Texts
-    are taken whole, and a word may have any length (the fold is quadratic in the merges of one word,
-    but a run of one repeated character takes few).
+    are taken whole, and a word may have any length.
     """
-    table = merge_table(ranks)
-    single = F.split(F.lit("".join(_mark(ranks[bytes([b])]) for b in range(256))), "")
-    whole = Table({word: _mark(rank) for piece, rank in ranks.items() if (word := _utf8(piece)) is not None})
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    # the outer forms, because of the inner ones an array is computed once more to see whether it has elements
-    words = rows.select(F.explode_outer(_split(F.col("text"), pattern)).alias("word")).where("word IS NOT NULL")
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    marks = _let(table.literal, lambda merges: _let(whole.literal, lambda known: _let(single, lambda bytes_: F.coalesce(
-        whole.at(known, F.col("word")), folded(F.col("word"), merges, table, bytes_)))))
-    encoded = checkpoint(counts.select("word", "n", marks.alias("marks")))
-    short = F.length("word") <= WORD_CHARS
-    clear = ~F.col("word").rlike(f"[{_KEY}{_VALUE}{_NONE}]")
-    top = encoded.where(short & clear).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    frequent = Table({r.word: r.marks for r in top.collect()})
-    found = _let(frequent.literal, lambda known: F.transform(
-        _split(F.col("text"), pattern), lambda w: F.struct(w.alias("word"), frequent.at(known, w).alias("marks"))))
-    key = F.unhex(F.md5("text"))
-    others = F.transform(F.filter(found, lambda w: w["marks"].isNull()), lambda w: w["word"])
-    rare = rows.select(key.alias("key"), F.posexplode_outer(others).alias("k", "word"))
-    lists = (
-        rare.join(encoded.select("word", "marks"), "word").groupBy("key")
-        .agg(F.collect_set(F.struct("k", "marks")).alias("rare"))
-        .select("key", F.transform(F.sort_array("rare"), lambda r: r["marks"]).alias("rare"))
-    )
-    gaps = F.array_join(F.transform(found, lambda w: F.coalesce(w["marks"], F.lit(_NONE))), "")
-    filled = F.when(F.col("rare").isNull(), gaps).otherwise(F.array_join(
-        F.zip_with(F.split(gaps, _NONE), "rare", lambda part, mark: F.concat(part, F.coalesce(mark, F.lit("")))), ""))
-    ids = F.when(F.length("text") == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(filled, ""), _token))
-    return rows.withColumn("key", key).join(lists, "key", "left").select("row.*", ids.alias(out))
-
-
-def _utf8(piece: bytes) -> str | None:
-    try:
-        word = piece.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if set(word) & {_KEY, _VALUE, _NONE} else word
+    frequent, shared = FREQUENT, docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            words = batch.column(1)
+            coded = words.flatten().dictionary_encode()
+            each = []
+            for word in coded.dictionary.to_pylist():
+                ids = known.get(word)
+                if ids is None:
+                    ids = merged(word.encode(), shared.value)
+                    if len(word) <= WORD_CHARS and len(known) < frequent:
+                        known[word] = ids
+                each.append(ids)
+            # ids of the different words in a row, and of every place where one stands
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            pool = np.fromiter((i for ids in each for i in ids), np.int32, sizes.sum())
+            place = coded.indices.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes[place])])
+            first = np.cumsum(sizes) - sizes
+            ids = pool[np.repeat(first[place] - ends[:-1], sizes[place]) + np.arange(ends[-1])]
+            offsets = words.offsets.to_numpy().astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "ids"])
+
+    cut = _split(F.coalesce(F.col(f"`{text}`"), F.lit("")), pattern)
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(F.struct("*").alias("row"), cut.alias("words")).mapInArrow(run, schema).select("row.*", F.col("ids").alias(out))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

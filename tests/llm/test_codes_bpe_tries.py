@@ -148,6 +148,18 @@ def test_bpe_empty_table_and_pattern(spark, ranks):
     assert bpe.java_pattern(r"a\[\s]") == rf"a\[[{bpe._SPACE}]]"
 
 
+def test_bpe_words_of_any_length(spark, ranks):
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    dice = random.Random(5)
+    words = ["".join(dice.choice("etaoinshé") for _ in range(n)) for n in (1, 2, 40, 255, 256, 257, 9000, 200_000)] + ["a" * 70_000]
+    for word in words[:-2]:
+        raw = word.encode()
+        assert raw in ranks or bpe._cuts(raw, ranks) == bpe._cuts_of_long(raw, ranks)
+    out = bpe.encode(spark.createDataFrame([(w,) for w in words], "text string"), ranks, public_tokenizers.PATTERN)
+    assert {r.text: r.ids for r in out.collect()} == {w: model.encode_ordinary(w) for w in words}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- prefix trie
 
 
