@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from engram.session import checkpoint
 
+#: Edges for each task of a step, and the least tasks; more would leave small graphs as very many small files.
+TASK_EDGES, LEAST_TASKS = 1 << 16, 8
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -15,9 +18,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` of every node of an edge; the component is its smallest id.
 
     Alternates large-star and small-star steps until nothing changes. Each step is a combinable
-    minimum per node and a join that adaptive execution may split, so a hub is never one task;
-    lineage is cut by a reliable checkpoint. Edges with a null end and loops are ignored, repeats
-    change nothing, no edges give no rows.
+    minimum per node and a join that adaptive execution may split, so a hub is never one task; a
+    step has as many tasks as its edges need, whatever the number of shuffle partitions. Lineage is
+    cut by a reliable checkpoint. Edges with a null end and loops are ignored, repeats change
+    nothing, no edges give no rows.
     """
     edges = checkpoint(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -25,18 +29,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
     mark = _mark(edges)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.coalesce(max(LEAST_TASKS, -(-mark[0] // TASK_EDGES)))
+
     while mark[0]:
+        edges = dealt(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = dealt(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = dealt(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = dealt(large.distinct())
+        least = dealt(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = dealt(large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = checkpoint(dealt(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()))
         now = _mark(edges)
         if now == mark:
             break
         mark = now
-    roots = edges.select("v").distinct()
+    roots = dealt(edges.select("v").distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         roots.select(F.col("v").alias("id"), F.col("v").alias("component"))
     )

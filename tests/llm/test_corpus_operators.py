@@ -105,6 +105,19 @@ def near_rows(dice):
     return rows + [(i + k, sentence(dice, 40, 5000), "en", "t", 0) for k in range(30)]
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.range(40).selectExpr("id AS a", "id + 1 AS b"))
+        assert {r.component for r in found.collect()} == {0} and found.rdd.getNumPartitions() <= 16
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_duplicates_brute_force(spark, monkeypatch):
     rows = near_rows(random.Random(1))
     sets = {r[0]: model_shingles(r[1]) for r in rows}
