@@ -191,3 +191,26 @@ def test_streams_read_a_table_kept_as_a_folder(spark, sf_dir, tmp_path):
 def test_a_stream_of_an_empty_table_gives_no_rows(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(0).write.parquet(str(tmp_path / "conversations.parquet"))
     assert streams.stream_sessions(spark, str(tmp_path)).collect() == []
+
+
+def test_keys_of_one_shard_are_decided_apart(spark, tmp_path, monkeypatch):
+    """A shard keeps the state of several keys over micro-batches and timers; no key sees another's."""
+    monkeypatch.setattr(ledger, "SHARDS", 2)
+    at = "2024-01-{:02d} 00:00:00".format
+    schema = "id string, entity_id string, attribute string, val string, valid_from string, stability double"
+    first = [(f"a{i}", f"e{i}", "city", "Oslo", at(1), 1.0 if i % 2 else -1.0) for i in range(12)]
+    second = [(f"b{i}", f"e{i}", "city", "Oslo" if i % 3 else "Rome", at(2), 1.0) for i in range(12)]
+    third = [("c0", "e1", "city", "Oslo", at(20), 1.0)]
+    found = decided(spark, lambda s: ledger.fact_ledger(s, "1 hour"), schema, [first, second, third], "valid_from", str(tmp_path / "facts"))
+    want = {f"a{i}": ("insert", None) for i in range(12)} | {"c0": ("insert", None)}
+    want |= {f"b{i}": ("skip", None) if i % 3 else ("supersede", f"a{i}") for i in range(12)}
+    assert {r.id: (r.action, r.closed_id) for r in found if r.action != "forget"} == want
+    # by timer or by the next row: what is not pinned, once each
+    assert sorted(r.id for r in found if r.action == "forget") == sorted([f"a{i}" for i in (1, 5, 7, 11)] + [f"b{i}" for i in (0, 3, 6, 9)])
+
+    schema = "document_id string, id string, status string, error_message string, updated_at string"
+    first = [(f"d{i}", f"p{i}", "pending", "", at(1)) for i in range(8)]
+    second = [(f"d{i}", f"q{i}", "processing" if i % 2 else "pending", "", at(2)) for i in range(8)]
+    found = decided(spark, lambda s: ledger.status_machine(s, 7200), schema, [first, second, [("z", "z", "pending", "", at(9))]], "updated_at", str(tmp_path / "statuses"))
+    assert {r.id: (r.action, r.held) for r in found if r.id and r.id[0] == "q"} == {f"q{i}": ("accept" if i % 2 else "refuse", "pending") for i in range(8)}
+    assert sorted(r.document_id for r in found if r.action == "stuck") == ["d1", "d3", "d5", "d7"]
