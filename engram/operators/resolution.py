@@ -13,14 +13,16 @@ from pyspark.sql import types as T
 
 from engram.config import DEFAULTS
 from engram.functions.text import trim_space
-from engram.functions.vectors import cosine, norm
+from engram.functions.vectors import norm
 from engram.operators.search import rows_by_size
 from engram.operators.skew import HOT_ROWS, copied, hot_keys, salted
 from engram.session import checkpoint
 
 CELL_FORMS = 2000
-HEAD = 16  # leading components kept as plain columns for the bound on the cosine
 MAX_PIVOTS = 4096
+#: Blocks that distinct vectors are cut into, the least rows of a block and the most components in it.
+BLOCKS, LEAST_BLOCK, BLOCK_COMPONENTS = 24, 1024, 1 << 22
+_STEP = 2048  # rows and columns of one product
 _SLACK = 1e-6
 
 
@@ -94,11 +96,11 @@ def candidate_pairs(
     A pair can reach the threshold only if its cosine is at least
     ``(threshold - name_weight) / vector_weight``, i.e. the unit vectors lie
     within a fixed radius. Distinct vectors are assigned to the nearest of a
-    bounded set of pivots, and copied to those cells whose separating plane is
-    within the radius, so every such pair meets in exactly one cell (a
-    partition-based metric similarity join, after Das Sarma et al., VLDB 2014).
-    Cheap bounds inside the cell (pivot distance, and a Cauchy-Schwarz bound from
-    the leading components) come before the cosine. The forms of near vectors
+    bounded set of pivots, and these cells are packed into blocks of bounded
+    size. Each pair of blocks is one group; a vector is copied to those pairs
+    that a cell within the radius of its own lies in (a partition-based metric
+    similarity join, after Das Sarma et al., VLDB 2014), and the vectors of a
+    group meet in blocked matrix products. The forms of near vectors
     meet then; those that their name lengths still allow get the string score.
     """
     least_cosine = (threshold - name_weight) / vector_weight
@@ -134,80 +136,122 @@ def candidate_pairs(
 def _near_vectors(vectors: DataFrame, least_cosine: float, radius: float, cell_rows: int) -> DataFrame:
     """Unordered pairs of distinct vectors, each with itself too: vec_a, vec_b, cos."""
     vectors = checkpoint(vectors)
-    wanted = int(min(max(-(-vectors.count() // cell_rows), 1), MAX_PIVOTS))
-    pivots: dict[int, list] = {}
+    count = vectors.count()
+    wanted = int(min(max(-(-count // cell_rows), 1), MAX_PIVOTS))
+    given: dict[int, list] = {}
     for row in vectors.orderBy("vec").select("embedding").limit(wanted).collect():
-        pivots.setdefault(len(row[0]), []).append(row[0])
-    rows = vectors.select("vec", "length", "embedding").mapInArrow(
-        _cells({d: np.asarray(v, dtype=np.float64) for d, v in pivots.items()}, radius),
-        "vec string, length double, embedding array<float>, dims int, cell int, "
-        "home int, dist double, rest double, "
-        + ", ".join(f"h{i} double" for i in range(HEAD)),
+        given.setdefault(len(row[0]), []).append(row[0])
+    pivots = {d: _unit(np.asarray(v, dtype=np.float64)) for d, v in given.items()}
+    rows = checkpoint(vectors.select("vec", "length", "embedding").mapInArrow(
+        _homes(pivots), "vec string, length double, embedding array<float>, dims int, cell int, dist double"))
+    # bounded: one row per cell
+    cells = rows.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("reach")).collect()
+    placement = vectors.sparkSession.createDataFrame(
+        _placement(cells, pivots, radius, count), "dims int, cell int, first int, parts int, others array<int>")
+    placed = rows.drop("dist").join(F.broadcast(placement), ["dims", "cell"]).select(
+        "vec", "length", "embedding", (F.col("first") + F.pmod(F.xxhash64("vec"), "parts")).cast("int").alias("block"),
+        F.explode("others").alias("other"),
     )
-    a, b = rows.alias("a"), rows.alias("b")
-    most = sum(
-        (F.col(f"a.h{i}") * F.col(f"b.h{i}") for i in range(HEAD)), F.col("a.rest") * F.col("b.rest")
-    )
-    home_first = (F.col("b.home") > F.col("b.cell")) | (
-        (F.col("b.home") == F.col("b.cell")) & (F.col("a.vec") <= F.col("b.vec"))
-    )
-    bound = (most >= least_cosine - _SLACK) & (F.abs(F.col("a.dist") - F.col("b.dist")) <= radius)
-    # guarded, so that the cosine is computed for pairs within the bounds only
-    close = F.when(
-        bound,
-        cosine(F.col("a.embedding"), F.col("b.embedding"), F.col("a.length"), F.col("b.length")),
-    )
-    return (
-        a.filter(F.col("home") == F.col("cell"))
-        .join(
-            b,
-            (F.col("a.dims") == F.col("b.dims"))
-            & (F.col("a.cell") == F.col("b.cell"))
-            & home_first
-            & bound,
-        )
-        .select(F.col("a.vec").alias("vec_a"), F.col("b.vec").alias("vec_b"), close.alias("cos"))
-        .filter(F.col("cos") >= least_cosine - _SLACK)
+    pairs = placed.select(
+        "vec", "length", "embedding", (F.col("block") <= F.col("other")).alias("left"),
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
+    return pairs.groupBy("low", "high").applyInArrow(
+        _products(least_cosine - _SLACK), "vec_a string, vec_b string, cos double")
 
 
-def _cells(pivots: dict[int, np.ndarray], radius: float, step: int = 512):
-    """Copy each vector to its home cell and to the lower cells within reach.
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
-    Adds the distance to the cell's pivot, the leading components of the unit
-    vector and the length of the remaining ones.
-    """
+
+def _homes(pivots: dict[int, np.ndarray], step: int = 512):
+    """Add the nearest pivot of each vector and its distance; vectors without a finite one are near to none."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = {d: v / np.linalg.norm(v, axis=1, keepdims=True) for d, v in pivots.items()}
         for batch in batches:
             for size, (places, matrix) in rows_by_size(pa.chunked_array([batch.column(2)])).items():
-                u = units.get(size, np.eye(1, size))
-                matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+                u = pivots.get(size, np.eye(1, size))
+                matrix = _unit(matrix)
                 for start in range(0, len(places), step):
-                    part = matrix[start:start + step]
-                    away = np.sqrt(np.maximum(2 - 2 * (part @ u.T), 0))
+                    away = np.sqrt(np.maximum(2 - 2 * (matrix[start:start + step] @ u.T), 0))
                     home = np.argmin(away, axis=1)
-                    nearest = away[np.arange(len(part)), home]
-                    gaps = np.sqrt(np.maximum(2 - 2 * (u[home] @ u.T), 0))
-                    reached = away**2 - nearest[:, None] ** 2 <= 2 * radius * gaps + _SLACK
-                    lower = np.arange(len(u))[None, :] <= home[:, None]
-                    row, cell = np.nonzero(reached & lower)
-                    head = np.zeros((len(row), HEAD))
-                    head[:, : min(size, HEAD)] = part[row, :HEAD]
-                    rest = np.sqrt(np.maximum(1 - (head**2).sum(axis=1), 0))
-                    source = batch.take(pa.array(places[start + row]))
+                    nearest = away[np.arange(len(away)), home]
+                    kept = np.flatnonzero(np.isfinite(nearest))
+                    source = batch.take(pa.array(places[start + kept]))
                     columns = [
-                        *source.columns, pa.array(np.full(len(row), size, np.int32)),
-                        pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)),
-                        pa.array(away[row, cell]), pa.array(rest), *map(pa.array, head.T.copy()),
+                        *source.columns, pa.array(np.full(len(kept), size, np.int32)),
+                        pa.array(home[kept].astype(np.int32)), pa.array(nearest[kept]),
                     ]
-                    names = [*source.schema.names, "dims", "cell", "home", "dist", "rest"]
-                    yield pa.RecordBatch.from_arrays(columns, [*names, *(f"h{i}" for i in range(HEAD))])
+                    yield pa.RecordBatch.from_arrays(columns, [*source.schema.names, "dims", "cell", "dist"])
 
     return place
 
 
+def _placement(cells: list, pivots: dict[int, np.ndarray], radius: float, count: int) -> list[tuple]:
+    """The blocks of each cell, and the blocks that hold a cell within reach of it.
+
+    Neighbouring cells share blocks; a cell larger than a block is dealt to several.
+    """
+    out, block = [], -1
+    for size in sorted({c.dims for c in cells}):
+        most = max(min(max(-(-count // BLOCKS), LEAST_BLOCK), BLOCK_COMPONENTS // size), 1)
+        u = pivots.get(size, np.eye(1, size))
+        along = u @ np.linalg.svd(u, full_matrices=False)[2][0]
+        own = sorted((c for c in cells if c.dims == size), key=lambda c: (along[c.cell], c.cell))
+        held, spans = most + 1, []
+        for c in own:
+            parts = -(-c.n // most)
+            if parts > 1 or held + c.n > most:
+                block, held = block + 1, 0
+            spans.append((block, parts))
+            block, held = block + parts - 1, held + c.n
+        at, reach = u[[c.cell for c in own]], np.array([c.reach for c in own])
+        for i, c in enumerate(own):
+            gaps = np.sqrt(np.maximum(2 - 2 * (at @ at[i]), 0))
+            near = np.flatnonzero(gaps <= reach + c.reach + radius + _SLACK)
+            # the root of a rounded zero is no zero, so a cell reaches itself in any case
+            others = {first + k for first, parts in [spans[j] for j in near] + [spans[i]] for k in range(parts)}
+            out.append((c.dims, c.cell, *spans[i], sorted(others)))
+    return out
+
+
+def _products(least: float):
+    """Pairs of a group's two blocks whose cosine is at least ``least``."""
+
+    def join(group: pa.Table) -> pa.Table:
+        left = np.asarray(group.column("left").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
+        both = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        (_, matrix), = rows_by_size(group.column("embedding")).values()
+        length = group.column("length").to_numpy()
+        first = np.flatnonzero(left)
+        second = first if both else np.flatnonzero(~left)
+        # single precision finds candidates, with slack for its rounding
+        unit = _unit(matrix).astype(np.float32)
+        rough, found = np.float32(least - 1e-4), [np.zeros((2, 0), np.int64)]
+        cosines = [np.zeros(0)]
+        for i in range(0, len(first), _STEP):
+            a = first[i:i + _STEP]
+            for j in range(i if both else 0, len(second), _STEP):
+                b = second[j:j + _STEP]
+                x, y = np.nonzero(unit[a] @ unit[b].T >= rough)
+                if both:
+                    x, y = x[i + x <= j + y], y[i + x <= j + y]
+                for k in range(0, len(x), 1 << 16):
+                    p, q = a[x[k:k + (1 << 16)]], b[y[k:k + (1 << 16)]]
+                    dot = np.zeros(len(p))
+                    for d in range(matrix.shape[1]):  # in the order of functions.vectors.cosine
+                        dot += matrix[p, d] * matrix[q, d]
+                    cos = dot / (length[p] * length[q])
+                    near = cos >= least
+                    found.append(np.stack([p[near], q[near]]))
+                    cosines.append(cos[near])
+        p, q = np.concatenate(found, axis=1)
+        vec = group.column("vec")
+        return pa.table({"vec_a": vec.take(pa.array(p)), "vec_b": vec.take(pa.array(q)), "cos": np.concatenate(cosines)})
+
+    return join
+
+
 def greedy_merges(membership: DataFrame, pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Who merges into whom when entities are taken in id order.
 

@@ -561,3 +561,30 @@ def test_nodes_of_label_propagation_are_not_broadcast(spark):
     # hot keys are few and may be broadcast
     plan = C.label_propagation_sync(nodes, relations, 1)._jdf.queryExecution().executedPlan().toString()
     assert [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_hot#" not in line] == []
+
+
+def test_near_vectors_meet_over_bounded_blocks(spark, monkeypatch):
+    """Every near pair is found once, however many blocks the cells are cut into; no block exceeds its bound by much."""
+    import numpy as np
+
+    monkeypatch.setattr(R, "LEAST_BLOCK", 16)
+    rng = np.random.default_rng(3)
+    # one dense cell of many blocks, scattered vectors, and vectors of another length
+    rows = [v.tolist() for v in np.concatenate([rng.normal(0, 0.05, (150, 6)) + np.eye(6)[0], rng.normal(0, 1, (150, 6))])]
+    rows += [v.tolist() for v in rng.normal(0, 1, (40, 2))] + [[float("nan"), 1.0], [float("inf"), 1.0]]
+    rows = [np.float32(r).tolist() for r in rows]
+    frame = spark.createDataFrame([(f"{i:03d}", r, float(np.linalg.norm(r))) for i, r in enumerate(rows)], "vec string, embedding array<float>, length double")
+    blocks, products = [], R._placement
+    monkeypatch.setattr(R, "_placement", lambda *a: blocks.extend(products(*a)) or blocks)
+    least = 0.9
+    found = R._near_vectors(frame, least, float(np.sqrt(2 - 2 * least)) + 1e-6, 60).collect()
+    want = {}
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[i:], i):
+            cos = np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) if len(a) == len(b) else 0
+            if cos >= least:
+                want[f"{i:03d}", f"{j:03d}"] = cos
+    got = {tuple(sorted((r.vec_a, r.vec_b))): r.cos for r in found}
+    assert len(found) == len(got) and set(got) == set(want)
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert max(parts for _, _, _, parts, _ in blocks) > 5
