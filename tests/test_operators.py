@@ -588,3 +588,30 @@ def test_near_vectors_meet_over_bounded_blocks(spark, monkeypatch):
     assert len(found) == len(got) and set(got) == set(want)
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert max(parts for _, _, _, parts, _ in blocks) > 5
+
+
+def test_ends_outside_a_large_frontier_are_left_out_before_the_join(spark, monkeypatch):
+    """Without a broadcast the hops find the same edges, and few others reach the join."""
+    from engram.operators import graph, skew
+
+    rng = random.Random(5)
+    edges = [(f"e{i}", f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for i in range(3000)]
+    relations = relation_frame(spark, edges + [("null", None, "n1"), ("loop", "n1", "n1")]).withColumn(
+        "agent_owner", F.when(F.crc32("id") % 3 == 0, "").when(F.crc32("id") % 3 == 1, F.col("source_id")).otherwise("someone"))
+    facts = spark.createDataFrame([(f"f{i}", f"n{i}", "name", f"Name {i % 90}" if i % 5 else "") for i in range(400)], "id string, entity_id string, attribute string, val string")
+    facts = facts.withColumn("valid_from", at("2024-01-01 00:00:00")).withColumn("valid_until", F.lit(None).cast("timestamp"))
+    seeds = spark.createDataFrame([(f"q{i}", f"n{i}", f"n{i}") for i in range(12)], "request_id string, entity_id string, viewer string")
+    open_seeds = seeds.withColumn("viewer", F.when(F.col("request_id") != "q3", F.col("viewer")))
+
+    def found():
+        return [sorted(map(tuple, f.collect())) for given in (seeds, open_seeds) for f in (expand_hops(relations, given), graph.graph_context(relations, facts, given))]
+
+    want = found()
+    monkeypatch.setattr(graph, "FEW_ROWS", 0)
+    assert found() == want and len(want[0]) > 12
+    # a key that is there always passes, null never does, and most others don't
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("k"))
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("key"))
+    kept = {r.key for r in skew.maybe_among(rows, F.col("key"), keys).collect()}
+    assert {str(i) for i in range(3, 3000, 3)} <= kept and len(kept) < 1010 and None not in kept
+    assert skew.maybe_among(rows, F.col("key"), keys.limit(0), F.col("key") == "7").collect() == [("7",)]
