@@ -122,15 +122,25 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     take = [max(half, SAMPLE - len(part[1])), max(half, SAMPLE - len(part[0]))]
     chosen = {r.id: r.label for p, n in zip(part, take) for r in p[:n]}
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "id bigint")
-    # only term rows of a fixed size come to the driver
-    found = own.join(F.broadcast(ids), "id", "left_semi").mapInArrow(_term_rows, "id bigint, terms binary").toArrow()
-    seen, first = np.unique(found.column("id").to_numpy(), return_index=True)  # of repeated ids one
-    packed, rows = found.column("terms"), np.empty((len(seen), _TERMS), np.float32)
+    ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "id bigint, label int")
+    found = own.join(F.broadcast(ids), "id").select("id", "text", "label").mapInArrow(_term_rows, "all int, id bigint, label int, terms binary")
+    # the sample is bounded, so one task fits it; only the model, a megabyte, comes to the driver
+    fitted = found.groupBy("all").applyInArrow(_fitted, "projection binary, vectors binary, labels binary").collect()
+    if not fitted:
+        return fit(np.zeros((0, _TERMS), np.float32), [])
+    kinds = zip(fitted[0], (np.float32, np.float32, np.float64))
+    projection, vectors, own_labels = (np.frombuffer(bytes(packed), kind) for packed, kind in kinds)
+    return Model(projection.reshape(_TERMS, -1), vectors.reshape(len(own_labels), -1), own_labels)
+
+
+def _fitted(sample: pa.Table) -> pa.Table:
+    _, first = np.unique(sample.column("id").to_numpy(), return_index=True)  # of repeated ids one
+    packed, rows = sample.column("terms"), np.empty((len(first), _TERMS), np.float32)
     for i, at in enumerate(first.tolist()):
         rows[i] = np.frombuffer(packed[at].as_buffer(), np.float16)
-    del found, packed
-    return fit(rows, [chosen[i] for i in seen.tolist()])
+    model = fit(rows, sample.column("label").to_numpy()[first].tolist())
+    parts = (model.projection.astype(np.float32), model.vectors.astype(np.float32), model.labels)
+    return pa.table({n: pa.array([v.tobytes()], pa.binary()) for n, v in zip(("projection", "vectors", "labels"), parts)})
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +149,8 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in kernels.pieces(offsets):
             rows = terms(data, offsets[a : b + 1])
             packed = [r.astype(np.float16).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["id", "terms"])
+            columns = [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["all", "id", "label", "terms"])
 
 
 def _append(shared):

@@ -550,3 +550,18 @@ def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(queries.SQL) <= set(entry.oracle_sql()) and os.path.isdir(os.path.dirname(queries.__file__))
+
+
+def test_the_quality_sample_is_not_brought_to_the_driver(spark, monkeypatch):
+    """The driver receives the fitted model, not the sample's term rows."""
+    rows = [(i, f"{'good plain words' if i % 2 else '## !! ?? 77'} {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("a table comes to the driver"))
+    fits, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, seed=0: fits.append(len(rows)) or fit(rows, labels, seed))
+    model = quality.train(docs, labels)
+    assert not fits and 250 < len(model.labels) < 400 and set(model.labels) == {0.0, 1.0}
+    assert model.vectors.shape == (len(model.labels), model.projection.shape[1])
+    scored = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    assert all((scored[i] >= 0.5) == bool(i % 2) for i in range(400))
