@@ -364,6 +364,13 @@ def test_community_contexts(spark):
     assert whole[0].context.count("- Entity") == 600
 
 
+def test_names_alike_in_time_and_id_do_not_depend_on_row_order(spark):
+    rows = [("n", "e", "name", name, 0, None) for name in ("oak", "ash", "yew", "elm")]
+    schema = "id string, entity_id string, attribute string, val string, valid_from int, valid_until int"
+    given = [spark.createDataFrame(r, schema).coalesce(1) for r in (rows, rows[::-1], rows[2:] + rows[:2])]
+    assert [[tuple(r) for r in G.entity_names(f).collect()] for f in given] == [[("e", "yew")]] * 3
+
+
 # -- entity resolution -------------------------------------------------------
 
 def model_jaro_winkler(a, b):
