@@ -14,24 +14,30 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def in_tasks(rows: DataFrame, count: int, each: int = TASK_EDGES) -> DataFrame:
+    """The rows in no more tasks than ``count`` of them need at ``each`` a task; none is shuffled."""
+    return rows.coalesce(max(LEAST_TASKS, -(-count // each)))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """``id, component`` of every node of an edge; the component is its smallest id.
 
     Alternates large-star and small-star steps until nothing changes. Each step is a combinable
     minimum per node and a join that adaptive execution may split, so a hub is never one task; a
     step has as many tasks as its edges need, whatever the number of shuffle partitions. Lineage is
-    cut by a reliable checkpoint. Edges with a null end and loops are ignored, repeats change
+    cut by a reliable checkpoint. ``most``: about how many edges there are, where that is known before. Edges with a null end and loops are ignored, repeats change
     nothing, no edges give no rows.
     """
-    edges = checkpoint(
+    edges = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
+    edges = checkpoint(edges if most is None else in_tasks(edges, most))
     mark = _mark(edges)
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.coalesce(max(LEAST_TASKS, -(-mark[0] // TASK_EDGES)))
+        return in_tasks(rows, mark[0])
 
     while mark[0]:
         edges = dealt(edges)

@@ -8,6 +8,7 @@ import itertools
 import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -19,6 +20,7 @@ import corpus_pipeline
 from check import compare, oracle
 from engram.llm import decontam, kernels, lines, mixing, near_dedup, pii, quality, queries, repeats, shards, vectors, warc
 from engram.llm.components import components
+from engram.session import checkpoint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: The columns of documents, and others named like what operators use inside.
@@ -118,6 +120,28 @@ def test_components_of_few_edges_take_few_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_near_duplicates_of_few_documents_take_few_tasks(spark, monkeypatch):
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, parts = {k: spark.conf.get(k) for k in settings}, []
+
+    def counted(df):
+        out = checkpoint(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    for module in (near_dedup, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "checkpoint", counted)
+    docs = docs_of(spark, near_rows(random.Random(1))[:60]).coalesce(2)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        near_dedup.near_duplicates(docs).collect()
+        assert len(parts) > 6 and max(parts) <= 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_duplicates_brute_force(spark, monkeypatch):
     rows = near_rows(random.Random(1))
     sets = {r[0]: model_shingles(r[1]) for r in rows}
