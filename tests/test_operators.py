@@ -541,6 +541,26 @@ def test_community_contexts_of_many_pieces(spark):
     assert "collect_list" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_contexts_have_tasks_of_their_own(spark, monkeypatch):
+    """Two long texts never meet in a task, and their pieces are small, so that no batch of pieces is large."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "TASK_TEXT", 1000, raising=False)
+    rows = [(f"c{c}", s, f"{i:03d}", "", f"line {c} {s} {i}") for c in range(40) for s in (1, 3) for i in range(60 if c < 12 else 2)]
+    rows += [(None, 2, "0", "", "x"), ("c3", 2, "0", "", None)]
+    lines = spark.createDataFrame(rows, "community_id string, section int, k1 string, k2 string, line string")
+    found = C.community_contexts(lines).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 41 and len({r.community_id for r in found}) == 41
+    long = [r.task for r in found if len(r.context) > 1000]
+    assert len(long) == len(set(long)) == 12 and not {r.task for r in found if len(r.context) < 1000} & set(long)
+    held = next(r.context for r in found if r.community_id == "c3")
+    one, three = (sep.join(f"line 3 {s} {i}" for i in range(60)) for s, sep in ((1, ", "), (3, "\n")))
+    assert held == f"Members: {one}\n\nFacts:\n\n\nRelations:\n{three}"
+    batch = pa.RecordBatch.from_pylist([{"community_id": "a", "section": 3, "k1": f"{i:04d}", "k2": "", "line": "y" * 99} for i in range(2000)])
+    pieces = [p for b in C._pieces(iter([batch])) for p in b.column("piece").to_pylist()]
+    assert "\n".join(pieces) == "\n".join(["y" * 99] * 2000) and max(map(len, pieces)) < 5000
+
+
 def test_synchronous_labels_travel_as_numbers_and_tie_by_id(spark, monkeypatch):
     seen, sketch = [], C.hot_keys
     monkeypatch.setattr(C, "hot_keys", lambda rows, *a: seen.append(dict(rows.dtypes)) or sketch(rows, *a))
