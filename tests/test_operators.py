@@ -561,6 +561,39 @@ def test_long_contexts_have_tasks_of_their_own(spark, monkeypatch):
     assert "\n".join(pieces) == "\n".join(["y" * 99] * 2000) and max(map(len, pieces)) < 5000
 
 
+def test_sequential_labels_travel_as_numbers(spark, monkeypatch):
+    """Also with the nil id among the nodes, relations alike in id, ends that are null, and nodes without links."""
+    seen, connect = [], C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda rows, *a: seen.append(dict(rows.dtypes)) or connect(rows, *a))
+    rng = random.Random(7)
+    ids = [NIL_UUID, *(f"{i}-n" for i in range(30)), *(f"-{i}" for i in range(4))]
+    named = sorted(ids[:28])
+    edges = [(f"r{i:02d}", rng.choice(ids), rng.choice(ids)) for i in range(50)]
+    nodes = spark.createDataFrame([(n,) for n in [*named, *named[:3], "alone", None]], "id string")
+    relations = relation_frame(spark, [*edges, ("null", None, "1-n"), (None, None, None)])
+    for whole in (C.WHOLE_LINKS, 5):
+        got = C.label_propagation(nodes, relations, whole=whole).collect()
+        assert len(got) == 30 and {r.id: r.label for r in got} == {**model_lpa(named, edges), "alone": "alone", None: None}
+    assert {k: v for k, v in seen[0].items() if k != "seen"} == {"node": "bigint", "nbr": "bigint", "weight": "bigint", "nbr_named": "boolean"}
+    # two relations of one id: the greater visitor decides, then the smaller label
+    twice = spark.createDataFrame([(n,) for n in "abc"], "id string")
+    again = relation_frame(spark, [("r", "c", "a"), ("r", "c", "b")])
+    assert {r.id: r.label for r in C.label_propagation(twice, again, 1).collect()} == {"a": "c", "b": "c", "c": "c"}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_stars_are_contracted_in_few_rounds(spark, monkeypatch, few):
+    from engram.operators import components
+
+    written, cut = [], components.checkpoint
+    monkeypatch.setattr(components, "FEW_EDGES", few, raising=False)
+    monkeypatch.setattr(components, "checkpoint", lambda rows: written.append(1) or cut(rows))
+    ends = [(f"h{i}", f"l{i}-{j}") for i in range(150) for j in range(2 + i % 20)] + [("p", "q"), ("x", "y"), ("y", "z"), ("z", "x")]
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame(ends, "x string, y string"), "x", "y").collect()}
+    assert found == {n: min(e) if e[0][0] != "h" else e[0] for e in ends for n in e} | dict.fromkeys("xyz", "x")
+    assert len(written) <= 14
+
+
 def test_synchronous_labels_travel_as_numbers_and_tie_by_id(spark, monkeypatch):
     seen, sketch = [], C.hot_keys
     monkeypatch.setattr(C, "hot_keys", lambda rows, *a: seen.append(dict(rows.dtypes)) or sketch(rows, *a))
