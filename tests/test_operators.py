@@ -614,6 +614,29 @@ def test_synchronous_labels_travel_as_numbers_and_tie_by_id(spark, monkeypatch):
     assert found == want
 
 
+def test_sweeps_leave_no_shuffle_files(spark):
+    def files():
+        kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for f in (kept.apply(i) for i in range(kept.size())) if (name := f.getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = files(), spark.conf.get(key)
+    ends = [(f"e{i}", f"{i % 7}", f"{i % 11}") for i in range(77)]
+    nodes, relations = spark.range(12).selectExpr("string(id) AS id"), relation_frame(spark, ends)
+    labels = C.label_propagation_sync(nodes, relations)
+    assert not files() - before and spark.conf.get(key) == held
+    found = {r.id: r.label for r in labels.collect()}
+    # opposite relations count together, and loops not
+    votes = Counter((n, o) for _, s, t in ends if s != t for n, o in ((s, t), (t, s)))
+    want = {n: n for n in map(str, range(12))}
+    for _ in range(5):
+        tally = {}
+        for (n, o), c in votes.items():
+            tally.setdefault(n, Counter())[want[o]] += c
+        want |= {n: min((-c, label) for label, c in t.items())[1] for n, t in tally.items()}
+    assert found == want
+
+
 def test_nodes_of_label_propagation_are_not_broadcast(spark):
     nodes, relations = spark.range(9).selectExpr("string(id) AS id"), relation_frame(spark, [("e", "1", "2")])
     plan = C._visits(nodes, relations)._jdf.queryExecution().executedPlan().toString()
