@@ -516,6 +516,35 @@ def test_top_k_per_query_compares_equal_vectors_once(spark, monkeypatch):
     assert got == {str(q): want[q % 2] for q in range(30)}
 
 
+def test_requests_of_equal_vectors_share_a_pool(spark, monkeypatch):
+    """40 requests with two vectors draw two pools; what each finds is what it finds alone."""
+    drawn, draw = [], S.top_k_per_vector
+    monkeypatch.setattr(O, "top_k_per_vector", lambda *a: drawn.append(draw(*a)) or drawn[-1])
+    vectors = [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0], [-0.0, 1.0], [3.0, 1.0]]
+    rows = [(f"f{i:03d}", f"e{i % 9}", vectors[i % 5], "", None) for i in range(300)]
+    rows.append(("f000", "e1", [0.9, 0.1], "", None))  # an id of two vectors
+    facts = spark.createDataFrame(rows, "id string, entity_id string, embedding array<float>, agent_owner string, valid_until timestamp")
+    facts = facts.withColumns({"valid_from": at("2024-01-01 00:00:00"), "last_accessed": at("2024-01-02 00:00:00"), "stability": F.lit(30.0)})
+    asked = [(f"r{i}", f"e{i % 9}", None, [1.0, 0.2] if i % 2 else [0.0, 2.0]) for i in range(40)]
+    requests = spark.createDataFrame(asked, "request_id string, entity_id string, viewer string, embedding array<float>")
+    found = O.search_hybrid_batch(facts, requests, at("2024-01-03 00:00:00"), 5).facts.collect()
+    assert drawn[0][1].count() == 2 * O.DEFAULTS.ann_pool and drawn[0][0].count() == 40
+
+    def score(v, q):
+        return round(float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)), 9)
+
+    got = {}
+    for r in sorted(found, key=lambda r: (r.request_id, r.rn)):
+        got.setdefault(r.request_id, []).append((r.id, score(r.embedding, dict((a[0], a[3]) for a in asked)[r.request_id])))
+    for request, entity, _, vector in asked[:6]:
+        pool = sorted(rows, key=lambda f: (-score(f[2], vector), f[0]))[:O.DEFAULTS.ann_pool]
+        # an id in the pool brings all facts of that id
+        mine = [f for p in pool for f in rows if f[0] == p[0] and f[1] == entity][:5]
+        assert [i for i, _ in got.get(request, [])] == [f[0] for f in mine]
+    odd = spark.createDataFrame([([None, 1.0],), ([1.0, None],), ([1.0],), ([1.0, float("nan")],), ([1.0, 2.0],), ([2.0, 1.0],), ([1.0, 2.0],)], "embedding array<double>")
+    assert odd.select(S._same_vector(odd)).distinct().count() == 6
+
+
 def test_community_contexts_of_many_pieces(spark):
     """Pieces cut anywhere give the text of all lines in order."""
     import random
